@@ -1,0 +1,50 @@
+"""Plain single-process versions of the operators, for small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def sha(x: bytes | str) -> str:
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+def substring_dedup(docs: list[tuple], width: int = 50) -> set[tuple]:
+    first: dict[tuple, int] = {}
+    words = {}
+    for doc, text in docs:
+        words[doc] = w = WORD.findall(text or "")
+        for i in range(len(w) - width + 1):
+            key = tuple(w[i : i + width])
+            first[key] = min(first.get(key, doc), doc)
+    out = set()
+    for doc, w in words.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            if first[tuple(w[i : i + width])] < doc:
+                gone[i : i + width] = [True] * width
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.add((doc, len(w), sum(gone), sha(kept)))
+    return out
+
+
+def suffix_dedup(docs: list[tuple], length: int = 400) -> set[tuple]:
+    seen: dict[bytes, int] = {}
+    raw = {doc: (text or "").encode() for doc, text in docs}
+    digest = lambda b, i: hashlib.blake2b(b[i : i + length], digest_size=12).digest()
+    for b in raw.values():
+        for i in range(len(b) - length + 1):
+            seen[k] = seen.get(k := digest(b, i), 0) + 1
+    out = set()
+    for doc, b in raw.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[digest(b, i)] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out.add((doc, len(b), sum(gone), runs, sha(kept)))
+    return out
