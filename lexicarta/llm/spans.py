@@ -170,10 +170,11 @@ class Spans:
     hash: np.ndarray
 
 
-def spans(items: np.ndarray, bounds: np.ndarray, width: int, gram: int, longest: int) -> Spans:
-    """Spans of all windows. A run of more than ``longest`` windows (as in one word repeated) is cut."""
+def spans(items: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> Spans:
+    """Spans of all windows of all documents of a chunk."""
     rolling = Rolling(items)
-    best = sliding_min(rolling.all(gram), width - gram + 1)
+    grams = rolling.all(gram)
+    best = sliding_min(grams, width - gram + 1)
     counts = np.diff(bounds) - width + 1
     rows = np.flatnonzero(counts > 0)
     if not len(rows):
@@ -182,18 +183,11 @@ def spans(items: np.ndarray, bounds: np.ndarray, width: int, gram: int, longest:
     valid = np.zeros(len(best) + 1, np.int8)
     np.add.at(valid, bounds[rows], 1)
     np.add.at(valid, bounds[rows] + counts[rows], -1)
-    valid = np.cumsum(valid[:-1]).astype(bool)
+    valid = np.cumsum(valid[:-1], dtype=np.int8).astype(bool)
     new = valid.copy()
-    new[1:] &= (best[1:] != best[:-1]) | ~valid[:-1]
+    new[1:] &= (best[1:] != best[:-1]) | (grams[: len(best) - 1] == best[1:])
     new[bounds[rows]] = True
     ends = valid.copy()
     ends[:-1] &= new[1:] | ~valid[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(ends)
-    if len(first) and (last - first).max() >= longest:
-        parts = (last - first) // longest + 1
-        base = np.repeat(first, parts)
-        step = np.arange(len(base)) - np.repeat(np.cumsum(parts) - parts, parts)
-        stop = np.repeat(last, parts)
-        first = base + step * longest
-        last = np.minimum(first + longest - 1, stop)
     return Spans(np.searchsorted(bounds, first, "right") - 1, first, last, best[first], rolling.some(first, last + width))

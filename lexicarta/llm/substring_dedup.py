@@ -32,24 +32,24 @@ FINGERPRINTS = "doc_id long, anchor long, span long, n long"
 class FingerprintIndex:
     """Incremental index of ``width``-word windows. Parameters are fixed for its life."""
 
-    def __init__(self, spark: SparkSession, width: int = 50, gram: int = 20, longest: int = 4096, most_runs: int = 1):
+    def __init__(self, spark: SparkSession, width: int = 50, gram: int = 20, most_runs: int = 1):
         if not 1 <= gram <= width:
             raise ValueError("gram must lie between 1 and width")
-        self.width, self.gram, self.longest, self.most_runs = width, gram, longest, most_runs
+        self.width, self.gram, self.most_runs = width, gram, most_runs
         self.scratch = Scratch(spark, "fingerprints")
         self.runs: list[tuple[str, DataFrame]] = []
         self._count = 0
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
         """Distinct ``(doc_id, anchor, span)`` of each document. Null ids or texts give none."""
-        width, gram, longest = self.width, self.gram, self.longest
+        width, gram = self.width, self.gram
 
         def extract(batches):
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for low, _, data, offsets in S.chunks(batch.column(1)):
                     w = S.words(data, offsets)
-                    s = S.spans(w.hash, w.bounds, width, gram, longest)
+                    s = S.spans(w.hash, w.bounds, width, gram)
                     yield _distinct(ids[low + s.row], s.anchor, s.hash)
 
         return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(extract, FINGERPRINTS)
@@ -95,7 +95,7 @@ class FingerprintIndex:
 
     def verify(self, corpus: DataFrame, unsure: DataFrame) -> DataFrame:
         """``(doc_id, window)``: windows inside open spans that also start in a smaller document."""
-        width, gram, longest = self.width, self.gram, self.longest
+        width, gram = self.width, self.gram
 
         def emit(batches):
             for batch in batches:
@@ -103,7 +103,7 @@ class FingerprintIndex:
                 marks = batch.column(2)
                 for low, high, data, offsets in S.chunks(batch.column(1)):
                     w = S.words(data, offsets)
-                    s = S.spans(w.hash, w.bounds, width, gram, longest)
+                    s = S.spans(w.hash, w.bounds, width, gram)
                     hashes = S.Rolling(w.hash).all(width)
                     edges = np.searchsorted(s.row, np.arange(high - low + 1))
                     for k in range(high - low):
@@ -123,7 +123,7 @@ class FingerprintIndex:
 
     def apply(self, docs: DataFrame, seen: DataFrame, windows: DataFrame) -> DataFrame:
         """Remove the covered words: ``doc_id, n_words, n_removed, kept_text, kept_sha256``."""
-        width, gram, longest = self.width, self.gram, self.longest
+        width, gram = self.width, self.gram
 
         def strip(batches):
             for batch in batches:
@@ -135,7 +135,7 @@ class FingerprintIndex:
                     gone: dict[int, np.ndarray] = {}
                     if busy:
                         w = S.words(data, offsets)
-                        s = S.spans(w.hash, w.bounds, width, gram, longest)
+                        s = S.spans(w.hash, w.bounds, width, gram)
                         hashes = S.Rolling(w.hash).all(width)
                         edges = np.searchsorted(s.row, np.arange(high - low + 1))
                         for k in busy:

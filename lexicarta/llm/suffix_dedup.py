@@ -137,12 +137,11 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
         raise ValueError("gram must lie between 1 and length")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession, "suffixes")
-    longest = 4 * length
 
     def find(batch_texts):
         for low, high, data, offsets in S.chunks(batch_texts):
             # +7 keeps a zero byte from vanishing in the polynomial
-            yield low, high, data, offsets, S.spans(S.mix(data.astype(np.uint64) + np.uint64(7)), offsets, length, gram, longest)
+            yield low, high, data, offsets, S.spans(S.mix(data.astype(np.uint64) + np.uint64(7)), offsets, length, gram)
 
     def extract(batches):
         for batch in batches:
@@ -197,7 +196,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
                 busy = [k for k in range(high - low) if whole_of[low + k].is_valid or part_of[low + k].is_valid]
                 gone = {}
                 if busy:
-                    s = S.spans(S.mix(data.astype(np.uint64) + np.uint64(7)), offsets, length, gram, longest)
+                    s = S.spans(S.mix(data.astype(np.uint64) + np.uint64(7)), offsets, length, gram)
                     edges = np.searchsorted(s.row, np.arange(high - low + 1))
                     for k in busy:
                         part, a, b = slice(edges[k], edges[k + 1]), offsets[k], offsets[k + 1]
