@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import decontaminate
+from .language_id import predict, train
+from .pieces import encode_pieces
+from . import secret_scan
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +24,48 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return token_counts(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), 1024, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = train(docs.where(~held))
+    out = predict(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    every = F.sort_array(F.concat("base", "added"))
+    base = F.sha2(secret_scan.named(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base, secret_scan.named(every).alias("spans"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_secret_scan": op9_secret_scan,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {}

@@ -48,3 +48,19 @@ def suffix_dedup(docs: list[tuple], length: int = 400) -> set[tuple]:
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.add((doc, len(b), sum(gone), runs, sha(kept)))
     return out
+
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secret_scan(docs: list[tuple]) -> set[tuple]:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256)"""
+    out = set()
+    for doc, text in docs:
+        text = text or ""
+        spans = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        n = [sum(s[1] == k for s in spans) for k in range(3)]
+        out.add((doc, *n, sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)))))
+    return out
