@@ -64,3 +64,38 @@ def secret_scan(docs: list[tuple]) -> set[tuple]:
         n = [sum(s[1] == k for s in spans) for k in range(3)]
         out.add((doc, *n, sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)))))
     return out
+
+
+def union_find(nodes, edges) -> dict:
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in nodes}
+
+
+def jaccard_join(docs: list[tuple], k: int = 4, num: int = 85, den: int = 100) -> set[tuple]:
+    fold = {i: i + 32 for i in range(65, 91)}
+    sets = {}
+    for doc, text in docs:
+        w = WORD.findall((text or "").translate(fold))
+        sets[doc] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    where: dict = {}
+    for doc, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(doc)
+    shared: dict = {}
+    for ds in where.values():
+        for i, a in enumerate(ds):
+            for b in ds[:i]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    edges = [(a, b) for (a, b), i in shared.items() if den * i >= num * (len(sets[a]) + len(sets[b]) - i)]
+    comp = union_find(sets, edges)
+    return {(doc, len(s), comp[doc]) for doc, s in sets.items()}
