@@ -29,6 +29,8 @@ from .scratch import Scratch
 
 #: Slots of the frequency sketch: a fixed size, however many shingles there are.
 SLOT_BITS = 16
+#: Rows of one side in a block of a large family.
+BLOCK = 1000
 
 
 class Threshold:
@@ -215,14 +217,24 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
 
     links = scratch.write(verified(tried), "links")
     parts = scratch.write(components(links, scratch, "cc1"), "parts")
-    # buckets that still span components: pairs across components not tried yet
+    # buckets that still span components: pairs across components not tried yet, by the buckets' smallest id
     wide = met.where("members > 2").select("sig", "doc_id", "n", F.col("hub.doc_id").alias("hub")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     wide = wide.withColumn("component", F.coalesce("component", "doc_id"))
     split = wide.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    wide = scratch.write(wide.join(split, "sig", "left_semi").where("doc_id <> hub").select("sig", "doc_id", "n", "component"), "wide")
-    cross = wide.alias("x").join(wide.alias("y"), "sig").where("x.doc_id < y.doc_id and x.component <> y.component")
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    cross = cross.where(fit("na", "nb")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    wide = wide.join(split, "sig", "left_semi").where("doc_id <> hub").select("hub", "doc_id", "n", "component").distinct()
+    wide = scratch.write(wide, "wide")
+    # shingles that no other such document has bound what a pair can share
+    lone = whole.join(wide.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("own").alias("token"))
+    lone = lone.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
+    wide = wide.join(lone, "doc_id", "left").withColumn("can", F.col("n") - F.coalesce("u", F.lit(0)))
+    size = wide.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wide = scratch.write(wide.join(size, "hub"), "families")
+    x = wide.select("hub", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "component", "can")))
+    y = wide.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "component", "can")))
+    can = F.least("can_x", "can_y")
+    near = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("component_x") != F.col("component_y")) & (can * (den + num) >= (F.col("n_x") + F.col("n_y")) * num)
+    cross = x.join(y, (x["hub"] == y["hub"]) & (x["block"] == y["block"]) & near).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+    cross = cross.join(tried, ["a", "b"], "left_anti")
     more = scratch.write(verified(cross), "more")
     final = components(links.unionByName(more), scratch, "cc2")
     whole_map = meta.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
