@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .embedding_dedup import embedding_dedup
 from .jaccard_join import jaccard_join
 from .language_id import predict, train
 from .pieces import encode_pieces
@@ -25,6 +26,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return token_counts(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), 1024, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -66,6 +71,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
@@ -74,4 +80,20 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), reach(n, c) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT l.b, r.c FROM reach r JOIN link l ON l.a = r.n WHERE r.c < l.b
+), comp AS (SELECT n, min(c) AS component_id FROM reach GROUP BY n
+), deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN comp c ON c.n = v.vec_id LEFT JOIN deg d ON d.a = v.vec_id
+""",
+}
