@@ -11,7 +11,7 @@ from .embedding_dedup import embedding_dedup
 from .jaccard_join import jaccard_join
 from .language_id import predict, train
 from .pieces import encode_pieces
-from . import secret_scan
+from . import lm_scoring, secret_scan
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -69,6 +69,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), base, secret_scan.named(every).alias("spans"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, *lm_scoring.train(docs))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -78,6 +83,7 @@ QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scan": op9_secret_scan,
+    "op10_lm_scoring": op10_lm_scoring,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {
