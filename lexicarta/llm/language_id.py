@@ -22,6 +22,7 @@ _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
+MOST_IDS = 1_000_000
 
 
 @dataclass
@@ -103,6 +104,8 @@ def train(labelled: DataFrame, buckets: int = 4096, per_language: int = 400, rou
             x = features(batch.column(0), buckets)
             yield pa.record_batch([batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
+    if chosen.count() <= MOST_IDS:  # so many ids fit a broadcast; with more languages the join shuffles
+        chosen = F.broadcast(chosen)
     got = rows.join(chosen, "doc_id").select("text", "label").mapInArrow(featurise, "label string, x binary").collect()
     got.sort(key=lambda r: (r[0], r[1]))
     languages = sorted({r[0] for r in got})

@@ -157,16 +157,19 @@ def _groups(texts: list[str], limit: int = 1 << 19):
         yield at, len(texts)
 
 
-def encode_pieces(docs: DataFrame, model: str, digests: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, output: str = "spans") -> DataFrame:
     """Encode every whole text with begin and end ids, and decode the ids again.
 
     Returns ``doc_id, ids, starts, ends, decoded``: ids as the library gives them,
     for each id the original UTF-8 byte span it stands for (empty for begin and
-    end), and the library's decoding.  With ``digests`` the arrays stay in the task
-    and ``doc_id, n_tokens, ids_sha256, decoded_sha256, n_covered`` return, where
-    ``n_covered`` counts original bytes under the spans.  A null text is an empty
-    one; null ids and repeated rows stay; other columns are ignored.
+    end), and the library's decoding.  With ``output="digests"`` the arrays stay in
+    the task and ``doc_id, n_tokens, ids_sha256, decoded_sha256, n_covered`` return,
+    where ``n_covered`` counts original bytes under the spans; ``output="ids"`` returns
+    these and ``ids``.  A null text is an empty one; null ids and repeated rows stay;
+    other columns are ignored.
     """
+    if output not in ("spans", "digests", "ids"):
+        raise ValueError(f"no such output: {output}")
 
     def run(batches):
         c = codec(model)
@@ -181,17 +184,22 @@ def encode_pieces(docs: DataFrame, model: str, digests: bool = False) -> DataFra
                     normal, source = c.normalise(text.encode())
                     spans.append(c.spans(own, normal, source))
                 rows = batch.column(0).slice(low, high - low)
-                if digests:
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered"]
+                if output != "spans":
                     columns = [
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids], pa.string()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
                         pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
                     ]
-                    yield pa.record_batch([rows, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered"])
+                    if output == "ids":
+                        names, columns = [*names, "ids"], [*columns, pa.array(ids, pa.list_(pa.int32()))]
+                    yield pa.record_batch([rows, *columns], names)
                 else:
                     longs = pa.list_(pa.int64())
                     yield pa.record_batch([rows, pa.array(ids, pa.list_(pa.int32())), pa.array([s[:, 0] for s in spans], longs), pa.array([s[:, 1] for s in spans], longs), pa.array(decoded, pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_covered long" if digests else "doc_id long, ids array<int>, starts array<long>, ends array<long>, decoded string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_covered long" + ", ids array<int>" * (output == "ids")
+    if output == "spans":
+        schema = "doc_id long, ids array<int>, starts array<long>, ends array<long>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

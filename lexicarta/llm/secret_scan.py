@@ -98,24 +98,26 @@ def _block_sum(kind: str):
     return lambda b: F.aggregate(F.slice(f"{kind}_lens", b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, x: a + x)
 
 
-def scan(docs: DataFrame, model: MarkovModel | None = None, per_char: float = 0.5, least: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, model: MarkovModel | None = None, per_char: float = 0.5, least: float = 12.0, carry: bool = False) -> DataFrame:
     """All secret spans of every whole text, as ``doc_id, text, base, added``.
 
     ``base`` and ``added`` are arrays of ``(start, rank, kind, end)`` in code points,
     end exclusive; base kinds are ``assign``, ``access``, ``hex``, added ones
     ``markov``.  A token counts as added when the ratio is at least ``per_char`` on
     average and ``least`` in total, it has a digit, and it meets no base span.  A null
-    text has no spans; null ids and repeated rows stay; other columns are ignored.
+    text has no spans; null ids and repeated rows stay; other columns are ignored,
+    or with ``carry`` returned whole in the struct ``row``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = ["doc_id", "text", *["row"] * carry]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.struct("*").alias("row")] * carry)
     rows = rows.withColumn("flag", F.col("text").rlike(HINT if model else BASE_HINT))
     kinds = {"assign": ASSIGN, "access": ACCESS, "hex": HEX} | ({"markov": TOKEN} if model else {})
-    rows = rows.select("doc_id", "text", *(_hits(F.col("flag"), p).alias(f"{k}_hits") for k, p in kinds.items()), _hits(F.col("flag"), ASSIGN, 2).alias("values"))
+    rows = rows.select(*own, *(_hits(F.col("flag"), p).alias(f"{k}_hits") for k, p in kinds.items()), _hits(F.col("flag"), ASSIGN, 2).alias("values"))
     some = lambda k, c: F.when(F.size(f"{k}_hits") > 0, c).otherwise(F.array().cast("array<int>"))
     rows = rows.select("*", *(some(k, F.transform(F.split("text", p, -1), F.length)).alias(f"{k}_gaps") for k, p in kinds.items()))
     rows = rows.select("*", *(some(k, F.zip_with(F.slice(f"{k}_gaps", F.lit(1), F.size(f"{k}_hits")), f"{k}_hits", lambda g, h: g + F.length(h))).alias(f"{k}_lens") for k in kinds))
     rows = rows.select("*", *(some(k, F.transform(F.sequence(F.lit(0), F.floor((F.size(f"{k}_lens") - 1) / BLOCK).cast("int")), _block_sum(k))).alias(f"{k}_blocks") for k in kinds))
-    rows = rows.select("doc_id", "text", "values", *(f"{k}_hits" for k in kinds), *(some(k, _starts(k)).alias(f"{k}_starts") for k in kinds))
+    rows = rows.select(*own, "values", *(f"{k}_hits" for k in kinds), *(some(k, _starts(k)).alias(f"{k}_starts") for k in kinds))
 
     def found(rank: int, kind: str, wide_enough) -> Column:
         spans = F.transform(f"{kind}_hits", lambda h, i: F.struct(F.element_at(f"{kind}_starts", i + 1).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (F.element_at(f"{kind}_starts", i + 1) + F.length(h)).alias("end")))
@@ -128,8 +130,8 @@ def scan(docs: DataFrame, model: MarkovModel | None = None, per_char: float = 0.
     )
     if model is None:
         added = F.filter(base, lambda s: F.lit(False))
-        return rows.select("doc_id", "text", F.sort_array(base).alias("base"), added.alias("added"))
-    rows = rows.select("doc_id", "text", "markov_hits", "markov_starts", F.sort_array(base).alias("base"))
+        return rows.select(*own, F.sort_array(base).alias("base"), added.alias("added"))
+    rows = rows.select(*own, "markov_hits", "markov_starts", F.sort_array(base).alias("base"))
     place = lambda t, i: F.instr(F.lit(ALPHABET), F.substring(t, i, F.lit(1)))
     table = model.literal()
     weigh = lambda t: F.aggregate(F.sequence(F.lit(1), F.length(t) - 1), F.lit(0.0), lambda a, i: a + F.element_at(table, place(t, i) * CLASSES + place(t, i + 1) + 1))
@@ -139,7 +141,7 @@ def scan(docs: DataFrame, model: MarkovModel | None = None, per_char: float = 0.
     weighed = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), weigh(s["token"]).alias("ratio")))
     kept = F.filter(weighed, lambda s: (s["ratio"] >= least) & (s["ratio"] >= per_char * (s["end"] - s["start"] - 1)))
     added = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return rows.select("doc_id", "text", "base", added.alias("added"))
+    return rows.select(*own, "base", added.alias("added"))
 
 
 def named(spans: Column) -> Column:
@@ -148,8 +150,7 @@ def named(spans: Column) -> Column:
 
 
 def redact(scanned: DataFrame, mark: str = "<SECRET>") -> DataFrame:
-    """``doc_id, text`` with every span (overlaps merged) replaced by ``mark``; takes what ``scan`` returns.
-    """
+    """``text`` with every span (overlaps merged) replaced by ``mark``; takes and otherwise keeps what ``scan`` returns."""
     ordered = F.sort_array(F.concat("base", "added"))
     merged = F.aggregate(
         ordered,
@@ -159,7 +160,7 @@ def redact(scanned: DataFrame, mark: str = "<SECRET>") -> DataFrame:
             F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    rows = scanned.select("doc_id", "text", F.when(F.size(ordered) > 0, merged).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("cuts"))
+    rows = scanned.select("*", F.when(F.size(ordered) > 0, merged).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("cuts"))
     parts = F.transform("cuts", lambda c, i: F.concat(F.substring("text", F.when(i == 0, 0).otherwise(F.element_at("cuts", F.greatest(i, F.lit(1)))["end"]) + 1, c["start"] - F.when(i == 0, 0).otherwise(F.element_at("cuts", F.greatest(i, F.lit(1)))["end"])), F.lit(mark)))
     tail = F.substring("text", F.element_at("cuts", -1)["end"] + 1, F.length("text"))
-    return rows.select("doc_id", F.when(F.size("cuts") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text")).alias("text"))
+    return rows.withColumn("text", F.when(F.size("cuts") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))).drop("cuts")
