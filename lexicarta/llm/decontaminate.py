@@ -160,7 +160,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, share:
     Returns one row per pair with at least ``share`` of the item's windows found and
     consistent: ``doc_id, item_id, n_windows, n_found, coverage, reparameterised``.
     Null ids or texts, empty texts and items without a word match nothing; a text
-    shorter than a window is one window; repeated rows count once.  Up to
+    shorter than a window is one window, so an item of fewer words is found only as a
+    whole text (inside others such a phrase proves nothing); repeated rows count once.  Up to
     ``most_known`` benchmark windows (16 MB) go to the tasks as a filter; a larger
     benchmark joins without it, with the same result.
     """

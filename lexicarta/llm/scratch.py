@@ -42,7 +42,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(path)
-        return self.read(name, df) if not by else self.spark.read.parquet(path)
+        return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")

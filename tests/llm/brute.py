@@ -99,3 +99,7 @@ def jaccard_join(docs: list[tuple], k: int = 4, num: int = 85, den: int = 100) -
     edges = [(a, b) for (a, b), i in shared.items() if den * i >= num * (len(sets[a]) + len(sets[b]) - i)]
     comp = union_find(sets, edges)
     return {(doc, len(s), comp[doc]) for doc, s in sets.items()}
+
+
+def canonical(rows):
+    return sorted(tuple("~" if x is None else str(round(x, 6)) if isinstance(x, float) else str(x) for x in r) for r in rows)
