@@ -42,7 +42,7 @@ def group_headers(glossary: DataFrame) -> DataFrame:
 def random_bundle(glossary: DataFrame, seed: int) -> DataFrame:
     """One bundle per release, drawn by a seeded hash so that it can be repeated."""
     bundles = glossary.where("bundle_name is not null").select(*RELEASE, "bundle_name").distinct()
-    return bundles.groupBy(*RELEASE).agg(F.min_by("bundle_name", F.struct(F.xxhash64("bundle_name", F.lit(seed)), "bundle_name")).alias("bundle_name"))
+    return bundles.groupBy(*RELEASE).agg(F.min_by("bundle_name", F.struct(F.md5(F.concat("bundle_name", F.lit(f":{seed}"))), "bundle_name")).alias("bundle_name"))
 
 
 def browse_random_bundle(glossary: DataFrame, seed: int) -> DataFrame:

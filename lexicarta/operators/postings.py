@@ -19,8 +19,8 @@ def trigrams(text: Column) -> Column:
 
 
 def build(glossary: DataFrame) -> DataFrame:
-    """``platform, version, gram, id`` of each row's normalised text. Write it sorted by gram to prune look-ups."""
-    return glossary.select(*RELEASE, F.explode(trigrams(F.col("target_norm"))).alias("gram"), "id").distinct()
+    """``platform, version, gram, id`` of each row's normalised text: no shuffle. Write it sorted by gram to prune look-ups."""
+    return glossary.select(*RELEASE, F.explode(trigrams(F.col("target_norm"))).alias("gram"), "id")
 
 
 def lookup(postings: DataFrame, glossary: DataFrame, term: str) -> DataFrame:
@@ -29,7 +29,7 @@ def lookup(postings: DataFrame, glossary: DataFrame, term: str) -> DataFrame:
     grams = sorted({term[i : i + 3] for i in range(len(term) - 2)})
     if not grams:
         return glossary.where(contains_term(term))
-    found = postings.where(F.col("gram").isin(grams)).groupBy(*RELEASE, "id").agg(F.count("*").alias("k")).where(F.col("k") == len(grams))
+    found = postings.where(F.col("gram").isin(grams)).groupBy(*RELEASE, "id").agg(F.count_distinct("gram").alias("k")).where(F.col("k") == len(grams))
     return glossary.join(found, [*RELEASE, "id"], "left_semi").where(contains_term(term))
 
 

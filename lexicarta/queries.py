@@ -72,7 +72,7 @@ def scan_release(spark, sf_dir):
     return source.scan_release(X.glossary_docs(spark, sf_dir), "ios", 26).select(*RESULT_COLUMNS)
 
 
-@query("jdbc_ingest")
+@query("jdbc_ingest", f"WITH {X.SQL_DOCS} SELECT {SEVEN} FROM g WHERE {IOS}")
 def jdbc_ingest(spark, sf_dir):
     """Writes one release to an in-memory database beside the driver, then reads it back in parallel."""
     if not spark.sparkContext.master.startswith("local"):
@@ -312,7 +312,12 @@ def batch_advanced(spark, sf_dir):
     return batch.search_columns(g, m, X.column_requests(spark, sf_dir)).select("request_id", *RELEASE, *RESULT_COLUMNS)
 
 
-@query("random_bundle_browse")
+@query(
+    "random_bundle_browse",
+    f"""WITH {X.SQL_DOCS}, drawn AS (SELECT platform, version, arg_min(bundle_name, md5(concat(bundle_name, ':7'))) AS bundle_name FROM (SELECT DISTINCT platform, version, bundle_name FROM g) GROUP BY ALL),
+hit AS (SELECT DISTINCT platform, version, group_id FROM g SEMI JOIN drawn USING (platform, version, bundle_name))
+SELECT platform, version, {SEVEN} FROM g SEMI JOIN hit USING (platform, version, group_id)""",
+)
 def random_bundle_browse(spark, sf_dir):
     return catalog.browse_random_bundle(X.glossary_docs(spark, sf_dir), seed=7).select(*RELEASE, *RESULT_COLUMNS)
 
