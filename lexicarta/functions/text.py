@@ -22,8 +22,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def normalised(column: str) -> Column:
-    """The same for a column. Plain ASCII never leaves the JVM's own ``lower``; used at ingest only."""
-    return F.lower(_nfkc(F.col(column)))
+    """The same for a column, at ingest. Python sees only texts beyond ASCII; the others pass as null."""
+    wide = F.when(F.col(column).rlike("[^\\x00-\\x7F]"), F.col(column))
+    return F.lower(F.coalesce(_nfkc(wide), F.col(column)))
 
 
 def contains_term(term: str, column: str = "target_norm") -> Column:

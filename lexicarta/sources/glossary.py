@@ -39,10 +39,15 @@ def with_normalised_target(glossary: DataFrame) -> DataFrame:
     return glossary.withColumn("target_norm", normalised("target"))
 
 
-def write_glossary(glossary: DataFrame, path: str, files_per_release: int = 1) -> None:
-    """Partitioned by release; files hold ranges of groups in result order, so group look-ups prune row groups."""
-    dealt = glossary.repartitionByRange(max(1, files_per_release) * 10, "platform", "version", "group_id")
-    dealt.sortWithinPartitions("platform", "version", "group_id", "language").write.mode("overwrite").partitionBy("platform", "version").parquet(path)
+def write_glossary(glossary: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Partitioned by release; files hold ranges of groups in result order, so group look-ups prune row groups.
+
+    A range of a release goes to one file; ranges are drawn from the data, so a large
+    release gets more of them.
+    """
+    key = ("platform", "version", "group_id")
+    dealt = glossary.repartitionByRange(*([partitions] if partitions else []), *key)
+    dealt.sortWithinPartitions(*key, "language").write.mode("overwrite").partitionBy("platform", "version").parquet(path)
 
 
 def explode_language_map(raw: DataFrame) -> DataFrame:
