@@ -29,6 +29,8 @@ from .scratch import Scratch
 
 #: Slots of the frequency sketch: a fixed size, however many shingles there are.
 SLOT_BITS = 16
+#: So many ids may go to every task; more are joined by a shuffle.
+MOST_IDS = 1_000_000
 #: Rows of one side in a block of a large family.
 BLOCK = 1000
 
@@ -199,7 +201,9 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
     stars = stars.where("a <> b").where(fit("na", "nb")).select("a", "b").distinct()
     tried = scratch.write(pairs.unionByName(stars).distinct(), "tried")
 
-    held = live.select("doc_id").distinct()
+    held = scratch.write(live.select("doc_id").distinct(), "held")
+    if held.count() <= MOST_IDS:  # 8 MB of ids: the texts need no shuffle
+        held = F.broadcast(held)
 
     def gather(batches):
         for batch in batches:
