@@ -128,9 +128,8 @@ class FingerprintIndex:
         def strip(batches):
             for batch in batches:
                 spans_of, windows_of = batch.column(2), batch.column(3)
-                out: list[tuple] = []
                 for low, high, data, offsets in S.chunks(batch.column(1)):
-                    raw = data.tobytes()
+                    raw, out = data.tobytes(), []
                     busy = [k for k in range(high - low) if spans_of[low + k].is_valid or windows_of[low + k].is_valid]
                     gone: dict[int, np.ndarray] = {}
                     if busy:
@@ -151,8 +150,9 @@ class FingerprintIndex:
                         kept = own if k not in gone else list(itertools.compress(own, ~gone[k]))
                         joined = b" ".join(kept)
                         out.append((len(own), len(own) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest()))
-                n_words, n_removed, text, digest = zip(*out, strict=True) if out else ((), (), (), ())
-                yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(text, pa.string()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+                    n_words, n_removed, text, digest = zip(*out, strict=True)
+                    ids = batch.column(0).slice(low, high - low)
+                    yield pa.record_batch([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(text, pa.string()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
         marks = seen.withColumn("window", F.lit(None).cast("long")).unionByName(windows.withColumn("span", F.lit(None).cast("long")))
         marks = marks.groupBy("doc_id").agg(F.collect_set("span").alias("spans"), F.collect_set("window").alias("windows"))
