@@ -190,9 +190,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
     def strip(batches):
         for batch in batches:
             whole_of, part_of = batch.column(2), batch.column(3)
-            out = []
             for low, high, data, offsets in S.chunks(batch.column(1)):
-                raw = data.tobytes()
+                raw, out = data.tobytes(), []
                 busy = [k for k in range(high - low) if whole_of[low + k].is_valid or part_of[low + k].is_valid]
                 gone = {}
                 if busy:
@@ -216,9 +215,9 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
                         runs = int(np.count_nonzero(mask[1:] & ~mask[:-1]) + (len(mask) > 0 and mask[0]))
                     kept = own if not runs else np.frombuffer(own, np.uint8)[~mask].tobytes()
                     out.append((len(own), len(own) - len(kept), runs, kept, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                columns = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.record_batch([batch.column(0).slice(low, high - low), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     none = F.lit(None)
     marks = whole.withColumn("part", none.cast("struct<span:long,at:array<int>>")).unionByName(
