@@ -115,17 +115,18 @@ def train(labelled: DataFrame, buckets: int = 4096, per_language: int = 400, rou
     label = np.array([languages.index(r[0]) for r in got])
     code = codewords(len(languages))
     target = code[label]
-    weights, bias = np.zeros((buckets, code.shape[1])), np.zeros(code.shape[1])
-    step, decay, speed = 8.0, 1e-4, np.zeros_like(weights)
+    # single precision throughout: the feature matrix is never copied to doubles
+    weights, bias, target = np.zeros((buckets, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), target.astype(np.float32)
+    step, decay, speed = np.float32(8.0), np.float32(1e-4), np.zeros_like(weights)
     for _ in range(rounds):  # gradient descent with momentum on the logistic loss
         margin = np.clip(target * (x @ weights + bias), -50, 50)
-        pull = -target / (1 + np.exp(margin)) / len(x)
-        speed = 0.9 * speed - step * (x.T @ pull + decay * weights)
+        pull = -target / (1 + np.exp(margin)) / np.float32(len(x))
+        speed = np.float32(0.9) * speed - step * (x.T @ pull + decay * weights)
         weights += speed
-        bias -= step * pull.sum(0) * 0.1
+        bias -= step * pull.sum(0) * np.float32(0.1)
     right = np.mean(np.sign(x @ weights + bias) == target, axis=0)
     trust = np.maximum(2 * right - 1, 1e-3)
-    return LanguageModel(languages, code, weights.astype(np.float32), bias, trust / trust.mean(), buckets)
+    return LanguageModel(languages, code, weights, bias, trust / trust.mean(), buckets)
 
 
 def predict(docs: DataFrame, model: LanguageModel, lead: float = 0.2) -> DataFrame:
