@@ -5,8 +5,11 @@ and then a small letter) become typed placeholders, so a question keeps its
 template when its parameters change.  Windows that hold a name also count with the
 name as a word, for copies whose case or sentence bounds differ.  Hashes of
 five-word template windows join documents with benchmark items; slot values must
-then agree: within a document and an item, one value of the item stands for one
-value of the document.
+then agree: within one copy of an item, one value of the item stands for one value
+of the document.  A document may hold several copies with different values, so
+where values disagree the windows are judged copy by copy: by how far document and
+item place lie apart, in half-overlapping ranges of every width from one word up to
+the whole document.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .scratch import Scratch
 
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hours minutes seconds days weeks months years mph kmh km/h percent usd eur dollars euros cents meters metres miles kilometers kilometres grams kilograms liters litres".split()
 NUMBER, NAME, UNIT = (np.uint64(0xA5A5A5A500000000 + k) for k in (1, 2, 3))
@@ -153,12 +157,38 @@ def _window_rows(df: DataFrame, key: str, width: int, known: np.ndarray | None)
     return df.select(F.col(key).cast("long").alias(key), "text").where(f"{key} is not null and text is not null").mapInArrow(run, f"{key} long, place long, window long, slots array<string>")
 
 
+def _by_copy(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``copy``: one for all windows whose values agree anyway, else every range of ``apart`` a window lies in.
+
+    Windows of one copy lie equally far apart from the item, or nearly where names differ
+    in length.  Windows within d words are together in some range of at most 4d words, and
+    the widest range is the whole document.
+    """
+    key = ["doc_id", "item_id"]
+    values = pairs.select(*key, F.explode("slots").alias("s")).groupBy(*key, F.col("s.a").alias("a")).agg(F.min("s.b").alias("low"), F.max("s.b").alias("high"))
+    mixed = values.where("low <> high").select(*key).distinct()
+    spread = pairs.join(mixed, key, "left_semi").groupBy(*key).agg(F.min("apart").alias("least"), (F.max("apart") - F.min("apart")).alias("spread"))
+    placed = pairs.join(spread, key, "left")
+    far = F.col("apart") - F.col("least")
+    whole = F.ceil(F.log2(F.col("spread") + F.lit(1))).cast("int")  # 2**whole is more than the spread
+
+    def ranges(k):
+        width = F.pow(F.lit(2.0), k)
+        one = lambda half: F.struct(k.alias("scale"), F.lit(half).alias("half"), F.floor((far + half * width / 2) / width).alias("number"))
+        return F.when(k == 0, F.array(one(0))).otherwise(F.array(one(0), one(1)))
+
+    only = F.array(F.struct(F.lit(0).alias("scale"), F.lit(0).alias("half"), F.lit(0).cast("long").alias("number")))
+    copies = F.when(F.col("spread").isNull(), only).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), whole), ranges)))
+    return placed.select(*key, "place", "slots", F.explode(copies).alias("copy"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, most_known: int = 2_000_000) -> DataFrame:
     """Documents that hold a benchmark item, whole or re-parameterised.
 
     ``docs (doc_id, text)``, ``benchmark (item_id, text)``; other columns are ignored.
     Returns one row per pair with at least ``share`` of the item's windows found and
-    consistent: ``doc_id, item_id, n_windows, n_found, coverage, reparameterised``.
+    consistent in one place: ``doc_id, item_id, n_windows, n_found, coverage,
+    reparameterised`` of its best copy (an exact one if equal).
     Null ids or texts, empty texts and items without a word match nothing; a text
     shorter than a window is one window, so an item of fewer words is found only as a
     whole text (inside others such a phrase proves nothing); repeated rows count once.  Up to
@@ -170,15 +200,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, share:
     hashes = [r[0] for r in items.select("window").distinct().limit(most_known + 1).collect()]
     known = np.sort(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= most_known else None
     found = _window_rows(docs, "doc_id", width, known)
-    pairs = found.select("doc_id", "window", F.col("slots").alias("doc_slots")).join(items, "window")
-    pairs = pairs.select("doc_id", "item_id", "place", F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"))
+    pairs = found.select("doc_id", "window", F.col("place").alias("at"), F.col("slots").alias("doc_slots")).join(items, "window")
+    pairs = pairs.select("doc_id", "item_id", "place", (F.col("at") - F.col("place")).alias("apart"), F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"))
+    pairs = _by_copy(Scratch(docs.sparkSession, "leaks").write(pairs, "pairs"))
     # without slots a window is consistent as it is; else each of its values must map as most do
-    votes = pairs.where(F.size("slots") > 0).select("doc_id", "item_id", F.explode("slots").alias("s")).groupBy("doc_id", "item_id", F.col("s.a").alias("a"), F.col("s.b").alias("b")).agg(F.count("*").alias("n"))
-    rule = votes.groupBy("doc_id", "item_id", "a").agg(F.max_by("b", F.struct("n", F.col("a") == F.col("b"), "b")).alias("b"))
-    rule = rule.groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("rule"))
-    judged = pairs.join(rule, ["doc_id", "item_id"], "left")
+    key = ["doc_id", "item_id", "copy"]
+    votes = pairs.where(F.size("slots") > 0).select(*key, F.explode("slots").alias("s")).groupBy(*key, F.col("s.a").alias("a"), F.col("s.b").alias("b")).agg(F.count("*").alias("n"))
+    rule = votes.groupBy(*key, "a").agg(F.max_by("b", F.struct("n", F.col("a") == F.col("b"), "b")).alias("b"))
+    rule = rule.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("rule"))
+    judged = pairs.join(rule, key, "left")
     fits = judged.where(F.coalesce(F.forall("slots", lambda s: F.element_at("rule", s["a"]) == s["b"]), F.size("slots") == 0))
     moved = F.max(F.exists("slots", lambda s: s["a"] != s["b"]))
-    total = fits.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("n_found"), moved.alias("reparameterised"))
+    copies = fits.groupBy(*key).agg(F.count_distinct("place").alias("n_found"), moved.alias("moved"))
+    total = copies.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", (~F.col("moved")).alias("exact"))).alias("best"))
+    total = total.select("doc_id", "item_id", "best.n_found", (~F.col("best.exact")).alias("reparameterised"))
     total = total.join(size, "item_id").withColumn("coverage", F.col("n_found") / F.col("n_windows"))
     return total.where(F.col("coverage") >= share).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "reparameterised")

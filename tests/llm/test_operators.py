@@ -252,6 +252,22 @@ def test_decontaminate_needs_consistent_slots(spark):
     assert collected(got, "doc_id", "reparameterised") == {(1, True)}
 
 
+def test_decontaminate_judges_copies_apart(spark):
+    item = "If a train leaves Boston at 60 mph and a car leaves Dallas at 45 mph when do they meet on the road"
+    copy = lambda a, m, b, n: item.replace("Boston", a).replace("60", m).replace("Dallas", b).replace("45", n)
+    two = [copy("Denver", "75", "Austin", "90"), copy("Miami", "50", "Boise", "30")]
+    long_name = copy("New York City", "75", "Salt Lake City", "90")
+    torn = "If a train leaves Boston at 60 mph then a Car leaves Austin at 30 mph. The train leaves Dallas at 45 mph, who knows when do they meet"
+    docs = [
+        (1, ". ".join(two)), (2, f"{item}. {two[0]}. {two[1]}"), (3, f"{two[0]}. {two[1]}. {item}"), (4, f"{two[0]} {'and so on ' * 300}. {two[1]}"),
+        (5, f"{long_name}. {two[1]}"), (6, ". ".join(copy(f"P{'abcdefgh'[k]}x", str(k), f"Q{'abcdefgh'[k]}y", str(k + 20)) for k in range(8))), (7, torn), (8, f"{torn}. {torn}"),
+    ]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (2_000_000, 1):
+        got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), b, most_known=most)
+        assert collected(got, "doc_id", "reparameterised") == {(1, True), (2, False), (3, False), (4, True), (5, True), (6, True)}
+
+
 SECRETS = [
     (1, None), (2, ""), (3, "password=hunter22 and token: 'abc' secret=abcdef"), (4, "é😀 API_KEY = \"" + "Ab1" * 9 + "\" x"),
     (5, "AKIA" + "Q" * 16 + " AKIAQQ AKIAAKIA" + "Z9" * 10), (6, "deadbeef" * 3 + " " + "f" * 23 + " g" + "0a" * 15 + "G"),
