@@ -8,8 +8,9 @@ weights, for a few rounds.  A document's score sums the log-probability of every
 one of its tokens given both sides.
 
 Tokens are lower-cased words: the most frequent of the whole corpus by themselves,
-all others in hashed buckets.  Vocabulary and parameters have a fixed size; what
-the rounds gather grows with the number of partitions.
+all others in hashed buckets.  With the counts of all words, a word in a bucket gets
+the bucket's probability times its own share of it, and the vocabulary grows with
+the fourth root of the corpus, up to ``MOST_SIDE ** 2`` tokens.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .scratch import Scratch
 
 #: Rows of averaged parameters: values in one row, and ways to split the sum of a row.
 ROW, WAYS = 2048, 64
+#: Words of a corpus up to which the smallest shape stands, and the side of the largest.
+FEW_WORDS, MOST_SIDE = 1 << 22, 96
 
 
 @dataclass(frozen=True)
@@ -140,8 +143,8 @@ def train_step(flat: np.ndarray, memory: np.ndarray, around: np.ndarray, target:
     flat -= rate * slope / np.sqrt(memory + 1e-8)
 
 
-def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the ``words`` most frequent words over all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n`` for the hash of every word of all documents."""
 
     def count(batches):
         for batch in batches:
@@ -153,11 +156,45 @@ def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
                 n = np.bincount(at, np.concatenate([x[1] for x in held]), len(h)).astype(np.int64)
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    counted = docs.select("text").where("text is not null").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").where("text is not null").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(counted: DataFrame, words: int) -> np.ndarray:
     best = counted.orderBy(F.desc("n"), "word").limit(words).collect()
     return np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
 
 
+def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of the ``words`` most frequent words over all documents."""
+    return _most_frequent(word_counts(docs), words)
+
+
+def shape_for(n_words: int) -> Shape:
+    """The shape for a corpus of so many words, three quarters of its tokens frequent words."""
+    side = min(MOST_SIDE, int(Shape.side * max(1.0, n_words / FEW_WORDS) ** 0.125))
+    return Shape(side=side, words=side * side * 3 // 4)
+
+
+@dataclass(frozen=True)
+class Shares:
+    """What tells the words of a bucket apart: ``counted (word, n)`` of the corpus, and by bucket the logarithm of its words, occurrences and one."""
+
+    counted: DataFrame
+    rest: np.ndarray
+
+
+def word_shares(counted: DataFrame, words: np.ndarray, shape: Shape = Shape()) -> Shares:
+    """P(word | bucket) is (n + 1) / (occurrences + words + 1); one part is left for all unseen words together."""
+    buckets = shape.tokens - shape.words
+    frequent = counted.sparkSession.createDataFrame([(x,) for x in words.view(np.int64).tolist()], "word long")
+    signed = F.pmod("word", F.lit(buckets)) + F.when(F.col("word") < 0, 2**64 % buckets).otherwise(0)
+    held = counted.join(F.broadcast(frequent), "word", "left_anti").groupBy(F.pmod(signed, F.lit(buckets)).cast("int").alias("bucket"))
+    rest = np.ones(buckets)
+    for r in held.agg((F.sum("n") + F.count("*")).alias("n")).collect():
+        rest[r["bucket"]] += r["n"]
+    return Shares(counted, np.log(rest))
+
+
 def _average(rows: DataFrame, length: int) -> np.ndarray | None:
     """Weighted mean of parameter rows ``part, row, weight, values``, summed in a stream, in two levels."""
 
@@ -189,11 +226,11 @@ def _average(rows: DataFrame, length: int) -> np.ndarray | None:
     return np.concatenate([np.array(r[3]) / r[2] for r in got])[:length].astype(np.float32)
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), every: int = 8, rounds: int = 2, batch: int = 4096, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """(vocabulary, parameters), fitted on one masked position in ``every`` of every document."""
+def train(docs: DataFrame, shape: Shape = Shape(), every: int = 8, rounds: int = 2, batch: int = 4096, rate: float = 0.1, counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary, parameters), fitted on one masked position in ``every`` of every document; ``counted`` are its word counts, where at hand."""
     scratch = Scratch(docs.sparkSession, "lm")
     docs = docs.select("text").where("text is not null")
-    words, flat = vocabulary(docs, shape.words), shape.start()
+    words, flat = _most_frequent(word_counts(docs) if counted is None else counted, shape.words), shape.start()
     for turn in range(rounds):
 
         def fit(batches, common=flat, turn=turn):
@@ -226,17 +263,18 @@ def train(docs: DataFrame, shape: Shape = Shape(), every: int = 8, rounds: int =
     return words, flat
 
 
-def score(docs: DataFrame, words: np.ndarray, flat: np.ndarray, shape: Shape = Shape(), batch: int = 1 << 15) -> DataFrame:
+def score(docs: DataFrame, words: np.ndarray, flat: np.ndarray, shape: Shape = Shape(), batch: int = 1 << 15, shares: Shares | None = None) -> DataFrame:
     """``doc_id, n_tokens, pll, mean_pll`` for every row of ``docs (doc_id, text)``.
 
     ``pll`` sums the log-probability of every token of the whole text from both
-    sides.  A null or wordless text has 0 tokens, ``pll`` 0 and a null mean; null ids
-    and repeated rows stay; other columns are ignored.
+    sides; with ``shares`` that of every word.  A null or wordless text has 0 tokens,
+    ``pll`` 0 and a null mean; null ids and repeated rows stay; other columns are ignored.
     """
+    rest = None if shares is None else shares.rest
 
     def run(batches):
         for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            n, total, rare, ends = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), [], np.zeros(b.num_rows + 1, np.int64)
             for low, high, data, offsets in S.chunks(b.column(1)):
                 w = S.words(data, offsets, lower=True)
                 ids = token_ids(w.hash, words, shape)
@@ -244,11 +282,32 @@ def score(docs: DataFrame, words: np.ndarray, flat: np.ndarray, shape: Shape = S
                 for k in range(0, len(ids), batch):
                     at = np.arange(k, min(k + batch, len(ids)))
                     logs[at] = log_probabilities(flat, contexts(ids, w.bounds, at, shape), ids[at], shape)
+                if rest is not None:
+                    shared = np.flatnonzero(ids >= shape.words)
+                    logs[shared] -= rest[ids[shared] - shape.words]
+                    rare.append(w.hash[shared])
+                    ends[low + 1 : high + 1] = ends[low] + np.searchsorted(shared, w.bounds[1:])
                 n[low:high] = np.diff(w.bounds)
                 some = np.flatnonzero(n[low:high])
                 if len(some):
                     total[low + some] = np.add.reduceat(logs, w.bounds[some])
-            yield pa.record_batch([b.column(0), pa.array(n), pa.array(total)], ["doc_id", "n_tokens", "pll"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, pll double")
+            found = [b.column(0), pa.array(n), pa.array(total)]
+            if rest is not None:
+                found.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rare, np.zeros(0, np.uint64)]).view(np.int64))))
+            yield pa.record_batch(found, ["doc_id", "n_tokens", "pll", "rare"][: len(found)])
+
+    schema = "doc_id long, n_tokens long, pll double" + ("" if shares is None else ", rare array<long>")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    if shares is not None:
+        out = Scratch(docs.sparkSession, "lm-scores").write(out.withColumn("row", F.monotonically_increasing_id()), "rows")
+        share = out.select("row", F.explode("rare").alias("word")).join(shares.counted, "word").groupBy("row").agg(F.sum(F.log1p("n")).alias("share"))
+        out = out.drop("rare").join(share, "row", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("share", F.lit(0.0))).alias("pll"))
     return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
+
+
+def train_and_score(docs: DataFrame) -> DataFrame:
+    """Scores of all documents under a model of them, of the shape for their size."""
+    counted = Scratch(docs.sparkSession, "lm-words").write(word_counts(docs), "counted")
+    shape = shape_for(counted.agg(F.sum("n")).first()[0] or 0)
+    words, flat = train(docs, shape, counted=counted)
+    return score(docs, words, flat, shape, shares=word_shares(counted, words, shape))

@@ -70,8 +70,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, *lm_scoring.train(docs))
+    return lm_scoring.train_and_score(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -332,6 +332,33 @@ def test_lm_scores(spark, docs, rows):
         assert got[doc]["n_tokens"] == len(ids) and got[doc]["pll"] == pytest.approx(total, rel=1e-4)
 
 
+def test_lm_words_of_a_bucket_have_their_own_shares(spark):
+    shape = lm_scoring.Shape(side=4, words=6, width=4, radius=1)
+    texts = ["a b c d e f " * 9 + "often often often seen", "often", "seen", "never", "often  Never seen", None, ""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "often"), (1, "often")], "doc_id long, text string").repartition(2)
+    counted = lm_scoring.word_counts(docs.where("doc_id = 0"))
+    words, flat = lm_scoring.train(docs.where("doc_id = 0"), shape, counted=counted)
+    shares = lm_scoring.word_shares(counted, words, shape)
+    plain, got = (sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["pll"]) for r in lm_scoring.score(docs, words, flat, shape, shares=s).collect()) for s in (None, shares))
+    assert [x[:2] for x in plain] == [x[:2] for x in got]
+    seen = {"often": 3, "seen": 1}
+    hashes = {}
+    for t in (*seen, "never"):
+        (_, _, data, offsets), = spans.chunks(pa.array([t]))
+        hashes[t] = spans.words(data, offsets, lower=True).hash
+    bucket = {t: int(lm_scoring.token_ids(h, words, shape)[0]) for t, h in hashes.items()}
+    share = lambda t: math.log((seen.get(t, 0) + 1) / (sum(n + 1 for w, n in seen.items() if bucket[w] == bucket[t]) + 1))
+    add = {0: 3 * share("often") + share("seen"), 1: share("often"), 2: share("seen"), 3: share("never"), 4: share("often") + share("never") + share("seen"), 5: 0, 6: 0, -1: share("often")}
+    for (k, _, before), (_, _, after) in zip(plain, got, strict=True):
+        assert after - before == pytest.approx(add[k], abs=1e-4), k
+
+
+def test_lm_vocabulary_grows_with_the_corpus():
+    sides = [lm_scoring.shape_for(n).side for n in (0, 1 << 22, 1 << 30, 1 << 34, 1 << 60)]
+    assert sides[:2] == [32, 32] and sides[1] < sides[2] < sides[3] < sides[4] == lm_scoring.MOST_SIDE
+    assert lm_scoring.shape_for(0) == lm_scoring.Shape()
+
+
 def test_lm_training_learns(spark):
     base = [f"w{k}" for k in range(30)]
     docs = spark.createDataFrame([(k, " ".join(base * 40)) for k in range(20)], "doc_id long, text string")
