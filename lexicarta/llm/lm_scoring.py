@@ -4,7 +4,7 @@ A small network looks at the words on both sides of a masked position and gives
 every token a probability, by class and then within the class.  It is trained in
 numpy inside the tasks: each partition masks a share of all its positions, trains
 from the common parameters, and the results are averaged with the positions as
-weights, for a few rounds.  A document's score sums the log-probability of every
+weights, for a few rounds, each with another share until every position had a turn.  A document's score sums the log-probability of every
 one of its tokens given both sides.
 
 Tokens are lower-cased words: the most frequent of the whole corpus by themselves,
@@ -136,8 +136,9 @@ def train_step(flat: np.ndarray, memory: np.ndarray, around: np.ndarray, target:
     back *= 1 - hidden**2
     g_shift += back.sum(0)
     g_place += (seen * back[:, None, :]).sum(0)
-    for k in range(2 * shape.radius):
-        np.add.at(g_embed, around[:, k], back * place[k])
+    cell, entries = np.arange(shape.width), g_embed.reshape(-1)
+    for k in range(2 * shape.radius):  # by single cells: much faster than by rows
+        np.add.at(entries, (around[:, k, None] * shape.width + cell).ravel(), (back * place[k]).ravel())
     slope /= len(target)
     memory += slope**2
     flat -= rate * slope / np.sqrt(memory + 1e-8)
@@ -226,8 +227,18 @@ def _average(rows: DataFrame, length: int) -> np.ndarray | None:
     return np.concatenate([np.array(r[3]) / r[2] for r in got])[:length].astype(np.float32)
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), every: int = 8, rounds: int = 2, batch: int = 4096, rate: float = 0.1, counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(vocabulary, parameters), fitted on one masked position in ``every`` of every document; ``counted`` are its word counts, where at hand."""
+def masked(words: S.Words, every: int, turn: int) -> np.ndarray:
+    """Positions whose turn it is, by word and place in the document alone."""
+    place = np.arange(len(words.hash)) - np.repeat(words.bounds[:-1], np.diff(words.bounds))
+    return np.flatnonzero(S.mix(words.hash + place.astype(np.uint64) * np.uint64(S.ITEM_BASE)) % np.uint64(every) == np.uint64(turn % every))
+
+
+def train(docs: DataFrame, shape: Shape = Shape(), every: int = 2, rounds: int = 2, batch: int = 4096, rate: float = 0.1, counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary, parameters), fitted on one masked position in ``every`` of every document a round.
+
+    The shares of ``every`` rounds in a row are disjoint and together all positions.
+    ``counted`` are the word counts of ``docs``, where at hand.
+    """
     scratch = Scratch(docs.sparkSession, "lm")
     docs = docs.select("text").where("text is not null")
     words, flat = _most_frequent(word_counts(docs) if counted is None else counted, shape.words), shape.start()
@@ -241,7 +252,7 @@ def train(docs: DataFrame, shape: Shape = Shape(), every: int = 8, rounds: int =
                 for _, _, data, offsets in S.chunks(b.column(0)):
                     w = S.words(data, offsets, lower=True)
                     ids = token_ids(w.hash, words, shape)
-                    at = np.flatnonzero(S.mix(w.hash + np.arange(len(ids), dtype=np.uint64) * np.uint64(S.ITEM_BASE) + np.uint64(turn)) % np.uint64(every) == 0)
+                    at = masked(w, every, turn)
                     at = at[np.argsort(S.mix(at.astype(np.uint64)))]
                     for k in range(0, len(at), batch):
                         part = at[k : k + batch]

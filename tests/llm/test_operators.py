@@ -1,6 +1,7 @@
 """Operators against plain versions on a small table with every awkward case."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -353,6 +354,17 @@ def test_lm_words_of_a_bucket_have_their_own_shares(spark):
         assert after - before == pytest.approx(add[k], abs=1e-4), k
 
 
+def test_lm_training_masks_every_position_once():
+    texts = pa.array(["a b c a b c " * 50, None, "", "one", "d e f " * 70])
+    (_, _, data, offsets), = spans.chunks(texts)
+    w = spans.words(data, offsets, lower=True)
+    for every in (1, 2, 5):
+        turns = [lm_scoring.masked(w, every, turn) for turn in range(every)]
+        assert sorted(np.concatenate(turns).tolist()) == list(range(len(w.hash)))
+    given = inspect.signature(lm_scoring.train).parameters
+    assert given["rounds"].default >= given["every"].default
+
+
 def test_lm_vocabulary_grows_with_the_corpus():
     sides = [lm_scoring.shape_for(n).side for n in (0, 1 << 22, 1 << 30, 1 << 34, 1 << 60)]
     assert sides[:2] == [32, 32] and sides[1] < sides[2] < sides[3] < sides[4] == lm_scoring.MOST_SIDE
