@@ -22,6 +22,8 @@ SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Where the character classes of all Unicode versions agree.
 PLAIN = re.compile(r"[\x00-ɏ‐-‧‰-⁞€]*")
 PIECE_CHARS, BATCH_BYTES = 1 << 16, 1 << 19
+#: Runs of blanks beyond the stack of the fast encoder's splitter (it fails at a million, not at half a million).
+LONG_BLANK, BLANKS = 100_000, re.compile(r"\s+")
 
 _loaded: dict[tuple, tuple] = {}
 
@@ -38,6 +40,10 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
     return out
 
 
+def long_blank(piece: str) -> bool:
+    return len(piece) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in BLANKS.finditer(piece))
+
+
 def _encoders(model: str, ranks: str | None, pattern: str | None):
     """(tokenizer, fast encoder or None), once per worker process."""
     key = (model, ranks, pattern)
@@ -83,7 +89,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 1024, ranks: str | No
                 text = text or ""
                 n_bytes[k] = len(text.encode())
                 for piece in pieces(text):
-                    if fast is not None and PLAIN.fullmatch(piece):
+                    if fast is not None and PLAIN.fullmatch(piece) and not long_blank(piece):
                         total[k] += len(fast.encode(piece, allowed_special="all"))
                         continue
                     queue.append(piece)

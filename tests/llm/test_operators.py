@@ -132,6 +132,17 @@ def test_token_counts(docs, rows):
         assert all(r[1] == (r[0] > 10) for r in got.select("n_tokens", "over_limit").collect())
 
 
+def test_token_counts_of_long_blanks(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_counts.token_counts(df, path("byte_bpe_50k.json"), 10, path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert collected(got, "doc_id", "n_tokens") == {(k, len(tok.encode(t, add_special_tokens=False).ids)) for k, t in enumerate(texts)}
+
+
 def test_token_pieces_are_safe(spark):
     from tokenizers import Tokenizer
 
