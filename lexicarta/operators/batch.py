@@ -95,5 +95,12 @@ def first_pages(rows: DataFrame, size: int = DEFAULT_SIZE) -> DataFrame:
     return rows.withColumn("row_number", F.row_number().over(order)).where(F.col("row_number") <= size)
 
 
+def requested_pages(rows: DataFrame, paged: DataFrame) -> DataFrame:
+    """The page each request ``(request_id, page_size, row_offset)`` asks for, with ``row_number``."""
+    order = Window.partitionBy("request_id").orderBy(*total_order())
+    numbered = rows.withColumn("row_number", F.row_number().over(order)).join(paged.select("request_id", "page_size", "row_offset"), "request_id")
+    return numbered.where((F.col("row_number") > F.col("row_offset")) & (F.col("row_number") <= F.col("row_offset") + F.col("page_size"))).drop("page_size", "row_offset")
+
+
 def totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("request_id").agg(F.count("id").alias("total"))

@@ -287,8 +287,9 @@ def paging_math(spark, sf_dir):
 def response_documents(spark, sf_dir):
     g, m, asked = _batch(spark, sf_dir)
     found = batch.search_all(g, m, asked)
-    pages = batch.first_pages(found, 200)
-    total = batch.paging(asked).select("request_id", "page_number", "page_size").join(batch.totals(found), "request_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    paged = batch.paging(asked)
+    pages = batch.requested_pages(found, paged)
+    total = paged.select("request_id", "page_number", "page_size").join(batch.totals(found), "request_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     return source.response_documents(pages, batch.with_pages(total))
 
 

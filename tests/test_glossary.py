@@ -268,6 +268,19 @@ def test_response_documents(spark, glossary, language_map, tmp_path):
     assert got[5]["data"] == [] and got[5]["total"] == 0 and got[5]["last_page"] == 0
 
 
+def test_response_documents_hold_the_requested_page(spark):
+    from lexicarta.queries import QUERIES
+
+    rows = spark.createDataFrame([(r, *row(k, k, "s", f"t{k}", "en")) for r in (1, 2, 3, 4) for k in range(130)], "request_id long, " + GLOSSARY_SCHEMA)
+    asked = spark.createDataFrame([(1, "2", "50"), (2, "3", "50"), (3, "4", "50"), (4, None, None)], "request_id long, page string, size string")
+    got = {}
+    for r in batch.requested_pages(rows, batch.paging(asked)).collect():
+        got.setdefault(r["request_id"], set()).add(r["id"])
+    assert got == {1: set(range(50, 100)), 2: set(range(100, 130)), 4: set(range(130))}
+    for r in QUERIES["response_documents"](spark, SMALL).join(batch.paging(fixtures.requests(spark, SMALL)), "request_id").collect():
+        assert len(r["data"]) == max(0, min(r["page_size"], r["total"] - r["row_offset"]))
+
+
 def test_postings_equal_the_scan(spark, glossary):
     rng = random.Random(6)
     made = ["".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, 40))) for _ in range(150)]
