@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalised
 from ..schema import COLUMNS, DEFAULT_SIZE, MOST_SIZE, OPERATORS, RELEASE, total_order
 
 
@@ -59,7 +60,7 @@ def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame
     Requests meet rows of their release only; the release is the join's equal key, the
     term its condition.  Returns ``request_id`` and the glossary's columns.
     """
-    asked = requests.where(search_status() == "ok").select("request_id", *RELEASE, F.lower("q").alias("q"), "bundle")
+    asked = requests.where(search_status() == "ok").select("request_id", *RELEASE, normalised("q").alias("q"), "bundle")
     codes = _selected(requests, language_map)
     near = glossary.join(asked, [*RELEASE]).where((F.coalesce("q", F.lit("")) == "") | F.contains("target_norm", "q")).where((F.coalesce("bundle", F.lit("")) == "") | (F.col("bundle_name") == F.col("bundle")))
     groups = near.join(codes, ["request_id", "language"], "left_semi").select("request_id", *RELEASE, "group_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_term, normalise
+from ..functions.text import contains_term, normalise, normalised
 from ..schema import RELEASE
 
 
@@ -34,12 +34,28 @@ def lookup(postings: DataFrame, glossary: DataFrame, term: str) -> DataFrame:
 
 
 def batch_matches(postings: DataFrame, glossary: DataFrame, requests: DataFrame) -> DataFrame:
-    """``request_id, platform, version, id`` for requests ``(request_id, platform, version, q)``.
+    """``request_id, platform, version, id`` for requests ``(request_id, platform, version, q)`` of three characters or more.
 
     Each request looks its rarest trigram up (by document frequency in its release),
     then the text is checked: an equi-join, however many requests there are.
+    ``batch_lookup`` answers shorter requests too.
     """
-    asked = requests.where("length(q) >= 3").select("request_id", *RELEASE, F.lower("q").alias("q"))
+    return batch_lookup(postings, glossary, requests.where("length(q) >= 3"))
+
+
+def _by_release(glossary: DataFrame, asked: DataFrame) -> DataFrame:
+    """Terms without a trigram, by the release as the key, as in ``batch.search_all``."""
+    near = asked.join(glossary.select(*RELEASE, "id", "target_norm"), [*RELEASE])
+    return near.where(F.contains("target_norm", "q")).select("request_id", *RELEASE, "id").distinct()
+
+
+def batch_lookup(postings: DataFrame, glossary: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same for requests of any length but empty ones; terms without a trigram meet the rows of their release."""
+    asked = requests.where("length(q) > 0").select("request_id", *RELEASE, normalised("q").alias("q"))
+    return _by_rarest(postings, glossary, asked.where("length(q) >= 3")).unionByName(_by_release(glossary, asked.where("length(q) < 3")))
+
+
+def _by_rarest(postings: DataFrame, glossary: DataFrame, asked: DataFrame) -> DataFrame:
     grams = asked.select("request_id", *RELEASE, "q", F.explode(trigrams(F.col("q"))).alias("gram"))
     frequency = postings.groupBy(*RELEASE, "gram").agg(F.count("*").alias("df"))
     complete = grams.join(frequency, [*RELEASE, "gram"], "left")

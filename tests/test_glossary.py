@@ -295,6 +295,15 @@ def test_postings_equal_the_scan(spark, glossary):
     assert got == {(k, i) for k, term in enumerate(terms) if len(term) >= 3 for i, t in enumerate(made) if text.normalise(term) in text.normalise(t)}
 
 
+def test_batch_lookup_answers_short_and_wide_terms(spark):
+    made = ["abc def", "ﬁne day", "xa", "", None, "ＡＢＣ"]
+    df = source.with_normalised_target(spark.createDataFrame([row(k, k, "s", t, "en") for k, t in enumerate(made)], GLOSSARY_SCHEMA))
+    terms = ["a", "ab", "ＡＢＣ", "ﬁ", "ﬁne", "", "day"]
+    asked = spark.createDataFrame([(k, "ios", 26, t) for k, t in enumerate(terms)], "request_id long, platform string, version int, q string")
+    got = {(r["request_id"], r["id"]) for r in postings.batch_lookup(postings.build(df), df, asked).collect()}
+    assert got == {(k, i) for k, term in enumerate(terms) if term for i, t in enumerate(made) if t and text.normalise(term) in text.normalise(t)}
+
+
 def test_partitioned_dataset_and_plans(spark, glossary, language_map, tmp_path):
     path = str(tmp_path / "glossary")
     parts = {(p, v): glossary.where((F.col("platform") == p) & (F.col("version") == v)).drop("platform", "version") for p, v in (("ios", 26), ("ios", 18), ("macos", 26))}
