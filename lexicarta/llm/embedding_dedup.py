@@ -1,16 +1,20 @@
 """Operator 2: near-duplicate vectors by collision-counting projections.
 
-Unit vectors are projected on many random directions.  For two vectors at
-distance d each difference of projections is normal with deviation d, so a window
-of ``z`` threshold deviations around the query catches a true neighbour with a
-known chance.  A pair is verified by its exact cosine when enough of its
-projections collide; the count is calibrated so that pairs right at the threshold
-are found with the recall asked for, and closer ones more often.
-
-The first projections are sorted into cells as wide as the window, so a query's
-window lies in neighbouring cells.  Cells are cut into blocks of bounded size, and
-each pair of neighbouring blocks is one unit of work: it returns, for each of its
-vectors, a number of links and the smallest linked id, never the pairs.
+Unit vectors are projected on many random directions, and each projection is kept
+sorted at its far end only: the vectors beyond the quantile ``share``.  There two
+unrelated vectors meet with chance ``share`` squared, but near ones with ``share``
+times the chance that the second is far out, too, and lies in the window around
+the first.  That chance follows from the cosine alone, so the number of directions
+is calibrated exactly: pairs right at the threshold collide ``least`` times or more
+with the recall asked for, closer ones more surely.
+
+A vector is far out on a handful of directions and goes to those only, with the
+list of all its places; so the collisions of a pair are counted where it meets
+first, and pairs that pass are verified by their exact cosine on the spot.  The
+share falls as labels grow, so a vector meets about as many others in a label of a
+million as in one of a thousand.  Full ends are cut into blocks of bounded size and
+each pair of blocks is one unit of work, which returns a number of links and the
+smallest linked id for each of its vectors, never the pairs.
 """
 
 from __future__ import annotations
@@ -26,39 +30,80 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 
+#: Vectors that an end holds in the largest label, and the smallest share of an end (2**-10).
+END, MOST_LEVEL = 32, 10
+#: Values of one block of projections in memory.
+SHADOW = 1 << 20
+
 
 @dataclass(frozen=True)
 class Plan:
-    """Window half-width, number of projections, collisions asked for, and the recall at the threshold."""
+    """Ends beyond ``bound`` of ``ends`` directions (two each way), window half-width, collisions asked for, recall at the threshold."""
 
+    bound: float
+    ends: int
     half: float
-    projections: int
     least: int
     recall: float
 
 
-def calibrate(cosine: float, recall: float, projections: int = 12, cells: int = 2, z: float = 2.5) -> Plan:
-    """The highest collision count that keeps ``recall`` for pairs exactly at the threshold."""
-    one = math.erf(z / math.sqrt(2))
-    tail = lambda least: sum(math.comb(projections, k) * one**k * (1 - one) ** (projections - k) for k in range(least, projections + 1))
-    for least in range(projections, 0, -1):
-        if one**cells * tail(least) >= recall:
-            return Plan(z * math.sqrt(max(0.0, 2 - 2 * cosine)), projections, least, one**cells * tail(least))
-    raise ValueError("widen the window (z) for this recall")
+def _beyond(x: float) -> float:
+    """Chance of a standard normal number above x."""
+    return 0.5 * math.erfc(x / math.sqrt(2))
+
+
+def collision_chance(cosine: float, bound: float, half: float) -> float:
+    """Chance that of two unit vectors at this cosine both lie beyond ``bound`` of a direction, within ``half``."""
+    sigma = math.sqrt(max(1e-12, 1 - cosine * cosine))
+    x = np.linspace(bound, bound + 12, 20001)
+    density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    low, high = np.maximum(x - half, bound), x + half
+    inner = np.array([_beyond(a) - _beyond(b) for a, b in zip((low - cosine * x) / sigma, (high - cosine * x) / sigma, strict=True)])
+    return float(np.trapezoid(density * inner, x))
+
+
+def calibrate(cosine: float, recall: float, level: int, least: int = 2, z: float = 2.5) -> Plan:
+    """The fewest ends of share ``2**-level`` with which pairs at the threshold collide ``least`` times at the recall."""
+    low, high = 0.0, 8.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _beyond(middle) > 2.0**-level else (low, middle)
+    half = z * math.sqrt(max(0.0, 2 - 2 * cosine))
+    one = collision_chance(cosine, low, half)
+
+    def kept(ends: int) -> float:
+        return 1 - sum(math.comb(ends, k) * one**k * (1 - one) ** (ends - k) for k in range(least))
+
+    ends = 2 * least
+    while kept(ends) < recall:
+        ends += max(2, ends // 64 * 2)
+    return Plan(low, ends, half, least, kept(ends))
 
 
 def directions(dim: int, n: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, n))
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of equal length as doubles, and their unit forms."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
-    return x, x / np.linalg.norm(x, axis=1, keepdims=True)
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of equal length as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
 
+def far_out(unit: np.ndarray, plan: Plan, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, end, value) of every place of the rows, by row; end 2k is above, 2k + 1 below on direction k."""
+    rows, ends, values = [], [], []
+    step = max(1, SHADOW // axes.shape[1])
+    for at in range(0, len(unit), step):
+        shadow = unit[at : at + step] @ axes
+        row, k = np.nonzero(np.abs(shadow) >= plan.bound)
+        value = shadow[row, k]
+        rows.append(row + at)
+        ends.append(2 * k + (value < 0))
+        values.append(np.abs(value))
+    return np.concatenate(rows), np.concatenate(ends).astype(np.int32), np.concatenate(values).astype(np.float32)
 
-def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.95, block: int = 1000) -> DataFrame:
+
+def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.99, block: int = 2000) -> DataFrame:
     """Links between vectors of one label with a cosine of at least ``cosine``, in double precision.
 
     ``vectors`` needs ``vec_id``, ``embedding`` (array of numbers) and ``label``; other
@@ -66,65 +111,59 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     component_id, kept``.  Null labels, and vectors that are null, empty, zero or hold
     a null or a non-finite number, link with nothing, as do vectors of different
     lengths; a null ``vec_id`` is returned with a null component.  Equal vectors of a
-    label are one class, compared once and counted each.
+    label are one class, compared once and counted each.  No link below ``cosine`` is
+    ever returned; a pair right at it is found with chance ``recall``, a closer one more surely.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
-    plan, cells = calibrate(cosine, recall), 2
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"), F.col("label").cast("string").alias("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     valid = rows.where(F.coalesce(fine, F.lit(False)))
     classes = valid.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.write(classes.withColumn("dim", F.size("e")), "classes")
-    dims = [r[0] for r in classes.select("dim").distinct().orderBy("dim").limit(1001).collect()]
-    if len(dims) > 1000:
-        raise ValueError("more than 1000 different vector lengths")
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    plan = calibrate(cosine, recall, min(MOST_LEVEL, max(1, int(math.log2(max(1, largest) / END)))) if largest > END else 1)
 
     def place(batches):
+        axes: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                _, unit = unit_rows(batch.column(1))
-                at = np.floor(unit @ directions(unit.shape[1], plan.projections)[:, :cells] / plan.half).astype(np.int32)
-                yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(4), pa.array(at[:, 0]), pa.array(at[:, 1])], ["rep", "e", "label", "copies", "dim", "c0", "c1"])
-
-    placed = None
-    for dim in dims:  # one length at a time, so a batch is a matrix
-        part = classes.where(F.col("dim") == dim).select("rep", "e", "label", "copies", "dim").mapInArrow(place, "rep long, e array<double>, label string, copies long, dim int, c0 int, c1 int")
-        placed = part if placed is None else placed.unionByName(part)
-    if placed is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+            dims = batch.column(4).to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in axes:
+                    axes[dim] = directions(dim, plan.ends // 2)
+                own = pa.array(np.flatnonzero(dims == dim))
+                x = matrix(batch.column(1).take(own))
+                row, end, value = far_out(x / np.linalg.norm(x, axis=1, keepdims=True), plan, axes[dim])
+                bounds = np.searchsorted(row, np.arange(len(own) + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(c)) for c in (end, value)]
+                for low in range(0, len(row), 4096):
+                    part = row[low : low + 4096]
+                    whole = own.take(pa.array(part))
+                    columns = [batch.column(k).take(whole) for k in (0, 4, 2, 3, 1)]
+                    yield pa.record_batch([*columns, pa.array(end[low : low + 4096]), *(c.take(pa.array(part)) for c in lists)], ["label", "dim", "rep", "copies", "e", "end", "ends", "places"])
+
+    placed = classes.select("label", "e", "rep", "copies", "dim").mapInArrow(place, f"label string, dim int, rep long, copies long, e {kind}, end int, ends array<int>, places array<float>")
     placed = scratch.write(placed, "placed")
-    key = ["label", "dim", "c0", "c1"]
-    sizes = placed.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = placed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # units: a block with the blocks of its own cell from itself on, and with those of the four cells ahead
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
-    ahead = sizes.select(*key, F.col("blocks").alias("left"), F.explode(near).alias("d"))
-    ahead = ahead.select("label", "dim", "c0", "c1", "left", (F.col("c0") + F.col("d.i")).alias("d0"), (F.col("c1") + F.col("d.j")).alias("d1"))
-    other = sizes.select("label", "dim", F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("blocks").alias("right"))
-    units = ahead.join(other, ["label", "dim", "d0", "d1"])
-    units = units.select("*", F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("s")).select("*", F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("t"))
-    units = units.where("d0 <> c0 or d1 <> c1 or s <= t")
-    units = units.select("label", "dim", "c0", "c1", "s", "d0", "d1", "t", F.xxhash64("label", "dim", "c0", "c1", "s", "d0", "d1", "t").alias("unit"))
-    mine = units.select("label", "dim", "c0", "c1", F.col("s").alias("block"), "unit", F.lit(0).alias("side"))
-    theirs = units.where("d0 <> c0 or d1 <> c1 or s <> t").select("label", "dim", F.col("d0").alias("c0"), F.col("d1").alias("c1"), F.col("t").alias("block"), "unit", F.lit(1).alias("side"))
-    dealt = placed.join(mine.unionByName(theirs), [*key, "block"]).select("unit", "side", "rep", "copies", "e")
+    key = ["label", "dim", "end"]
+    sizes = placed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # a unit is a pair of blocks (s <= t) of one end; side tells on which of two different blocks a row stands
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("*", other).withColumn("s", F.least("block", "other")).withColumn("t", F.greatest("block", "other"))
+    dealt = dealt.select(F.xxhash64(*key, "s", "t").alias("unit"), F.when(F.col("s") == F.col("t"), 0).when(F.col("block") == F.col("s"), 1).otherwise(2).alias("side"), "end", "rep", "copies", "ends", "places", "e")
 
     def count(batches):
-        unit, parts = None, []
+        held = None
         for batch in batches:
-            marks = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    if parts and marks[a] != unit:
-                        yield _solve(parts, plan, cosine)
-                        parts = []
-                    unit = marks[a]
-                    parts.append(batch.slice(a, b - a))
-        if parts:
-            yield _solve(parts, plan, cosine)
-
-    dealt = dealt.repartition("unit").sortWithinPartitions("unit", "side", "rep")
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            cuts = _cuts(table.column(0).to_numpy())
+            yield from _solved(table, cuts[:-1], plan, cosine)
+            held = table.slice(cuts[-2]) if len(cuts) > 1 else None
+        if held is not None:
+            yield from _solved(held, [0, held.num_rows], plan, cosine)
+
+    dealt = dealt.repartition("unit").sortWithinPartitions("unit")
     found = scratch.write(dealt.mapInArrow(count, "rep long, links long, low long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.where("low < rep").select(F.col("rep").alias("a"), F.col("low").alias("b")), scratch)
@@ -135,46 +174,79 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _solve(parts: list[pa.RecordBatch], plan: Plan, cosine: float) -> pa.RecordBatch:
-    """One unit: collisions counted projection by projection, then exact cosines of the pairs left."""
-    table = pa.Table.from_batches(parts)
-    side = table.column(1).to_numpy()
-    rep, copies = table.column(2).to_numpy(), table.column(3).to_numpy()
-    x, unit = unit_rows(table.column(4).combine_chunks())
-    shadow = unit @ directions(x.shape[1], plan.projections)
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    spare = plan.projections - plan.least
+def _cuts(marks: np.ndarray) -> list[int]:
+    return [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)] if len(marks) else [0]
+
+
+def _solved(table: pa.RecordBatch, cuts: list[int], plan: Plan, cosine: float):
+    """Links of all units of a batch, one row for each vector with any."""
+    out = []
+    if len(cuts) > 1:
+        side, end, rep, copies = (table.column(k).to_numpy() for k in (1, 2, 3, 4))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                ends, places = table.column(5).slice(a, b - a), table.column(6).slice(a, b - a)
+                member = np.repeat(np.arange(b - a), ends.value_lengths().to_numpy())
+                i, j = collided(member, ends.flatten().to_numpy(), places.flatten().to_numpy(), int(end[a]), side[a:b], plan)
+                if len(i):
+                    got = _links(rep[a:b], copies[a:b], table.column(7).slice(a, b - a), i, j, cosine)
+                    if got is not None:
+                        out.append(got)
+    if out:
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        yield pa.record_batch([pa.array(c) for c in columns], ["rep", "links", "low"])
+
+
+def collided(member: np.ndarray, ends: np.ndarray, places: np.ndarray, end: int, side: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members with ``plan.least`` collisions or more, of which this end's is the first.
+
+    All places of all members are sorted by end and value; each pair of places of one
+    end within the window is one collision.
+    """
+    n = int(member[-1]) + 1
+    order = np.lexsort((places, ends))
+    member, ends, places = member[order], ends[order], places[order]
+    met, first = np.zeros((n, n), np.int16), np.full((n, n), np.iinfo(np.int32).max, np.int32)
+    for gap in range(1, len(ends)):
+        same = ends[gap:] == ends[:-gap]
+        if not same.any():
+            break
+        near = np.flatnonzero(same & (places[gap:] - places[:-gap] <= plan.half))
+        if not len(near):
+            continue
+        i, j, at = member[near], member[near + gap], ends[near]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        cell = i * n + j
+        np.add.at(met.reshape(-1), cell, 1)
+        np.minimum.at(first.reshape(-1), cell, at)
+    i, j = np.nonzero((met >= plan.least) & (first == end))
+    if side.any():
+        across = side[i] != side[j]
+        i, j = i[across], j[across]
+    return i, j
+
+
+def _links(rep: np.ndarray, copies: np.ndarray, vectors: pa.Array, i: np.ndarray, j: np.ndarray, cosine: float) -> tuple[np.ndarray, ...] | None:
+    """(id, links, smallest id reached) of the members whose exact cosine with another passes."""
+    x = matrix(vectors)
+    norm = np.sqrt((x**2).sum(1))
+    exact = np.empty(len(i))
+    step = max(1, SHADOW // x.shape[1])
+    for at in range(0, len(i), step):
+        a, b = i[at : at + step], j[at : at + step]
+        exact[at : at + step] = (x[a] * x[b]).sum(1) / (norm[a] * norm[b])
+    i, j = i[exact >= cosine], j[exact >= cosine]
+    if not len(i):
+        return None
     links, low = np.zeros(len(rep), np.int64), rep.copy()
-    pairs = []
-    order = right[np.argsort(shadow[right, 0], kind="stable")]
-    sorted_first = shadow[order, 0]
-    for i in left:  # the query's window on the sorted first projection, then the others
-        a, b = np.searchsorted(sorted_first, [shadow[i, 0] - plan.half, shadow[i, 0] + plan.half])
-        near = order[a:b]
-        if right is left:
-            near = near[near > i]
-        misses = np.zeros(len(near), np.int8)
-        for p in range(1, plan.projections):
-            misses += np.abs(shadow[near, p] - shadow[i, p]) > plan.half
-            if p % 3 == 0:
-                near, misses = near[misses <= spare], misses[misses <= spare]
-        near = near[misses <= spare]
-        if len(near):
-            exact = x[near] @ x[i] / (np.sqrt((x[near] ** 2).sum(1)) * np.sqrt((x[i] ** 2).sum()))
-            near = near[exact >= cosine]
-            if len(near):
-                links[i] += copies[near].sum()
-                links[near] += copies[i]
-                pairs.append((np.full(len(near), i), near))
-    if pairs:
-        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        while True:  # the smallest id within the unit's links
-            least = low.copy()
-            np.minimum.at(least, a, low[b])
-            np.minimum.at(least, b, low[a])
-            if (least == low).all():
-                break
-            low = least
+    np.add.at(links, i, copies[j])
+    np.add.at(links, j, copies[i])
+    while True:
+        least = low.copy()
+        np.minimum.at(least, i, low[j])
+        np.minimum.at(least, j, low[i])
+        if (least == low).all():
+            break
+        low = least
     some = links > 0
-    return pa.record_batch([pa.array(rep[some]), pa.array(links[some]), pa.array(low[some])], ["rep", "links", "low"])
+    return rep[some], links[some], low[some]
