@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .scratch import Scratch
+from .scratch import Scratch, bounded
 
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hours minutes seconds days weeks months years mph kmh km/h percent usd eur dollars euros cents meters metres miles kilometers kilometres grams kilograms liters litres".split()
 NUMBER, NAME, UNIT = (np.uint64(0xA5A5A5A500000000 + k) for k in (1, 2, 3))
@@ -154,7 +154,7 @@ def _window_rows(df: DataFrame, key: str, width: int, known: np.ndarray | None)
             if out:
                 yield flush(out)
 
-    return df.select(F.col(key).cast("long").alias(key), "text").where(f"{key} is not null and text is not null").mapInArrow(run, f"{key} long, place long, window long, slots array<string>")
+    return bounded(df).select(F.col(key).cast("long").alias(key), "text").where(f"{key} is not null and text is not null").mapInArrow(run, f"{key} long, place long, window long, slots array<string>")
 
 
 def _by_copy(pairs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, bounded
 
 #: Vectors that an end holds in the largest label, and the smallest share of an end (2**-10).
 END, MOST_LEVEL = 32, 10
@@ -117,7 +117,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     scratch = Scratch(vectors.sparkSession, "vectors")
     kind = vectors.schema["embedding"].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"), F.col("label").cast("string").alias("label"))
+    rows = bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"), F.col("label").cast("string").alias("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     valid = rows.where(F.coalesce(fine, F.lit(False)))
     classes = valid.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))

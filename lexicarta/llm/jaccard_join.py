@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import spans as S
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, bounded
 
 #: Slots of the frequency sketch: a fixed size, however many shingles there are.
 SLOT_BITS = 16
@@ -106,7 +106,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
     share an id must share the text; a row with a null id is returned with a null
     component.  Equal sets form one class and are compared once.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession, "jaccard")
     t = Threshold(num, den)
 

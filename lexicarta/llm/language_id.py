@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .scratch import bounded
 
 #: ASCII letters fold to lower case, other ASCII becomes one blank class; UTF-8 bytes stay.
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -95,7 +96,7 @@ def train(labelled: DataFrame, buckets: int = 4096, per_language: int = 400, rou
     out.  What reaches the driver is ``per_language`` feature rows of ``buckets``
     numbers for each language.
     """
-    rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
+    rows = bounded(labelled).select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", F.col("lang").alias("label"))
 
@@ -155,4 +156,4 @@ def predict(docs: DataFrame, model: LanguageModel, lead: float = 0.2) -> DataFra
                 ]
                 yield pa.record_batch([batch.column(0).slice(at, 512), *columns], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")

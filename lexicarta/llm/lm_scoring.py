@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .scratch import Scratch
+from .scratch import Scratch, bounded
 
 #: Rows of averaged parameters: values in one row, and ways to split the sum of a row.
 ROW, WAYS = 2048, 64
@@ -157,7 +157,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 n = np.bincount(at, np.concatenate([x[1] for x in held]), len(h)).astype(np.int64)
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return docs.select("text").where("text is not null").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return bounded(docs).select("text").where("text is not null").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _most_frequent(counted: DataFrame, words: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def train(docs: DataFrame, shape: Shape = Shape(), every: int = 2, rounds: int =
     ``counted`` are the word counts of ``docs``, where at hand.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    docs = docs.select("text").where("text is not null")
+    docs = bounded(docs).select("text").where("text is not null")
     words, flat = _most_frequent(word_counts(docs) if counted is None else counted, shape.words), shape.start()
     for turn in range(rounds):
 
@@ -308,7 +308,7 @@ def score(docs: DataFrame, words: np.ndarray, flat: np.ndarray, shape: Shape = S
             yield pa.record_batch(found, ["doc_id", "n_tokens", "pll", "rare"][: len(found)])
 
     schema = "doc_id long, n_tokens long, pll double" + ("" if shares is None else ", rare array<long>")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    out = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
     if shares is not None:
         out = Scratch(docs.sparkSession, "lm-scores").write(out.withColumn("row", F.monotonically_increasing_id()), "rows")
         share = out.select("row", F.explode("rare").alias("word")).join(shares.counted, "word").groupBy("row").agg(F.sum(F.log1p("n")).alias("share"))

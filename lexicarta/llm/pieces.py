@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded
+
 SPACE_MARK = "▁".encode()
 _loaded: dict[str, Codec] = {}
 
@@ -202,4 +204,4 @@ def encode_pieces(docs: DataFrame, model: str, output: str = "spans") -> DataFra
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_covered long" + ", ids array<int>" * (output == "ids")
     if output == "spans":
         schema = "doc_id long, ids array<int>, starts array<long>, ends array<long>, decoded string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

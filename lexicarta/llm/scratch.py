@@ -14,9 +14,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch: with a few copies of it in a task, what Python and the network buffers hold stays small.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 _local: list[str] = []
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands batches of bounded bytes to Python, unless it has a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors and the driver share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

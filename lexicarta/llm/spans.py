@@ -1,7 +1,7 @@
 """Vectorised window fingerprints over Arrow string columns.
 
 Everything here works on one Arrow record batch inside a task and keeps its
-arrays to about a megabyte of text at a time, so memory does not follow the
+arrays to about a quarter of a megabyte of text at a time, so memory does not follow the
 batch or the partition (one document longer than that is handled alone).
 
 A *window* is a run of ``width`` consecutive items (words or bytes).  Among the
@@ -24,7 +24,7 @@ import pyarrow as pa
 #: Odd multipliers of the polynomial hashes (arithmetic is modulo 2**64).
 BYTE_BASE = 0x9E3779B97F4A7C15
 ITEM_BASE = 0xD6E8FEB86659FD93
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .scratch import Scratch
+from .scratch import Scratch, bounded
 
 FINGERPRINTS = "doc_id long, anchor long, span long, n long"
 
@@ -52,7 +52,7 @@ class FingerprintIndex:
                     s = S.spans(w.hash, w.bounds, width, gram)
                     yield _distinct(ids[low + s.row], s.anchor, s.hash)
 
-        return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(extract, FINGERPRINTS)
+        return bounded(docs).select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(extract, FINGERPRINTS)
 
     def append(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Add a batch of fingerprints as a run; all its ids must exceed those of earlier batches.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .scratch import Scratch
+from .scratch import Scratch, bounded
 from .substring_dedup import _distinct, _longs, cover, covered
 
 #: Symbols packed into the first sort key (each below 2**9, zero ends a string).
@@ -135,7 +135,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must lie between 1 and length")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession, "suffixes")
 
     def find(batch_texts):
