@@ -10,6 +10,7 @@ base patterns caught, and words of documents they left alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,29 +92,39 @@ def _hits(flag: Column, pattern: str, group: int = 0) -> Column:
     return F.when(flag, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
 
 
-def _running(df: DataFrame, columns: dict[str, str], fold, zero: int = 0) -> DataFrame:
-    """Add, for each new name, the running fold of an integer array column.
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row.
+
+    An expression that a lambda names is otherwise put in its place and computed again
+    for each element; generated columns are not.
+    """
+    packed = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+    return df.select("*", packed.alias("held")).select(*df.columns, *(F.col(f"held.{name}").alias(name) for name in columns))
+
+
+def _running(df: DataFrame, columns: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """Add, for each new name, the running fold (from 0) of an integer array.
 
     In two levels, folds of blocks and then within a block, so that many values in one
     row cost little more than few.
     """
+    own = df.columns
     some = lambda c, x: F.when(F.size(c) > 0, x).otherwise(F.array().cast("array<int>"))
-    last = lambda a: F.element_at(a, -1)
 
-    def block(c):
-        return lambda b: F.aggregate(F.slice(c, b * BLOCK + 1, F.lit(BLOCK)), F.lit(zero), fold)
+    def befores(c, fold):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(c, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), fold))
+        return some(c, F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(fold(F.element_at(a, -1), x)))))
 
-    def value(c, name):
+    def value(c, before, fold):
         def one(_, i):
             b = F.floor(i / BLOCK).cast("int")
-            return F.aggregate(F.slice(c, b * BLOCK + 1, i - b * BLOCK + 1), F.element_at(f"{name}_before", b + 1), fold)
+            return F.aggregate(F.slice(c, b * BLOCK + 1, i - b * BLOCK + 1), F.element_at(before, b + 1), fold)
 
-        return F.transform(c, one)
+        return some(c, F.transform(c, one))
 
-    df = df.select("*", *(some(c, F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / BLOCK).cast("int")), block(c))).alias(f"{name}_blocks") for name, c in columns.items()))
-    df = df.select("*", *(some(c, F.aggregate(f"{name}_blocks", F.array(F.lit(zero)), lambda a, x: F.concat(a, F.array(fold(last(a), x))))).alias(f"{name}_before") for name, c in columns.items()))
-    df = df.select("*", *(some(c, value(c, name)).alias(name) for name, c in columns.items()))
-    return df.drop(*(f"{name}_{x}" for name in columns for x in ("blocks", "before")))
+    df = _held(df, **{f"{name}_raw": c for name, (c, _) in columns.items()})
+    df = _held(df, **{f"{name}_before": befores(F.col(f"{name}_raw"), fold) for name, (_, fold) in columns.items()})
+    return df.select(*own, *(value(F.col(f"{name}_raw"), F.col(f"{name}_before"), fold).alias(name) for name, (_, fold) in columns.items()))
 
 
 def _add(a: Column, x: Column) -> Column:
@@ -143,8 +154,8 @@ def scan(docs: DataFrame, model: MarkovModel | None = None, per_char: float = 0.
     some = lambda k, c: F.when(F.size(f"{k}_hits") > 0, c).otherwise(F.array().cast("array<int>"))
     rows = rows.select("*", *(some(k, F.transform(F.split("text", p, -1), F.length)).alias(f"{k}_gaps") for k, p in kinds.items()))
     # a hit ends where all gaps and hits up to it end
-    rows = rows.select("*", *(some(k, F.zip_with(F.slice(f"{k}_gaps", F.lit(1), F.size(f"{k}_hits")), f"{k}_hits", lambda g, h: g + F.length(h))).alias(f"{k}_lens") for k in kinds))
-    rows = _running(rows, {f"{k}_ends": f"{k}_lens" for k in kinds}, _add)
+    lens = lambda k: some(k, F.zip_with(F.slice(f"{k}_gaps", F.lit(1), F.size(f"{k}_hits")), f"{k}_hits", lambda g, h: g + F.length(h)))
+    rows = _running(rows, {f"{k}_ends": (lens(k), _add) for k in kinds})
 
     def spans(rank: int, kind: str, wide_enough) -> Column:
         one = lambda h, e: F.struct((e - F.length(h)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"))
@@ -163,12 +174,13 @@ def scan(docs: DataFrame, model: MarkovModel | None = None, per_char: float = 0.
     # base spans that begin before a token's end are the first ones; it is free if none of those reaches beyond its start
     point = lambda at, is_base: F.struct(at.alias("at"), F.lit(is_base).alias("is_base"))
     both = F.sort_array(F.concat(F.transform("base", lambda s: point(s["start"], 1)), F.transform("tokens", lambda s: point(s["end"], 0))))
-    rows = rows.select("*", F.when(F.size("tokens") > 0, both.getField("is_base")).otherwise(F.array().cast("array<int>")).alias("marks"), F.when(F.size("tokens") > 0, F.col("base.end")).otherwise(F.array().cast("array<int>")).alias("base_ends"))
-    rows = _running(_running(rows, {"before": "marks"}, _add), {"reach": "base_ends"}, _most)
+    any_ = lambda x: F.when(F.size("tokens") > 0, x).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("*", any_(both.getField("is_base")).alias("marks"))
+    rows = _running(rows, {"before": (F.col("marks"), _add), "reach": (any_(F.col("base.end")), _most)})
     ahead = F.transform(F.filter(F.arrays_zip("marks", "before"), lambda x: x["marks"] == 0), lambda x: x["before"])
-    rows = rows.select(*own, "base", "tokens", "reach", ahead.alias("ahead"))
-    free = lambda s, n: (n == 0) | (F.element_at("reach", F.greatest(n, F.lit(1))) <= s["start"])
-    rows = rows.select(*own, "base", F.filter("tokens", lambda s, i: F.coalesce(free(s, F.element_at("ahead", i + 1)), F.lit(True))).alias("tokens"))
+    rows = _held(rows.select(*own, "base", "tokens", "reach", ahead.alias("ahead")), reach_=F.col("reach"), ahead_=F.col("ahead"))
+    free = lambda s, n: (n == 0) | (F.element_at("reach_", F.greatest(n, F.lit(1))) <= s["start"])
+    rows = rows.select(*own, "base", F.filter("tokens", lambda s, i: F.coalesce(free(s, F.element_at("ahead_", i + 1)), F.lit(True))).alias("tokens"))
     table = model.literal()
     codes = lambda t: F.transform(F.split(t, ""), lambda c: F.ascii(c) - FIRST_CODE)
     step = lambda a, b: F.when(b.isNotNull(), F.element_at(table, a * CODES + b + 1)).otherwise(0.0)
@@ -194,15 +206,16 @@ def redact(scanned: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """
     kept = scanned.columns
     none = F.array().cast("array<int>")
-    rows = scanned.select("*", F.sort_array(F.concat("base", "added")).alias("ordered"))
-    rows = _running(rows.select("*", F.col("ordered.end").alias("span_ends")), {"reach": "span_ends"}, _most)
+    rows = _held(scanned, ordered=F.sort_array(F.concat("base", "added")))
+    rows = _running(rows, {"furthest": (F.col("ordered.end"), _most)})
+    rows = _held(rows, reach=F.col("furthest"))
     first = F.filter(F.sequence(F.lit(1), F.size("ordered")), lambda i: (i == 1) | (F.element_at("ordered", i)["start"] > F.element_at("reach", F.greatest(i - 1, F.lit(1)))))
     rows = rows.select("*", F.when(F.size("ordered") > 0, first).otherwise(none).alias("heads"))
     # the gap before cut k runs from the end of the one before; the last gap is the tail
     to = F.concat(F.transform("heads", lambda i: F.element_at("ordered", i)["start"]), F.array(F.length("text")))
     since = F.concat(F.array(F.lit(0)), F.transform(F.slice("heads", F.lit(2), F.size("heads")), lambda i: F.element_at("reach", i - 1)), F.array(F.element_at("reach", -1)))
-    some = lambda x, other: F.when(F.size("heads") > 0, x).otherwise(other)
-    rows = rows.select("*", some(to, none).alias("to"), some(since, none).alias("since"), some(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), F.array().cast("array<string>")).alias("pieces"))
+    some = lambda x, other: F.when(F.size("ordered") > 0, x).otherwise(other)
+    rows = _held(rows, to=some(to, none), since=some(since, none), pieces=some(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), F.array().cast("array<string>")))
 
     def gap(a: Column, b: Column) -> Column:
         low, high = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +67,44 @@ def secret_scan(docs: list[tuple]) -> set[tuple]:
     return out
 
 
+HINT = re.compile(ASSIGN.pattern.split("[\"']")[0] + "|AKIA[A-Z0-9]|[0-9a-f]{24}")
+TOKEN = re.compile("[A-Za-z0-9+/_=-]{20,}")
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def secret_chains(docs: list[tuple]) -> list[list[float]]:
+    """Log-likelihood ratio of each transition, fitted on all documents."""
+    at = lambda c: LETTERS.find(c) + 1
+    secret, plain = ([[1.0] * 63 for _ in range(63)] for _ in range(2))
+    for _, text in docs:
+        if text is None:
+            continue
+        if HINT.search(text):
+            words = [m[2] for m in ASSIGN.finditer(text)] + re.findall("AKIA[A-Z0-9]+", text) + re.findall("[0-9a-f]{24,}", text)
+            words, table = [w for w in words if len(w) >= 16 and re.search("[0-9]", w)], secret
+        else:
+            words, table = re.split("[^A-Za-z0-9_]+", text), plain
+        for w in words:
+            for a, b in zip(w, w[1:], strict=False):
+                if "!" <= a <= "~" and "!" <= b <= "~":
+                    table[at(a)][at(b)] += 1
+    return [[math.log(x / sum(a)) - math.log(y / sum(b)) for x, y in zip(a, b, strict=True)] for a, b in zip(secret, plain, strict=True)]
+
+
+def secret_added(text: str, ratio: list[list[float]], per_char: float = 0.5, least: float = 12.0) -> list[tuple]:
+    """(start, end) of the tokens that the chains call secrets and no base span meets."""
+    at = lambda c: LETTERS.find(c) + 1
+    base = [m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    base += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20] + [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    out = []
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        total = sum(round(ratio[at(x)][at(y)], 4) for x, y in zip(m[0], m[0][1:], strict=False))
+        if re.search("[0-9]", m[0]) and not any(s < b and a < e for s, e in base) and total >= least and total >= per_char * (b - a - 1):
+            out.append((a, b))
+    return out
+
+
 def union_find(nodes, edges) -> dict:
     root = {x: x for x in nodes}
 

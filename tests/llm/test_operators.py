@@ -314,6 +314,47 @@ def test_secret_models_add_spans(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def awkward_secrets():
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    token = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    words = ["theServer2Connection_handler", "parse_request_and_format1", "plain", "é😀", "token:", "secret=abcdef9", "deadbeef" * 4, "AKIA" + "Q7" * 9, "api_key"]
+    docs = [(k, " ".join(rng.choice([token(rng.randint(4, 60)), rng.choice(words), rng.choice(words)]) for _ in range(rng.randint(0, 60)))) for k in range(120)]
+    docs += [(k, " ".join(rng.choice(["parseRequest2", "format_value", "theServer", "of", "word9"]) for _ in range(40))) for k in range(120, 200)]
+    return [*docs, (200, None), (201, ""), (202, f"{token(30)}9token={token(30)}"), (203, f"token={token(30)}9 {token(25)}7"), (204, " ".join(token(30) for _ in range(3000)))]
+
+
+def test_secret_models_and_added_spans_equal_the_plain_version(spark):
+    rows = awkward_secrets()
+    df = spark.createDataFrame([*rows, (None, "token=abcdefgh1234567890 x")], "doc_id long, text string").withColumn("tokens", F.lit("clash"))
+    model, ratio = secret_scan.train(df), brute.secret_chains(rows)
+    assert model.ratio == pytest.approx([x for row in ratio for x in row], abs=1e-9)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in secret_scan.scan(df.where("doc_id is not null"), model).collect()}
+    want = {k: brute.secret_added(text or "", ratio) for k, text in rows}
+    assert got == want and sum(map(len, want.values())) > 400
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).alias(k)
+    out = secret_scan.scan(df.where("doc_id is not null"), model).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.named(F.col("base")).cast("binary"), 256).alias("h"))
+    assert collected(out, "doc_id", "assign", "access", "hex", "h") == brute.secret_scan(rows)
+    cut = dict(secret_scan.redact(secret_scan.scan(df.where("doc_id is not null"), model)).select("doc_id", "text").collect())
+    for k, text in rows:
+        text = text or ""
+        spans = sorted(want[k] + [m.span() for m in brute.ASSIGN.finditer(text) if len(m[2]) >= 6] + [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20] + [m.span() for m in re.finditer("[0-9a-f]{24,}", text)])
+        parts, end = [], 0
+        for n, (a, b) in enumerate(spans):
+            if n == 0 or a > end:
+                parts += [text[end:a], "<SECRET>"]
+            end = max(end, b)
+        assert cut[k] == "".join([*parts, text[end:]]), k
+
+
+def test_secrets_in_a_text_with_very_many(spark):
+    text = "é x token=abcdef1 y " * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secret_scan.redact(secret_scan.scan(df, secret_scan.MarkovModel([0.0] * secret_scan.CLASSES**2))).first()
+    assert len(got["base"]) == 100_000 and got["base"][99_999]["start"] == 20 * 99_999 + 4
+    assert got["text"] == "é x <SECRET> y " * 100_000
+
+
 def secret_spans(found):
     return [(s["kind"], s["start"], s["end"]) for s in found]
 
@@ -443,6 +484,41 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_chances_follow_from_the_cosine():
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((2, 400_000))
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * y
+    for level in (1, 3, 6):
+        plan = embedding_dedup.calibrate(0.93, 0.99, level)
+        met = np.mean((x >= plan.bound) & (y >= plan.bound) & (np.abs(x - y) <= plan.half))
+        assert embedding_dedup.collision_chance(0.93, plan.bound, plan.half) == pytest.approx(met, rel=0.05)
+        assert plan.recall >= 0.99 and np.mean(x >= plan.bound) == pytest.approx(2.0**-level, rel=0.05)
+
+
+def test_embedding_recall_and_work_at_the_threshold():
+    """Pairs right at the threshold are found; a vector meets about as many others in a label of 16 times the size."""
+    rng = np.random.default_rng(3)
+    met = []
+    for n in (1000, 16000):
+        x = rng.standard_normal((n, 48))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.standard_normal((n // 2, 48))
+        side -= (side * x[: n // 2]).sum(1, keepdims=True) * x[: n // 2]
+        x[n // 2 :] = 0.931 * x[: n // 2] + math.sqrt(1 - 0.931**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        plan = embedding_dedup.calibrate(0.93, 0.99, int(math.log2(n / embedding_dedup.END)))
+        row, end, value = embedding_dedup.far_out(x, plan, embedding_dedup.directions(48, plan.ends // 2))
+        found = set()
+        for e in np.unique(end):
+            members = row[end == e]
+            if len(members) > 1:
+                mine = np.isin(row, members)
+                i, j = embedding_dedup.collided(np.searchsorted(members, row[mine]), end[mine], value[mine], int(e), np.zeros(len(members), np.int8), plan)
+                found |= {(members[a], members[b]) for a, b in zip(i, j, strict=True)}
+        assert np.mean([(k, k + n // 2) in found for k in range(n // 2)]) >= 0.97
+        met.append(np.mean(np.bincount(end)[end]) * len(row) / n)
+    assert met[1] < 1.5 * met[0]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5200)]
