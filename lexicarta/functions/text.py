@@ -27,6 +27,11 @@ def normalised(column: str) -> Column:
     return F.lower(F.coalesce(_nfkc(wide), F.col(column)))
 
 
+def trimmed(column: str) -> Column:
+    """Without white space of any kind (blanks, tabs, line ends, byte-order marks) at both ends."""
+    return F.regexp_replace(column, r"^[\s\p{Z}\uFEFF]+|[\s\p{Z}\uFEFF]+$", "")
+
+
 def contains_term(term: str, column: str = "target_norm") -> Column:
     return F.contains(F.col(column), F.lit(normalise(term)))
 

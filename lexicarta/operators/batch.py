@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalised
+from ..functions.text import normalised, trimmed
 from ..schema import COLUMNS, DEFAULT_SIZE, MOST_SIZE, OPERATORS, RELEASE, total_order
+from . import postings
+
+#: Groups whose rows are numbered together: what one task numbers does not follow the request.
+RANGE = 4096
 
 
 def clean(requests: DataFrame, *columns: str) -> DataFrame:
-    """Trim the text fields."""
-    return requests.withColumns({c: F.trim(c) for c in columns})
+    """Trim the text fields: blanks of every kind, tabs and line ends."""
+    return requests.withColumns({c: trimmed(c) for c in columns})
 
 
 def _number(column: str, default: int) -> Column:
@@ -40,11 +44,22 @@ def column_status(alias: str = "column_alias", operator: str = "operator", term:
     return F.when(~known(alias, COLUMNS), "bad_column").when(~known(operator, OPERATORS), "bad_operator").when(F.coalesce(F.col(term), F.lit("")) == "", "empty_query").otherwise("ok")
 
 
-def resolve_versions(requests: DataFrame, releases: DataFrame) -> DataFrame:
-    """Replace the text ``version`` (``latest``, empty or a number) by the release's number; unknown releases drop out."""
+def with_release_status(requests: DataFrame, releases: DataFrame) -> DataFrame:
+    """Replace the text ``version`` (``latest``, empty or a number) by the release's number and add ``release_status``.
+
+    The status is ``ok``, ``unknown_platform`` or ``unknown_version``; every request
+    stays, and ``version`` is null where it is no number.
+    """
     newest = releases.groupBy("platform").agg(F.max("version").alias("newest"))
-    asked = requests.join(newest, "platform").withColumn("version", F.when(F.coalesce(F.col("version"), F.lit("")).isin("", "latest"), F.col("newest")).otherwise(F.expr("try_cast(version as int)"))).drop("newest")
-    return asked.join(releases.select(*RELEASE).distinct(), [*RELEASE], "left_semi")
+    asked = requests.join(newest, "platform", "left").withColumn("version", F.when(F.coalesce(F.col("version"), F.lit("")).isin("", "latest"), F.col("newest")).otherwise(F.expr("try_cast(version as int)")))
+    known = releases.select(*RELEASE, F.lit(True).alias("known")).distinct()
+    status = F.when(F.col("newest").isNull(), "unknown_platform").when(F.col("known"), "ok").otherwise("unknown_version")
+    return asked.join(known, [*RELEASE], "left").withColumn("release_status", status).drop("newest", "known")
+
+
+def resolve_versions(requests: DataFrame, releases: DataFrame) -> DataFrame:
+    """The requests for a known release, with its number as ``version``; ``with_release_status`` keeps the others."""
+    return with_release_status(requests, releases).where("release_status = 'ok'").drop("release_status")
 
 
 def _selected(requests: DataFrame, language_map: DataFrame) -> DataFrame:
@@ -54,15 +69,25 @@ def _selected(requests: DataFrame, language_map: DataFrame) -> DataFrame:
     return mapped.where((F.size("languages") == 0) | F.array_contains("languages", F.col("language_name"))).select("request_id", F.col("code").alias("language")).distinct()
 
 
-def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame) -> DataFrame:
+def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Group-expanding search of every request ``(request_id, platform, version, q, bundle, languages)``.
 
-    Requests meet rows of their release only; the release is the join's equal key, the
-    term its condition.  Returns ``request_id`` and the glossary's columns.
+    Requests for a bundle only join by release and bundle.  Terms join by release, with
+    the term as condition; with a trigram ``index`` (``postings.build``) of the glossary
+    they join by their rarest trigram instead, however many there are, and find rows
+    that have an id.  Returns ``request_id`` and the glossary's columns.
     """
     asked = requests.where(search_status() == "ok").select("request_id", *RELEASE, normalised("q").alias("q"), "bundle")
     codes = _selected(requests, language_map)
-    near = glossary.join(asked, [*RELEASE]).where((F.coalesce("q", F.lit("")) == "") | F.contains("target_norm", "q")).where((F.coalesce("bundle", F.lit("")) == "") | (F.col("bundle_name") == F.col("bundle")))
+    no_term = F.coalesce("q", F.lit("")) == ""
+    terms = asked.where(~no_term)
+    if index is None:
+        found = glossary.join(terms, [*RELEASE]).where(F.contains("target_norm", "q"))
+    else:
+        found = glossary.join(postings.batch_lookup(index, glossary, terms), [*RELEASE, "id"]).join(terms.select("request_id", "q", "bundle"), "request_id")
+    found = found.where((F.coalesce("bundle", F.lit("")) == "") | (F.col("bundle_name") == F.col("bundle"))).drop("q", "bundle")
+    bundles = asked.where(no_term).select("request_id", *RELEASE, F.col("bundle").alias("bundle_name"))
+    near = found.unionByName(glossary.join(bundles, [*RELEASE, "bundle_name"]))
     groups = near.join(codes, ["request_id", "language"], "left_semi").select("request_id", *RELEASE, "group_id").distinct()
     return glossary.join(groups, [*RELEASE, "group_id"]).join(codes, ["request_id", "language"], "left_semi")
 
@@ -70,24 +95,37 @@ def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame
 def search_columns(glossary: DataFrame, language_map: DataFrame, requests: DataFrame) -> DataFrame:
     """Column search of every valid request ``(request_id, platform, version, column_alias, operator, q, languages)``.
 
-    Equal comparisons join by value; the other two compare within the release.
+    Equal comparisons join by release and the column itself, one join for each column;
+    the other two compare within the release, in one pass.
     """
     asked = requests.where(column_status() == "ok").select("request_id", *RELEASE, "column_alias", "operator", "q")
     codes = _selected(requests, language_map)
-    pairs = F.array(*(F.struct(F.lit(a).alias("column_alias"), F.col(c).alias("value")) for a, c in COLUMNS.items()))
-    cells = glossary.select("*", F.explode(pairs).alias("cell")).select("*", "cell.column_alias", "cell.value").drop("cell")
-    equal = cells.join(asked.where("operator = 'equal'").withColumnRenamed("q", "value"), [*RELEASE, "column_alias", "value"]).drop("operator")
-    loose = cells.join(asked.where("operator <> 'equal'"), [*RELEASE, "column_alias"])
-    loose = loose.where(F.when(F.col("operator") == "startsWith", F.startswith("value", "q")).otherwise(F.col("value") != F.col("q"))).drop("operator", "q")
-    found = equal.select(*loose.columns).unionByName(loose).drop("column_alias", "value")
+    value = F.coalesce(*(F.when(F.col("column_alias") == a, F.col(c)) for a, c in COLUMNS.items()))
+    found = glossary.join(asked.where("operator <> 'equal'"), [*RELEASE])
+    found = found.where(F.when(F.col("operator") == "startsWith", F.startswith(value, F.col("q"))).otherwise(value != F.col("q"))).drop("column_alias", "operator", "q")
+    for a, c in COLUMNS.items():
+        equal = asked.where((F.col("operator") == "equal") & (F.col("column_alias") == a)).select("request_id", *RELEASE, F.col("q").alias(c))
+        found = found.unionByName(glossary.join(equal, [*RELEASE, c]))
     return found.join(codes, ["request_id", "language"], "left_semi")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Every row of every request with ``row_number`` in its whole result.
+
+    Rows are numbered within ranges of groups, and each range starts where the counts
+    of those before it end, so a request for much of a release is no single task's work.
+    """
+    key = ["request_id", "range"]
+    placed = rows.withColumn("range", F.coalesce(F.floor(F.col("group_id") / RANGE), F.lit(-(1 << 62))))
+    before = Window.partitionBy("request_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = placed.withColumn("row_number", F.row_number().over(Window.partitionBy(*key).orderBy(*total_order())))
+    return inside.join(starts, key).withColumn("row_number", F.col("row_number") + F.col("start")).drop("range", "start")
+
+
 def number_pages(rows: DataFrame, size: int = DEFAULT_SIZE) -> DataFrame:
-    """Every row of every request with ``row_number`` and ``page``; partitioned by request."""
-    order = Window.partitionBy("request_id").orderBy(*total_order())
-    numbered = rows.withColumn("row_number", F.row_number().over(order))
-    return numbered.withColumn("page", F.floor((F.col("row_number") - 1) / size) + 1)
+    """Every row of every request with ``row_number`` and ``page``."""
+    return numbered(rows).withColumn("page", F.floor((F.col("row_number") - 1) / size) + 1)
 
 
 def first_pages(rows: DataFrame, size: int = DEFAULT_SIZE) -> DataFrame:
@@ -98,9 +136,8 @@ def first_pages(rows: DataFrame, size: int = DEFAULT_SIZE) -> DataFrame:
 
 def requested_pages(rows: DataFrame, paged: DataFrame) -> DataFrame:
     """The page each request ``(request_id, page_size, row_offset)`` asks for, with ``row_number``."""
-    order = Window.partitionBy("request_id").orderBy(*total_order())
-    numbered = rows.withColumn("row_number", F.row_number().over(order)).join(paged.select("request_id", "page_size", "row_offset"), "request_id")
-    return numbered.where((F.col("row_number") > F.col("row_offset")) & (F.col("row_number") <= F.col("row_offset") + F.col("page_size"))).drop("page_size", "row_offset")
+    pages = numbered(rows).join(paged.select("request_id", "page_size", "row_offset"), "request_id")
+    return pages.where((F.col("row_number") > F.col("row_offset")) & (F.col("row_number") <= F.col("row_offset") + F.col("page_size"))).drop("page_size", "row_offset")
 
 
 def totals(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ def latest_releases(glossary: DataFrame) -> DataFrame:
     return glossary.groupBy("platform").agg(F.max("version").alias("version"))
 
 
+def latest_rows(glossary: DataFrame) -> DataFrame:
+    """All rows of the newest release of each platform."""
+    return glossary.join(latest_releases(glossary), [*RELEASE], "left_semi")
+
+
 def resolve_release(releases: DataFrame, platform: str, version: int | str | None) -> tuple[str, int]:
     """The release asked for; ``latest`` or nothing means the newest. A catalogue has one row per release."""
     known = sorted((r["platform"], r["version"]) for r in releases.select(*RELEASE).distinct().collect())

@@ -10,19 +10,31 @@ from ..schema import RELEASE
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams: the characters zipped with themselves shifted by one and by two."""
-    chars = F.split(text, "")
-    ahead = lambda k: F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1)))
-    join = lambda a, b: F.concat(a, b)
-    both = F.zip_with(F.zip_with(chars, ahead(1), join), ahead(2), join)
-    return F.array_distinct(F.filter(both, lambda g: g.isNotNull()))
+    """Distinct trigrams: what a look-ahead of three characters sees from every place, in one pass over the text.
+
+    From inside a character beyond the basic plane it sees a spurious gram, in a text
+    and in every term found in it alike, so look-ups are not affected.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def build(glossary: DataFrame) -> DataFrame:
-    """``platform, version, gram, id`` of each row's normalised text: no shuffle. Write it sorted by gram to prune look-ups."""
+    """``platform, version, gram, id`` of each row's normalised text: no shuffle."""
     return glossary.select(*RELEASE, F.explode(trigrams(F.col("target_norm"))).alias("gram"), "id")
 
 
+def write(postings: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    """Store an index once for many look-ups, and read it back.
+
+    Releases are partitions and files hold sorted ranges of grams, so a look-up reads a
+    few row groups.  Ranges are drawn from the data: a common gram gets files of its own.
+    """
+    key = (*RELEASE, "gram", "id")
+    dealt = postings.repartitionByRange(*([partitions] if partitions else []), *key).sortWithinPartitions(*key)
+    dealt.write.mode("overwrite").partitionBy(*RELEASE).parquet(path)
+    return postings.sparkSession.read.schema(postings.schema).parquet(path)
+
+
 def lookup(postings: DataFrame, glossary: DataFrame, term: str) -> DataFrame:
     """Rows whose text contains the term, found by its trigrams and checked again; short terms scan."""
     term = normalise(term)

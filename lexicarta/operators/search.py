@@ -49,6 +49,16 @@ class SearchResult:
         return math.ceil(total / self.size)
 
 
+def of_languages(rows: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """Rows in a short list of codes, which reaches the scan; a whole map joins by ``in_languages``."""
+    return rows.where(F.col("language").isin(list(codes)))
+
+
+def of_bundle(rows: DataFrame, bundle: str | None) -> DataFrame:
+    """Rows of the bundle; an empty or missing name is no filter."""
+    return rows.where(F.col("bundle_name") == bundle) if bundle else rows
+
+
 def language_codes(language_map: DataFrame, platform: str, version: int, names: Sequence[str] | None) -> DataFrame:
     """Codes mapped for the release: of the names given, or of all languages when none is.
 
@@ -69,8 +79,7 @@ def matched_groups(rows: DataFrame, term: str | None, bundle: str | None, mode:
     """Distinct groups with at least one row that meets term and bundle."""
     if not term and not bundle:
         raise ValueError("a search needs a term or a bundle")
-    if bundle:
-        rows = rows.where(F.col("bundle_name") == bundle)
+    rows = of_bundle(rows, bundle)
     if term:
         rows = rows.where({"contains": contains_term, "word": contains_word}[mode](term))
     return rows.select("group_id").distinct()

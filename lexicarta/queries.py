@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import locales
 from .operators import batch, catalog, postings, search
-from .schema import COLUMNS, RELEASE, RESULT_COLUMNS, of_release
+from .schema import COLUMNS, GLOSSARY_SCHEMA, RELEASE, RESULT_COLUMNS, of_release
 from .sources import glossary as source
+from .sources.stage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,13 +75,35 @@ def scan_release(spark, sf_dir):
 
 @query("jdbc_ingest", f"WITH {X.SQL_DOCS} SELECT {SEVEN} FROM g WHERE {IOS}")
 def jdbc_ingest(spark, sf_dir):
-    """Writes one release to an in-memory database beside the driver, then reads it back in parallel."""
+    """Writes one release to a database and reads it back in parallel."""
+    url, driver, prefix = _database(spark)
+    _to_database(X.glossary_docs(spark, sf_dir), url, driver, f"{prefix}ios26", "ios", 26)
+    return source.read_jdbc(spark, url, f"{prefix}ios26", driver, partitions=4)
+
+
+@query("jdbc_ingest_releases", f"WITH {X.SQL_DOCS} SELECT {SEVEN}, platform, version FROM g")
+def jdbc_ingest_releases(spark, sf_dir):
+    """Every release as a table of a database, then all of them as one glossary."""
+    url, driver, prefix = _database(spark)
+    tables = {(p, v): f"{prefix}{p}{v}" for p, versions in X.VERSIONS.items() for v in versions}
+    for (p, v), table in tables.items():
+        _to_database(X.glossary_docs(spark, sf_dir), url, driver, table, p, v)
+    return source.read_jdbc_releases(spark, url, tables, driver, partitions=2)
+
+
+def _database(spark: SparkSession) -> tuple[str, str, str]:
+    """URL, driver and a prefix for new tables: of the server that ``lexicarta.jdbc.url`` names, else in a new database of the driver's."""
+    prefix = f"t{uuid.uuid4().hex[:12]}_"
+    if url := spark.conf.get("lexicarta.jdbc.url", None):
+        return url, spark.conf.get("lexicarta.jdbc.driver"), prefix
     if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("the in-memory database of this query is the driver's own; use sources.read_jdbc with a server's URL")
-    url, driver = f"jdbc:derby:memory:glossary{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
-    rows = source.scan_release(X.glossary_docs(spark, sf_dir), "ios", 26).select(*RESULT_COLUMNS)
-    rows.write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", "ios26").option("numPartitions", 4).save()
-    return source.read_jdbc(spark, url, "ios26", driver, partitions=4)
+        raise ValueError("name a database that all executors reach in lexicarta.jdbc.url and its driver in lexicarta.jdbc.driver")
+    return f"jdbc:derby:memory:glossary{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver", prefix
+
+
+def _to_database(glossary: DataFrame, url: str, driver: str, table: str, platform: str, version: int) -> None:
+    rows = source.scan_release(glossary, platform, version).select(*RESULT_COLUMNS)
+    rows.write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", table).option("numPartitions", 4).save()
 
 
 @query("unify_releases", f"WITH {X.SQL_DOCS} SELECT {SEVEN}, platform, version FROM g")
@@ -89,13 +112,29 @@ def unify_releases(spark, sf_dir):
     return source.unify({(p, v): g.where(of_release(p, v)).drop(*RELEASE) for p, versions in X.VERSIONS.items() for v in versions})
 
 
+@query("partitioned_search", _expanded(HAS_TERM))
+def partitioned_search(spark, sf_dir):
+    """Releases unified, normalised, written partitioned and sorted, then one of them searched: only its files are read."""
+    g, m = _views(spark, sf_dir)
+    path = staged(spark, "glossary")
+    source.write_glossary(source.with_normalised_target(unify_releases(spark, sf_dir)), path)
+    stored = spark.read.schema(GLOSSARY_SCHEMA).parquet(path)
+    return search.search(stored, m, "ios", 26, term=TERM).rows.select(*RESULT_COLUMNS)
+
+
 @query("language_map_rows", f"WITH {X.SQL_MAP} SELECT * FROM lm")
 def language_map_rows(spark, sf_dir):
     """From the nested form, one map per release, back to rows."""
     _, codes = _views(spark, sf_dir)
-    lists = codes.groupBy(*RELEASE, "language_name").agg(F.sort_array(F.collect_list("code")).alias("codes"))
-    raw = lists.groupBy(*RELEASE).agg(F.map_from_entries(F.collect_list(F.struct("language_name", "codes"))).alias("languages"))
-    return source.explode_language_map(raw)
+    return source.explode_language_map(source.nest_language_map(codes))
+
+
+@query("language_map_files", f"WITH {X.SQL_MAP} SELECT * FROM lm")
+def language_map_files(spark, sf_dir):
+    """Written as one JSON file per release and read back."""
+    path = staged(spark, "language-maps")
+    source.write_language_map(_views(spark, sf_dir)[1], path)
+    return source.read_language_map(spark, path)
 
 
 @query("normalize_target", f"WITH {X.SQL_DOCS} SELECT id, target_norm FROM g")
@@ -116,7 +155,7 @@ def release_counts(spark, sf_dir):
 @query("latest_release", f"WITH {X.SQL_DOCS} SELECT {SEVEN}, platform, version FROM g JOIN (SELECT platform, max(version) AS version FROM g GROUP BY platform) USING (platform, version)")
 def latest_release(spark, sf_dir):
     g = X.glossary_docs(spark, sf_dir)
-    return g.join(catalog.latest_releases(g), [*RELEASE], "left_semi").select(*RESULT_COLUMNS, *RELEASE)
+    return catalog.latest_rows(g).select(*RESULT_COLUMNS, *RELEASE)
 
 
 @query("project_result", f"WITH {X.SQL_DOCS} SELECT {SEVEN} FROM g")
@@ -145,12 +184,12 @@ def group_headers(spark, sf_dir):
 
 @query("filter_language", f"WITH {X.SQL_DOCS} SELECT {SEVEN} FROM g WHERE language IN ('en', 'en_XX', 'de-macos')")
 def filter_language(spark, sf_dir):
-    return X.glossary_docs(spark, sf_dir).where(F.col("language").isin("en", "en_XX", "de-macos")).select(*RESULT_COLUMNS)
+    return search.of_languages(X.glossary_docs(spark, sf_dir), ["en", "en_XX", "de-macos"]).select(*RESULT_COLUMNS)
 
 
 @query("filter_bundle", f"WITH {X.SQL_DOCS} SELECT {SEVEN} FROM g WHERE bundle_name = 'bundle1'")
 def filter_bundle(spark, sf_dir):
-    return X.glossary_docs(spark, sf_dir).where(F.col("bundle_name") == "bundle1").select(*RESULT_COLUMNS)
+    return search.of_bundle(X.glossary_docs(spark, sf_dir), "bundle1").select(*RESULT_COLUMNS)
 
 
 @query("search_contains", f"WITH {X.SQL_DOCS} SELECT {SEVEN} FROM g WHERE {HAS_TERM}")
@@ -206,6 +245,19 @@ def _column_queries() -> None:
 
 
 _column_queries()
+
+
+@query(
+    "adv_equal_localization_present",
+    f"WITH {X.SQL_MAP}, rows AS (SELECT * FROM g WHERE {IOS} AND language IN (SELECT code FROM lm WHERE {IOS})) SELECT {SEVEN} FROM rows WHERE target = (SELECT min(target) FROM rows WHERE target <> '')",
+)
+def adv_equal_localization_present(spark, sf_dir):
+    """Equality on the first text of the release, so that there is a row to find."""
+    g, m = _views(spark, sf_dir)
+    first = search.in_languages(g, m, "ios", 26).where("target <> ''").agg(F.min("target")).first()[0]
+    return search.search_column(g, m, "ios", 26, "localization", "equal", first).rows.select(*RESULT_COLUMNS)
+
+
 PREFIXED = f"FROM g WHERE {IOS} AND language IN (SELECT code FROM lm WHERE {IOS}) AND starts_with(source, 'a')"
 
 
@@ -246,6 +298,20 @@ def validate_requests(spark, sf_dir):
     return asked.select("request_id", batch.search_status().alias("search_status"), batch.column_status().alias("column_status"))
 
 
+@query(
+    "release_status",
+    f"""WITH {X.SQL_REQUESTS}, wild AS (SELECT item_id AS request_id, CASE item_id % 10 WHEN 9 THEN 'watch' ELSE CASE item_id % 2 WHEN 0 THEN 'ios' ELSE 'macos' END END AS platform,
+  CASE item_id % 7 WHEN 5 THEN '99' WHEN 6 THEN 'x' ELSE ['latest', '26', '15', ''][item_id % 4 + 1] END AS version FROM benchmark),
+asked_for AS (SELECT request_id, wild.platform, newest, CASE WHEN wild.version IN ('', 'latest') THEN newest ELSE TRY_CAST(wild.version AS INTEGER) END AS version FROM wild LEFT JOIN newest USING (platform))
+SELECT request_id, platform, version, CASE WHEN newest IS NULL THEN 'unknown_platform' WHEN EXISTS (FROM g WHERE g.platform = a.platform AND g.version = a.version) THEN 'ok' ELSE 'unknown_version' END AS release_status FROM asked_for a""",
+)
+def release_status(spark, sf_dir):
+    """Requests for releases that exist and that do not: all stay, marked."""
+    i = F.col("request_id")
+    wild = X.requests(spark, sf_dir).withColumn("platform", F.when(i % 10 == 9, "watch").otherwise(F.col("platform"))).withColumn("version", F.when(i % 7 == 5, "99").when(i % 7 == 6, "x").otherwise(F.col("version")))
+    return batch.with_release_status(wild, X.glossary_docs(spark, sf_dir)).select("request_id", *RELEASE, "release_status")
+
+
 def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     g, m = _views(spark, sf_dir)
     asked = batch.resolve_versions(batch.clean(X.requests(spark, sf_dir), "q", "bundle"), g)
@@ -257,6 +323,23 @@ def batch_search(spark, sf_dir):
     return batch.search_all(*_batch(spark, sf_dir)).select("request_id", *RELEASE, *RESULT_COLUMNS)
 
 
+@query("batch_search_indexed", f"WITH {X.SQL_REQUESTS} SELECT request_id, platform, version, {SEVEN} FROM res")
+def batch_search_indexed(spark, sf_dir):
+    """The same through stored trigram postings."""
+    g, m, asked = _batch(spark, sf_dir)
+    index = postings.write(postings.build(g), staged(spark, "postings"))
+    return batch.search_all(g, m, asked, index).select("request_id", *RELEASE, *RESULT_COLUMNS)
+
+
+@query("batch_page", f"WITH {X.SQL_REQUESTS} SELECT request_id, id, row_number, page_number FROM num JOIN req USING (request_id) WHERE row_number > CAST(page_number - 1 AS BIGINT) * page_size AND row_number <= CAST(page_number AS BIGINT) * page_size")
+def batch_page(spark, sf_dir):
+    """The page that each request asks for."""
+    g, m, asked = _batch(spark, sf_dir)
+    paged = batch.paging(asked)
+    rows = batch.requested_pages(batch.search_all(g, m, asked), paged)
+    return rows.join(paged.select("request_id", "page_number"), "request_id").select("request_id", "id", F.col("row_number").cast("long").alias("row_number"), "page_number")
+
+
 @query("all_pages", f"WITH {X.SQL_REQUESTS} SELECT request_id, id, row_number, (row_number - 1) // 50 + 1 AS page FROM num")
 def all_pages(spark, sf_dir):
     rows = batch.number_pages(batch.search_all(*_batch(spark, sf_dir)), 50)
@@ -293,6 +376,21 @@ def response_documents(spark, sf_dir):
     return source.response_documents(pages, batch.with_pages(total))
 
 
+@query(
+    "response_documents_json",
+    f"""WITH {X.SQL_REQUESTS}, known AS (SELECT * FROM req WHERE EXISTS (FROM g WHERE g.platform = req.platform AND g.version = req.version)),
+t AS (SELECT request_id, count(id) AS total FROM res GROUP BY request_id),
+page AS (SELECT request_id, to_json(list({{'id': id, 'group_id': group_id, 'source': source, 'language': coalesce(language, ''), 'file_name': file_name, 'bundle_name': bundle_name, 'text_hash': coalesce(md5(target), '')}} ORDER BY row_number)) AS data
+  FROM num JOIN known USING (request_id) WHERE row_number > CAST(page_number - 1 AS BIGINT) * page_size AND row_number <= CAST(page_number AS BIGINT) * page_size GROUP BY request_id)
+SELECT request_id, coalesce(CAST(data AS VARCHAR), '[]') AS data, coalesce(total, 0) AS total, CAST(ceil(coalesce(total, 0) / CAST(page_size AS DOUBLE)) AS BIGINT) AS last_page
+FROM known LEFT JOIN t USING (request_id) LEFT JOIN page USING (request_id)""",
+)
+def response_documents_json(spark, sf_dir):
+    """The same documents as text: of each row its columns, the localized text as a digest."""
+    row = lambda r: F.struct(*(F.coalesce(r[c], F.lit("")).alias(c) if c == "language" else r[c].alias(c) for c in RESULT_COLUMNS if c != "target"), F.coalesce(F.md5(r["target"]), F.lit("")).alias("text_hash"))
+    return response_documents(spark, sf_dir).select("request_id", F.to_json(F.transform("data", row)).alias("data"), "total", "last_page")
+
+
 SQL_COLUMN_REQUESTS = (
     X.SQL_MAP
     + r""",
@@ -326,7 +424,7 @@ def random_bundle_browse(spark, sf_dir):
 @query("postings_lookup", f"WITH {X.SQL_DOCS} SELECT {SEVEN} FROM g WHERE contains(target_norm, 'haus')")
 def postings_lookup(spark, sf_dir):
     g = X.glossary_docs(spark, sf_dir)
-    return postings.lookup(postings.build(g), g, "Haus").select(*RESULT_COLUMNS)
+    return postings.lookup(postings.write(postings.build(g), staged(spark, "postings")), g, "Haus").select(*RESULT_COLUMNS)
 
 
 @query(

@@ -29,6 +29,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, driver: str | None = No
     return read(dbtable=table, partitionColumn="id", lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(partitions))
 
 
+def read_jdbc_releases(spark: SparkSession, url: str, tables: dict[tuple[str, int], str], driver: str | None = None, **options) -> DataFrame:
+    """All release tables of a database as one glossary, one parallel read per release."""
+    return unify({release: read_jdbc(spark, url, table, driver, **options) for release, table in tables.items()})
+
+
 def unify(releases: dict[tuple[str, int], DataFrame]) -> DataFrame:
     """One dataset of all release tables, with ``platform`` and ``version`` columns."""
     tagged = [df.select(*RESULT_COLUMNS).withColumn("platform", F.lit(p)).withColumn("version", F.lit(v).cast("int")) for (p, v), df in sorted(releases.items())]
@@ -50,6 +55,28 @@ def write_glossary(glossary: DataFrame, path: str, partitions: int | None = None
     dealt.sortWithinPartitions(*key, "language").write.mode("overwrite").partitionBy("platform", "version").parquet(path)
 
 
+def read_language_map(spark: SparkSession, path: str) -> DataFrame:
+    """Language maps from files, one JSON object of language names to lists of codes for each release.
+
+    Files lie under ``platform=…/version=…``; returns one row per code.
+    """
+    raw = spark.read.option("wholetext", True).text(path)
+    languages = F.from_json("value", "map<string,array<string>>").alias("languages")
+    return explode_language_map(raw.select(F.col("platform").cast("string").alias("platform"), F.col("version").cast("int").alias("version"), languages))
+
+
+def write_language_map(codes: DataFrame, path: str) -> None:
+    """The rows ``platform, version, language_name, code`` as such files."""
+    nested = nest_language_map(codes)
+    nested.select("platform", "version", F.to_json("languages").alias("value")).repartition("platform", "version").write.mode("overwrite").partitionBy("platform", "version").text(path)
+
+
+def nest_language_map(codes: DataFrame) -> DataFrame:
+    """One row per release with ``languages map<string,array<string>>``: as many entries as a release has codes."""
+    lists = codes.groupBy("platform", "version", "language_name").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    return lists.groupBy("platform", "version").agg(F.map_from_entries(F.collect_list(F.struct("language_name", "codes"))).alias("languages"))
+
+
 def explode_language_map(raw: DataFrame) -> DataFrame:
     """``platform, version, languages map<string,array<string>>`` to one row per code."""
     named = raw.select("platform", "version", F.explode("languages").alias("language_name", "codes"))

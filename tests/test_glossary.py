@@ -9,7 +9,7 @@ from lexicarta import fixtures
 from lexicarta.functions import locales, text
 from lexicarta.operators import batch, catalog, postings, search
 from lexicarta.plans import inspect
-from lexicarta.schema import COLUMNS, GLOSSARY_SCHEMA, OPERATORS, RESULT_COLUMNS
+from lexicarta.schema import COLUMNS, GLOSSARY_SCHEMA, OPERATORS, RESULT_COLUMNS, total_order
 from lexicarta.sources import glossary as source
 
 SMALL = "/root/testdata/sf0.001"
@@ -187,6 +187,13 @@ def test_display_names(spark):
     assert {tuple(r) for r in got.collect()} == set(codes)
 
 
+def test_every_display_name_is_shown(spark):
+    names = locales.DISPLAY_NAMES
+    codes = [(c, c + s) for c in names for s in ("", "-macos", "~ipad")]
+    got = locales.with_display_name(spark.createDataFrame(codes, "plain string, language string"), locales.locale_names(spark)).collect()
+    assert len(got) == 330 and all(r["display_language"] == names[r["plain"]] for r in got)
+
+
 def test_languages_by_rule(spark):
     want = {"Base": "English", "fil": "Filipino", "zh-Hans": "Simplified Chinese", "zh_CN~ipad": "Simplified Chinese", "zh_HK": "Traditional Chinese", "zh-Hant": "Traditional Chinese", "en_GB-iphoneos": "English", "en~ipad": "English", "mn": "Mongolian", "km": "Central Khmer", "qq": None, "Dutch": "Dutch", "nb": "Norwegian Bokmål"}
     got = locales.infer_language(spark.createDataFrame([(c,) for c in want], "language string")).collect()
@@ -213,6 +220,7 @@ def test_random_browse_is_repeatable_and_whole(glossary):
 REQUESTS = [
     (1, "ios", "latest", "hello", None, None), (2, "ios", "26", "", "b2", []), (3, "ios", "26", "monde", "", ["French", "English"]),
     (4, "ios", "18", "HELLO", None, ["English"]), (5, "ios", "26", "hello", "", ["Klingon"]), (6, "ios", "26", "", "", []), (7, "ios", "99", "hello", "", []), (8, "macos", "", "world", None, []),
+    (9, "ios", "26", "ＷＯＲＬＤ1", None, []), (10, "ios", "26", "ｶﾞ", "", ["Japanese"]), (11, "ios", "latest", "ＨＥＬＬＯ", "b1", []), (12, "ios", "26", "w", None, ["English"]), (13, "watch", "1", "hello", None, []),
 ]
 
 
@@ -223,7 +231,7 @@ def test_batch_equals_single(spark, glossary, language_map):
     for r in found.collect():
         got.setdefault(r["request_id"], []).append(r["id"])
     for k, platform, version, q, bundle, languages in REQUESTS:
-        if version == "99" or not (q or bundle):
+        if version == "99" or platform == "watch" or not (q or bundle):
             assert k not in got
             continue
         p, v = catalog.resolve_release(glossary, platform, version)
@@ -235,6 +243,55 @@ def test_batch_equals_single(spark, glossary, language_map):
     assert totals == {k: sum(x is not None for x in v) for k, v in got.items()}
 
 
+ASKED = "request_id long, platform string, version string, q string, bundle string, languages array<string>"
+
+
+def test_batch_by_index_equals_batch_by_release(spark, glossary, language_map, tmp_path):
+    asked = batch.resolve_versions(spark.createDataFrame(REQUESTS, ASKED), glossary)
+    named = glossary.where("id is not null")
+    index = postings.write(postings.build(named), str(tmp_path / "index"), 3)
+    one, two = (sorted(map(str, batch.search_all(named, language_map, asked, i).select("request_id", *GLOSSARY_SCHEMA_NAMES).collect())) for i in (None, index))
+    assert one == two and len(one) > 20
+    assert any("gram,world" in f.replace(" ", "") or "EqualTo(gram" in f or "In(gram" in f for f in inspect.scan_filters(postings.lookup(index, named, "world"))["PushedFilters"])
+
+
+def test_requests_for_unknown_releases_stay_marked(spark, glossary):
+    asked = batch.with_release_status(spark.createDataFrame([*REQUESTS, (14, "ios", "x", "q", None, []), (15, None, None, "q", None, [])], ASKED), glossary)
+    got = {r["request_id"]: (r["version"], r["release_status"]) for r in asked.collect()}
+    assert len(got) == len(REQUESTS) + 2 and got[1] == (26, "ok") and got[7] == (99, "unknown_version") and got[13] == (1, "unknown_platform")
+    assert got[14] == (None, "unknown_version") and got[15] == (None, "unknown_platform")
+    assert {r[0] for r in batch.resolve_versions(spark.createDataFrame(REQUESTS, ASKED), glossary).select("request_id").collect()} == {k for k, (_, s) in got.items() if s == "ok"}
+
+
+def test_row_numbers_follow_the_total_order_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(batch, "RANGE", 3)
+    rng = random.Random(2)
+    made = [(rng.choice([1, 2, 3]), *row(rng.randint(0, 40), rng.choice([*range(30), None]), "s", f"t{rng.randint(0, 3)}", rng.choice(["en", "fr", None]))) for _ in range(600)]
+    df = spark.createDataFrame(made, "request_id long, " + GLOSSARY_SCHEMA)
+    got = {}
+    for r in batch.numbered(df).collect():
+        got.setdefault(r["request_id"], []).append((r["row_number"], *(r[c] for c in total_order())))
+    for k, rows in got.items():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, sum(m[0] == k for m in made) + 1))
+        keys = [tuple((x is not None, x if x is not None else 0) for x in r[1:]) for r in rows]
+        assert keys == sorted(keys)
+
+
+def test_every_kind_of_white_space_is_trimmed(spark):
+    blanks = " \t\n\x0b\x0c\r\u00a0\u2003\u2028\ufeff\u3000"
+    df = spark.createDataFrame([(blanks + "a b" + blanks, blanks), ("x", None)], "q string, bundle string")
+    assert [tuple(r) for r in batch.clean(df, "q", "bundle").collect()] == [("a b", ""), ("x", None)]
+
+
+def test_language_maps_from_files(spark, language_map, tmp_path):
+    source.write_language_map(language_map, str(tmp_path / "maps"))
+    files = list((tmp_path / "maps").glob("platform=*/version=*/*.txt"))
+    assert len(files) == 3 and all(f.read_text().startswith("{") for f in files)
+    same = lambda df: sorted(map(str, df.select("platform", "version", "language_name", "code").collect()))
+    assert same(source.read_language_map(spark, str(tmp_path / "maps"))) == same(language_map)
+
+
 def test_batch_columns_equal_single(spark, glossary, language_map):
     asked = [(k, "ios", 26, a, o, q, lang) for k, (a, o, q, lang) in enumerate((a, o, q, lang) for a in COLUMNS for o in OPERATORS for q in ("a", "b1", "en", "Hello world") for lang in ([], ["English"]))]
     df = spark.createDataFrame([*asked, (900, "ios", 26, "nope", "equal", "x", []), (901, "ios", 26, "key", "equal", "", [])], "request_id long, platform string, version int, column_alias string, operator string, q string, languages array<string>")
