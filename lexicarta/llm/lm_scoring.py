@@ -1,11 +1,14 @@
 """Operator 10: document scores by masked pseudo-likelihood.
 
 A small network looks at the words on both sides of a masked position and gives
-every token a probability, by class and then within the class.  It is trained in
-numpy inside the tasks: each partition masks a share of all its positions, trains
-from the common parameters, and the results are averaged with the positions as
-weights, for a few rounds, each with another share until every position had a turn.  A document's score sums the log-probability of every
-one of its tokens given both sides.
+every token a probability, by class and then within the class.  The corpus is
+turned into tokens once and dealt into shards by content, about ``SHARD`` tokens
+each.  Training runs in numpy inside the tasks: each shard masks a share of all its
+positions, trains from the common parameters in an order of its own, and the results
+are averaged with the positions as weights, for a few rounds, each with another
+share until every position had a turn.  Shards, their order and the sums depend on
+the texts alone, so the scores do not depend on how rows lie in partitions.  A
+document's score sums the log-probability of every one of its tokens given both sides.
 
 Tokens are lower-cased words: the most frequent of the whole corpus by themselves,
 all others in hashed buckets.  With the counts of all words, a word in a bucket gets
@@ -29,6 +32,10 @@ from .scratch import Scratch, bounded
 ROW, WAYS = 2048, 64
 #: Words of a corpus up to which the smallest shape stands, and the side of the largest.
 FEW_WORDS, MOST_SIDE = 1 << 22, 96
+#: Tokens of a shard, and of a piece of it that is held at once.
+SHARD, PIECE = 1 << 21, 1 << 16
+#: Copies of one text that one task puts out.
+MOST_COPIES = 1024
 
 
 @dataclass(frozen=True)
@@ -136,9 +143,9 @@ def train_step(flat: np.ndarray, memory: np.ndarray, around: np.ndarray, target:
     back *= 1 - hidden**2
     g_shift += back.sum(0)
     g_place += (seen * back[:, None, :]).sum(0)
-    cell, entries = np.arange(shape.width), g_embed.reshape(-1)
-    for k in range(2 * shape.radius):  # by single cells: much faster than by rows
-        np.add.at(entries, (around[:, k, None] * shape.width + cell).ravel(), (back * place[k]).ravel())
+    cell = np.arange(shape.width)
+    for k in range(2 * shape.radius):  # counted by single cells: much faster than adding rows
+        g_embed += np.bincount((around[:, k, None] * shape.width + cell).ravel(), (back * place[k]).ravel(), g_embed.size).reshape(g_embed.shape)
     slope /= len(target)
     memory += slope**2
     flat -= rate * slope / np.sqrt(memory + 1e-8)
@@ -228,49 +235,110 @@ def _average(rows: DataFrame, length: int) -> np.ndarray | None:
 
 
 def masked(words: S.Words, every: int, turn: int) -> np.ndarray:
-    """Positions whose turn it is, by word and place in the document alone."""
+    """Positions whose turn it is, by what ``words.hash`` holds and the place in the document alone."""
     place = np.arange(len(words.hash)) - np.repeat(words.bounds[:-1], np.diff(words.bounds))
     return np.flatnonzero(S.mix(words.hash + place.astype(np.uint64) * np.uint64(S.ITEM_BASE)) % np.uint64(every) == np.uint64(turn % every))
 
 
+def tokens(docs: DataFrame, words: np.ndarray, shape: Shape) -> DataFrame:
+    """``key, ids`` of every text with a word: a hash of its words, and its tokens."""
+
+    def read(batches):
+        for b in batches:
+            for _, _, data, offsets in S.chunks(b.column(0)):
+                w = S.words(data, offsets, lower=True)
+                some = np.flatnonzero(np.diff(w.bounds))
+                if len(some):
+                    keys = S.Rolling(w.hash).some(w.bounds[some], w.bounds[some + 1])
+                    ids = pa.ListArray.from_arrays(pa.array(np.append(w.bounds[some], len(w.hash)), pa.int32()), pa.array(token_ids(w.hash, words, shape), pa.int32()))
+                    yield pa.record_batch([pa.array(keys.view(np.int64)), ids], ["key", "ids"])
+
+    return docs.select("text").where("text is not null").mapInArrow(read, "key long, ids array<int>")
+
+
+def _copies(coded: DataFrame) -> DataFrame:
+    """``key, copy, ids``: each text as often as it occurs; many copies come out of many tasks."""
+    few = coded.where(F.col("copies") <= MOST_COPIES).select("key", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    many = coded.where(F.col("copies") > MOST_COPIES).select("key", "ids", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / MOST_COPIES))).alias("block"))
+    first = F.col("block") * MOST_COPIES
+    many = many.repartition("key", "block").select("key", "ids", F.explode(F.sequence(first, F.least(first + MOST_COPIES, F.col("copies")) - 1)).alias("copy"))
+    return few.unionByName(many).select("key", "copy", "ids")
+
+
+def _pieces(batches, size: int):
+    """(shard, marks, ids, bounds) of runs of whole documents of one shard, cut by their tokens and not by batches.
+
+    Marks are hashes of the documents' keys and copies, for each token.
+    """
+    shard, held, n = None, [], 0
+
+    def done():
+        length = [len(x[1]) for x in held]
+        marks = S.mix(np.array([x[0] for x in held], np.int64).view(np.uint64) + np.array([x[2] for x in held], np.uint64) * np.uint64(S.BYTE_BASE))
+        return shard, np.repeat(marks, length), np.concatenate([x[1] for x in held]), np.concatenate([[0], np.cumsum(length)])
+
+    for b in batches:
+        shards, keys, copies, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        for k in range(b.num_rows):
+            if held and (shards[k] != shard or n >= size):
+                yield done()
+                held, n = [], 0
+            shard = int(shards[k])
+            held.append((keys[k], flat[ends[k] : ends[k + 1]], copies[k]))
+            n += len(held[-1][1])
+    if held:
+        yield done()
+
+
 def train(docs: DataFrame, shape: Shape = Shape(), every: int = 2, rounds: int = 2, batch: int = 4096, rate: float = 0.1, counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(vocabulary, parameters), fitted on one masked position in ``every`` of every document a round.
 
     The shares of ``every`` rounds in a row are disjoint and together all positions.
-    ``counted`` are the word counts of ``docs``, where at hand.
+    ``counted`` are the word counts of ``docs``, where at hand.  Null and wordless texts
+    teach nothing, equal texts teach as often as they occur, spread over all shards, and
+    no text at all leaves the first parameters.  What training gathers is one set of parameters for each shard
+    and round, summed by executors in two levels; the driver gets the mean.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     docs = bounded(docs).select("text").where("text is not null")
     words, flat = _most_frequent(word_counts(docs) if counted is None else counted, shape.words), shape.start()
+    coded = tokens(docs, words, shape).groupBy("key", "ids").agg(F.count("*").alias("copies"))
+    coded = scratch.write(coded, "tokens")
+    shards = max(1, -(-(coded.agg(F.sum(F.size("ids") * F.col("copies"))).first()[0] or 0) // SHARD))
+    dealt = _copies(coded).select(F.pmod(F.xxhash64("key", "copy"), F.lit(shards)).cast("int").alias("shard"), "key", "copy", "ids").repartition("shard").sortWithinPartitions("shard", "key", "copy")
     for turn in range(rounds):
 
         def fit(batches, common=flat, turn=turn):
-            from pyspark import TaskContext
-
-            own, memory, done = common.copy(), np.full_like(common, 1e-3), 0
-            for b in batches:
-                for _, _, data, offsets in S.chunks(b.column(0)):
-                    w = S.words(data, offsets, lower=True)
-                    ids = token_ids(w.hash, words, shape)
-                    at = masked(w, every, turn)
-                    at = at[np.argsort(S.mix(at.astype(np.uint64)))]
-                    for k in range(0, len(at), batch):
-                        part = at[k : k + batch]
-                        train_step(own, memory, contexts(ids, w.bounds, part, shape), ids[part], shape, rate)
-                    done += len(at)
-            if done:
+            now, own, memory, done = None, None, None, 0
+
+            def told():
                 rows = -(-len(own) // ROW)
                 values = np.zeros(rows * ROW, np.float64)
                 values[: len(own)] = own.astype(np.float64) * done
-                part = TaskContext.get().partitionId()
-                yield pa.record_batch([pa.array([part] * rows, pa.int32()), pa.array(range(rows), pa.int32()), pa.array([float(done)] * rows), pa.array(list(values.reshape(rows, ROW)), pa.list_(pa.float64()))], ["part", "row", "weight", "values"])
+                return pa.record_batch([pa.array([now] * rows, pa.int32()), pa.array(range(rows), pa.int32()), pa.array([float(done)] * rows), pa.array(list(values.reshape(rows, ROW)), pa.list_(pa.float64()))], ["part", "row", "weight", "values"])
+
+            for shard, marks, ids, bounds in _pieces(batches, PIECE):
+                if shard != now:
+                    if done:
+                        yield told()
+                    now, own, memory, done = shard, common.copy(), np.full_like(common, 1e-3), 0
+                at = masked(S.Words(bounds[:-1], bounds[1:], marks, bounds), every, turn)
+                at = at[np.argsort(S.mix(at.astype(np.uint64)))]
+                for k in range(0, len(at), batch):
+                    part = at[k : k + batch]
+                    train_step(own, memory, contexts(ids, bounds, part, shape), ids[part], shape, rate)
+                done += len(at)
+            if done:
+                yield told()
 
-        got = scratch.write(docs.mapInArrow(fit, "part int, row int, weight double, values array<double>"), f"round-{turn}")
+        got = scratch.write(dealt.mapInArrow(fit, "part int, row int, weight double, values array<double>"), f"round-{turn}")
         mean = _average(got, len(flat))
         scratch.drop(f"round-{turn}")
         if mean is None:
             break
         flat = mean
+    scratch.drop("tokens")
     return words, flat
 
 

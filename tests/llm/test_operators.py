@@ -417,6 +417,43 @@ def test_lm_training_masks_every_position_once():
     assert given["rounds"].default >= given["every"].default
 
 
+def test_lm_scores_do_not_depend_on_the_layout(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 3000)  # many shards, pieces that end inside batches, many copies
+    monkeypatch.setattr(lm_scoring, "MOST_COPIES", 16)
+    shape = lm_scoring.Shape(side=8, words=40, width=6, radius=2)
+    made = [(k, t if t is None else t[:40000]) for k, t in rows] + [(1000 + k, "the same text again and again") for k in range(90)]
+    one = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    two = spark.createDataFrame(random.Random(1).sample(made, len(made)), "doc_id long, text string").repartition(7)
+    (a, x), (b, y) = (lm_scoring.train(df, shape, batch=512) for df in (one, two))
+    assert (a == b).all() and (x == y).all() and not (x == shape.start()).all()
+
+
+def test_lm_rounds_average_the_shards_by_their_positions(spark):
+    """One shard trained by hand, and the mean of two by their weights."""
+    shape = lm_scoring.Shape(side=4, words=10, width=4, radius=1)
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 13}" for j in range(60))) for k in range(8)], "doc_id long, text string")
+    words, flat = lm_scoring.train(docs, shape, every=2, rounds=1, batch=64)
+    coded = sorted((r["key"], r["ids"]) for r in lm_scoring.tokens(docs.select("text"), words, shape).collect())
+    dealt = {}
+    for key, ids in coded:  # a copy is told by its number
+        dealt[key, sum(k == key for k, _ in dealt)] = ids
+    dealt = sorted(dealt.items())
+    ids, bounds = np.concatenate([i for _, i in dealt]), np.concatenate([[0], np.cumsum([len(i) for _, i in dealt])])
+    marks = [spans.mix(np.array([k], np.int64).view(np.uint64) + np.uint64(n) * np.uint64(spans.BYTE_BASE))[0] for (k, n), _ in dealt]
+    marks = np.repeat(np.array(marks, np.uint64), np.diff(bounds))
+    at = lm_scoring.masked(spans.Words(bounds[:-1], bounds[1:], marks, bounds), 2, 0)
+    at = at[np.argsort(spans.mix(at.astype(np.uint64)))]
+    own, memory = shape.start(), np.full_like(shape.start(), 1e-3)
+    for k in range(0, len(at), 64):
+        part = at[k : k + 64]
+        lm_scoring.train_step(own, memory, lm_scoring.contexts(ids, bounds, part, shape), ids[part], shape, 0.1)
+    assert flat == pytest.approx(own, rel=1e-5, abs=1e-6)
+    values = [[float(k + j) for j in range(lm_scoring.ROW)] for k in range(5)]
+    parts = spark.createDataFrame([(k, 0, float(k + 1), [x * (k + 1) for x in v]) for k, v in enumerate(values)], "part int, row int, weight double, values array<double>")
+    want = np.average(np.array(values), axis=0, weights=np.arange(1, 6))
+    assert lm_scoring._average(parts.repartition(3), lm_scoring.ROW) == pytest.approx(want, rel=1e-6)
+
+
 def test_lm_vocabulary_grows_with_the_corpus():
     sides = [lm_scoring.shape_for(n).side for n in (0, 1 << 22, 1 << 30, 1 << 34, 1 << 60)]
     assert sides[:2] == [32, 32] and sides[1] < sides[2] < sides[3] < sides[4] == lm_scoring.MOST_SIDE
