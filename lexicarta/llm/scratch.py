@@ -9,16 +9,15 @@ folder of this process is used.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.stage import shared_root
+
 #: Bytes of one Arrow batch: with a few copies of it in a task, what Python and the network buffers hold stays small.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
-_local: list[str] = []
-
 
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, whose session from now on hands batches of bounded bytes to Python, unless it has a bound of its own."""
@@ -28,18 +27,6 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors and the driver share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="spark-scratch-"))
-    return f"file://{_local[0]}"
-
-
 class Scratch:
     """One run's folder of Parquet tables; removed at the end of the process, tables earlier by ``drop``."""
 

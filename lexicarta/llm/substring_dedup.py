@@ -1,22 +1,27 @@
 """Operator 1: repeated word passages, by a log-structured fingerprint index.
 
-The index is a log of immutable runs in the shared folder.  A run holds, sorted,
-the distinct window fingerprints of one batch of documents with the smallest
-document of each.  A new batch is merge-joined with the runs: fingerprints seen
-in a smaller document decide at once, and those whose anchor is known from
-other surroundings are verified window by window over the texts concerned.
-When the log holds too many runs, their merge replaces them.
+The index is a log of immutable runs in the shared folder.  A run holds, bucketed and
+sorted by anchor, the distinct window fingerprints of one batch of documents with the
+smallest document of each.  A new batch is merge-joined with each run where it lies:
+history is read in place, and only what shares an anchor with the batch leaves it.
+Fingerprints seen in a smaller document decide at once, and those whose anchor is
+known from other surroundings are verified window by window over the texts concerned.
+Runs are compacted by size: a run is merged with the one before while that is not
+much larger, so there are few runs and a fingerprint is rewritten a few times only.
 
 One fingerprint stands for a whole *span* of windows (see ``spans``), about one
 row for sixteen windows, and the decisions stay exact: an equal span means equal
 windows throughout; windows can be equal across different spans only when the
-anchors are equal, and exactly those are verified.
+anchors are equal, and exactly those are verified.  Equality is that of two 64-bit
+hashes throughout, of the anchor's words and of the span's or window's.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +35,21 @@ FINGERPRINTS = "doc_id long, anchor long, span long, n long"
 
 
 class FingerprintIndex:
-    """Incremental index of ``width``-word windows. Parameters are fixed for its life."""
+    """Incremental index of ``width``-word windows. Parameters are fixed for its life; ``close`` frees its tables.
 
-    def __init__(self, spark: SparkSession, width: int = 50, gram: int = 20, most_runs: int = 1):
+    Two neighbouring runs are merged unless the older has more than ``ratio`` times the
+    rows of the newer; with ``most_runs``, all are merged once there are more than that instead.
+    """
+
+    def __init__(self, spark: SparkSession, width: int = 50, gram: int = 20, most_runs: int | None = None, ratio: float = 4.0):
         if not 1 <= gram <= width:
             raise ValueError("gram must lie between 1 and width")
-        self.width, self.gram, self.most_runs = width, gram, most_runs
+        self.spark, self.width, self.gram, self.most_runs, self.ratio = spark, width, gram, most_runs, ratio
         self.scratch = Scratch(spark, "fingerprints")
-        self.runs: list[tuple[str, DataFrame]] = []
+        self.runs: list[tuple[str, int]] = []
+        self.highest: int | None = None
         self._count = 0
+        self._name = f"fingerprints_{uuid.uuid4().hex}"
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
         """Distinct ``(doc_id, anchor, span)`` of each document. Null ids or texts give none."""
@@ -54,44 +65,71 @@ class FingerprintIndex:
 
         return bounded(docs).select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(extract, FINGERPRINTS)
 
-    def append(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _store(self, run: DataFrame) -> tuple[str, int]:
+        """Write ``anchor, span, first`` as a run: buckets of anchors, each sorted, one file a bucket."""
+        self._count += 1
+        name = f"{self._name}_{self._count}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = run.select("anchor", "span", "first").repartition(buckets, "anchor")
+        dealt.write.bucketBy(buckets, "anchor").sortBy("anchor", "span").option("path", f"{self.scratch.root}/{name}").option("compression", "zstd").saveAsTable(name)
+        return name, self.spark.table(name).count()
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(name)
+
+    def append(self, rows: DataFrame, more: bool = True) -> tuple[DataFrame, DataFrame]:
         """Add a batch of fingerprints as a run; all its ids must exceed those of earlier batches.
 
         Returns ``seen (doc_id, span)``, spans of the batch that stand in a smaller
         document, and ``open (doc_id, span)``, the spans of any batch so far whose
-        windows must be verified because of this batch.  With more than ``most_runs``
-        runs the log is compacted to one.
+        windows must be verified because of this batch.  Raises where the ids do not ascend.
+        After the last batch (``more`` false) nothing is compacted.
         """
-        name = f"run-{self._count}"
-        self._count += 1
-        run = rows.groupBy("anchor", "span").agg(F.min("doc_id").alias("first")).withColumn("fresh", F.lit(True))
-        if not self.runs:
-            merged = self.scratch.write(run.sortWithinPartitions("anchor", "span"), name)
-            self.runs.append((name, merged))
-        else:
-            run = self.scratch.write(run.sortWithinPartitions("anchor", "span"), name)
-            merged = run
-            for _, old in self.runs:
-                merged = merged.unionByName(old.withColumn("fresh", F.lit(False)))
+        low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and self.highest is not None and low <= self.highest:
+            raise ValueError(f"document {low} comes after {self.highest}: batches must have ascending ids")
+        self.highest = self.highest if high is None else high
+        run = self._store(rows.groupBy("anchor", "span").agg(F.min("doc_id").alias("first")))
+        fresh = self.spark.table(run[0])
+        merged = fresh.withColumn("fresh", F.lit(True))
+        if self.runs:
+            anchors = fresh.select("anchor").distinct()
+            for old, _ in self.runs:  # what history knows of the batch's anchors
+                merged = merged.unionByName(self.spark.table(old).join(anchors, "anchor", "left_semi").withColumn("fresh", F.lit(False)))
             merged = merged.groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("fresh").alias("fresh"))
-            merged = self.scratch.write(merged.sortWithinPartitions("anchor", "span"), f"{name}-merged")
-            self.runs.append((name, run))
-        seen = rows.join(merged, ["anchor", "span"]).where("doc_id > first").select("doc_id", "span")
-        mixed = merged.groupBy("anchor").agg(F.count("*").alias("k"), F.min("first").alias("low"), F.max("first").alias("high"), F.max("fresh").alias("fresh"))
-        mixed = mixed.where("k > 1 and low < high and fresh").select("anchor")
+            merged = self.scratch.write(merged, f"met-{self._count}")
+        seen = rows.join(merged.where("fresh"), ["anchor", "span"]).where("doc_id > first").select("doc_id", "span")
+        mixed = merged.groupBy("anchor").agg(F.count("*").alias("k"), F.min("first").alias("low"), F.max("first").alias("high"))
+        mixed = mixed.where("k > 1 and low < high").select("anchor")
         unsure = merged.join(mixed, "anchor", "left_semi").select(F.col("first").alias("doc_id"), "span")
-        seen, unsure = self.scratch.write(seen, f"seen-{name}"), self.scratch.write(unsure, f"open-{name}")
-        if len(self.runs) > self.most_runs:
-            self._compact(f"{name}-merged", merged)
-        elif len(self.runs) > 1:
-            self.scratch.drop(f"{name}-merged")
+        seen, unsure = self.scratch.write(seen, f"seen-{self._count}"), self.scratch.write(unsure, f"open-{self._count}")
+        self.scratch.drop(f"met-{self._count}")
+        self.runs.append(run)
+        if more:
+            self._compact()
         return seen, unsure
 
-    def _compact(self, name: str, merged: DataFrame) -> None:
-        """The merge that judged the last batch is already the union of all runs, sorted: it replaces them."""
-        for old, _ in self.runs:
-            self.scratch.drop(old)
-        self.runs = [(name, merged)]
+    def _compact(self) -> None:
+        """Merge the newest runs while the older of two is not much larger; buckets meet where they lie."""
+        if self.most_runs is not None:
+            if len(self.runs) > self.most_runs:
+                self._merge(len(self.runs))
+            return
+        while len(self.runs) > 1 and self.runs[-2][1] <= self.ratio * self.runs[-1][1]:
+            self._merge(2)
+
+    def _merge(self, n: int) -> None:
+        old = [name for name, _ in self.runs[-n:]]
+        both = reduce(DataFrame.unionByName, map(self.spark.table, old)).groupBy("anchor", "span").agg(F.min("first").alias("first"))
+        self.runs[-n:] = [self._store(both)]
+        for name in old:
+            self._drop(name)
+
+    def close(self) -> None:
+        for name, _ in self.runs:
+            self._drop(name)
+        self.runs = []
 
     def verify(self, corpus: DataFrame, unsure: DataFrame) -> DataFrame:
         """``(doc_id, window)``: windows inside open spans that also start in a smaller document."""
@@ -178,9 +216,12 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 20, batches: i
     part = sum((F.col("doc_id") > F.lit(c)).cast("int") for c in sorted(set(cuts))) if batches > 1 and cuts else F.lit(0)
     rows = index.scratch.write(index.fingerprints(docs).withColumn("batch", part), "rows", by="batch")
     seen = unsure = None
-    for k in range(batches if batches > 1 and cuts else 1):
-        a, b = index.append(rows.where(F.col("batch") == k).drop("batch"))
+    n = len(set(cuts)) + 1 if batches > 1 else 1
+    for k in range(n):
+        a, b = index.append(rows.where(F.col("batch") == k).drop("batch"), more=k + 1 < n)
         seen, unsure = (a, b) if seen is None else (seen.unionByName(a), unsure.unionByName(b))
+    index.close()  # this call's documents are all there is; a caller with more to come keeps its index open
+    index.scratch.drop("rows")
     return index.apply(docs, seen, index.verify(docs, unsure))
 
 

@@ -98,6 +98,28 @@ def test_substring_index_is_incremental(spark, docs, rows):
     assert got == brute.substring_dedup(rows, 10)
 
 
+def test_substring_index_keeps_runs_by_size(spark, docs, rows):
+    index = substring_dedup.FingerprintIndex(spark, 10, 4, ratio=2)
+    seen = unsure = None
+    counts = []
+    for low, high in ((0, 15), (15, 40), (40, 60), (60, 70), (70, 75), (75, 76)):
+        a, b = index.append(index.fingerprints(docs.where(F.col("doc_id").between(low + 1, high))))
+        seen, unsure = (a, b) if seen is None else (seen.union(a), unsure.union(b))
+        counts.append(len(index.runs))
+        sizes = [n for _, n in index.runs]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    assert max(counts) > 1
+    part = [r for r in rows if r[0] <= 76]
+    got = collected(index.apply(docs.where("doc_id <= 76"), seen, index.verify(docs.where("doc_id <= 76"), unsure)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring_dedup(part, 10)
+    with pytest.raises(ValueError, match="ascending"):
+        index.append(index.fingerprints(docs.where("doc_id = 60")))
+    plan = spark.table(index.runs[0][0]).join(spark.table(index.runs[-1][0]).select("anchor").distinct(), "anchor", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    index.close()
+    assert index.runs == []
+
+
 @pytest.mark.parametrize("length,gram,group", [(400, 200, 1024), (30, 12, 2), (5, 2, 1024)])
 def test_suffix_dedup(docs, rows, length, gram, group):
     short = [r for r in rows if len(r[1] or "") < 20000 or length > 100]
