@@ -9,7 +9,7 @@ to their overlap; with l grown to a twentieth of the set, three exact steps foll
 * other pairs share l frequent ones: dealt into l - 1 groups by hash, two of those
   fall into one group, so two-shingle combinations within groups are indexed.
 
-Every candidate pair is verified on whole sets.  Large buckets are not expanded:
+Candidate pairs are verified on whole sets, unless both are in one component already.  Large buckets are not expanded:
 members are first compared with the bucket's smallest id; only buckets that still
 span several components go on, and there only pairs across components.
 """
@@ -102,9 +102,11 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Returns one row
     per input row: ``doc_id, n_shingles, component_id``, the smallest id reachable by
-    links.  A null or wordless text has no shingle and links with nothing; rows that
-    share an id must share the text; a row with a null id is returned with a null
-    component.  Equal sets form one class and are compared once.
+    links.  A null or wordless text has no shingle and links with nothing; a row with a
+    null id is returned with a null component; rows that share an id and a text are
+    returned each; an id with different texts keeps a row and a count for each, is
+    compared by the greatest of its sets, and belongs to the smallest of its classes.
+    Equal sets form one class and are compared once.  An empty table gives an empty result.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -164,10 +166,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token", "salt")))
     known = scratch.write(counted.where("hot or df > 1").select("token", "doc_id", "n", "hot"), "known")
     bound = lambda n: F.floor(F.ceil(n * num / den) / 20) + 2  # noqa: E731  l of the smallest partner
-    alive = known.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= bound(F.col("n"))).select("doc_id")
+    alive = known.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= bound(F.col("n"))).select("doc_id")
     # the smallest id stands for each set
     sets = meta.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = meta.join(sets.where("copies > 1"), ["n", "h1", "h2"]).select("doc_id", "rep").distinct()
+    copies = meta.join(sets.where("copies > 1"), ["n", "h1", "h2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
     copies = scratch.write(copies, "copies")
     live = known.join(alive, "doc_id", "left_semi").join(copies, "doc_id", "left")
     live = live.select("token", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "hot").distinct()
@@ -192,7 +194,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
             if sig:
                 yield pa.record_batch([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(size))], ["sig", "doc_id", "n"])
 
-    frequent = live.where(F.col("df") > rare).groupBy("doc_id").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
+    frequent = live.where(F.col("df") > rare).groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_set("token").alias("tokens"))
     combos = scratch.write(frequent.select("doc_id", "n", "tokens").mapInArrow(combine, "sig long, doc_id long, n int"), "combos")
     hubs = combos.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     hubs = scratch.write(hubs, "hubs")
@@ -212,14 +214,21 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
             yield pa.record_batch([batch.column(0).take(rows), pa.array([x[1].view(np.int64) for x in out], pa.list_(pa.int64()))], ["doc_id", "own"])
 
     whole = docs.join(held, "doc_id", "left_semi").mapInArrow(gather, "doc_id long, own array<long>")
-    whole = scratch.write(whole.dropDuplicates(["doc_id"]), "sets")
+    whole = scratch.write(whole.groupBy("doc_id").agg(F.max("own").alias("own")), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
         both = candidates.join(whole.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
         return both.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("a", "b")
 
-    links = scratch.write(verified(tried), "links")
+    # one candidate of each document first; of the others only those that could still join two components
+    first = tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    sure = scratch.write(verified(first), "sure")
+    joined = scratch.write(components(sure, scratch, "cc0"), "joined")
+    of = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    open_ = tried.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_ = open_.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links = scratch.write(sure.unionByName(verified(open_)), "links")
     parts = scratch.write(components(links, scratch, "cc1"), "parts")
     # buckets that still span components: pairs across components not tried yet, by the buckets' smallest id
     wide = met.where("members > 2").select("sig", "doc_id", "n", F.col("hub.doc_id").alias("hub")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")

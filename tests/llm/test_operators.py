@@ -609,6 +609,9 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == sorted([(None, 0), (None, 0), (3, n), (3, n), (4, n)], key=str)
     got = sorted(map(tuple, jaccard_join.jaccard_join(df).select("doc_id", "component_id").collect()), key=str)
     assert got == sorted([(None, None), (None, None), (3, 3), (3, 3), (4, 3)], key=str)
+    twice = spark.createDataFrame([(3, text), (3, "a b c d e f g h"), (4, text), (5, "a b c d e f g h"), (6, None)], "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.jaccard_join(twice).collect()))
+    assert [r[:2] for r in got] == [(3, 5), (3, 117), (4, 117), (5, 5), (6, 0)] and got[4][2] == 6 and {r[2] for r in got[:4]} == {3}
 
 
 def test_a_model_without_languages_says_und(docs, empty):
