@@ -140,5 +140,88 @@ def jaccard_join(docs: list[tuple], k: int = 4, num: int = 85, den: int = 100) -
     return {(doc, len(s), comp[doc]) for doc, s in sets.items()}
 
 
+def template(text: str, units: list[str]) -> list[tuple[str, int]]:
+    """(word in lower case, kind) of a text, character by character; kinds 0 literal, 1 number, 2 name, 3 unit."""
+    digit = lambda c: "0" <= c <= "9"
+    word = lambda c: c.isascii() and c.isalnum() or ord(c) >= 128
+    upper = lambda c: "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7"
+    n = len(text)
+    solid = [word(c) or c in ".," and 0 < i < n - 1 and digit(text[i - 1]) and digit(text[i + 1]) for i, c in enumerate(text)]
+    starts = [i for i in range(n) if solid[i] and (i == 0 or not solid[i - 1] or digit(text[i - 1]) and word(text[i]) and not digit(text[i]))]
+    out, end = [], 0
+    for k, i in enumerate(starts):
+        j = i
+        while j < n and solid[j] and (j == i or j not in starts[k + 1 : k + 2]):
+            j += 1
+        own, kind = text[i:j], 0
+        if digit(own[0]) and all(digit(c) or c in ".," for c in own):
+            kind = 1
+        elif out and out[-1][1] == 1 and "".join(c.lower() if upper(c) else c for c in own) in units:
+            kind = 3
+        elif out and not set(text[end:i]) & set("!.:?\n") and upper(own[0]) and len(own) > 1 and not upper(own[1]):
+            kind = 2
+        out.append(("".join(c.lower() if upper(c) else c for c in own), kind))
+        end = j
+    return out
+
+
+def template_windows(text: str | None, units: list[str], width: int = 5) -> list[tuple]:
+    """(place, key, slots) of the windows with enough literal words, names as words and as placeholders."""
+    words, out = template(text or "", units), []
+    size = min(len(words), width)
+    for i in range(len(words) - size + 1 if size else 0):
+        part = words[i : i + size]
+        for open_names in (False, True):
+            if open_names and all(k != 2 for _, k in part):
+                continue
+            held = [(w, k if open_names or k != 2 else 0) for w, k in part]
+            if sum(k == 0 for _, k in held) >= min(2, size):
+                out.append((i, tuple(w if k == 0 else k for w, k in held), [w for w, k in held if k]))
+    return out
+
+
+def decontaminate(docs: list[tuple], items: list[tuple], units: list[str], share: float = 0.8) -> set[tuple]:
+    """(doc_id, item_id, n_found, reparameterised)"""
+    out = set()
+    known = {i: {(p, k): s for p, k, s in template_windows(t, units)} for i, t in items if i is not None}
+    for doc, text in dict(docs).items():
+        own: dict = {}
+        for at, key, slots in set((a, k, tuple(s)) for a, k, s in template_windows(text, units)):
+            own.setdefault(key, []).append((at, slots))
+        for item, windows in known.items():
+            pairs = [(p, at - p, list(zip(a, b, strict=True))) for (p, key), a in windows.items() for at, b in own.get(key, ())]
+            if not pairs:
+                continue
+            values: dict = {}
+            for _, _, slots in pairs:
+                for a, b in slots:
+                    values.setdefault(a, set()).add(b)
+            copies = [pairs]
+            if any(len(v) > 1 for v in values.values()):
+                low = min(x[1] for x in pairs)
+                spread = max(x[1] for x in pairs) - low
+                copies = []
+                for scale in range(math.ceil(math.log2(spread + 1)) + 1):
+                    for half in (0, 1) if scale else (0,):
+                        ranges: dict = {}
+                        for x in pairs:
+                            ranges.setdefault(math.floor((x[1] - low + half * 2**scale / 2) / 2**scale), []).append(x)
+                        copies += ranges.values()
+            best = (0, False)
+            for copy in copies:
+                votes: dict = {}
+                for _, _, slots in copy:
+                    for a, b in slots:
+                        votes.setdefault(a, {})
+                        votes[a][b] = votes[a].get(b, 0) + 1
+                rule = {a: max(v, key=lambda b: (v[b], a == b, b)) for a, v in votes.items()}  # noqa: B023
+                fits = [(p, slots) for p, _, slots in copy if all(rule[a] == b for a, b in slots)]
+                if fits:
+                    best = max(best, (len({p for p, _ in fits}), all(a == b for _, slots in fits for a, b in slots)))
+            if best[0] and best[0] / len({p for p, _ in windows}) >= share:
+                out.add((doc, item, best[0], not best[1]))
+    return out
+
+
 def canonical(rows):
     return sorted(tuple("~" if x is None else str(round(x, 6)) if isinstance(x, float) else str(x) for x in r) for r in rows)

@@ -302,6 +302,54 @@ def test_decontaminate_judges_copies_apart(spark):
         assert collected(got, "doc_id", "reparameterised") == {(1, True), (2, False), (3, False), (4, True), (5, True), (6, True)}
 
 
+def awkward_questions():
+    rng = random.Random(21)
+    names, units = ["Ann", "Bob", "Éva", "Paris", "New", "Xu"], ["kg", "mph", "days", "Km", "apples"]
+    common = "if the a train leaves box from with how many does it take and then when what is left of".split()
+    item = lambda: " ".join(rng.choice([rng.choice(common), rng.choice(common), rng.choice(names), f"{rng.choice(['3', '12', '4.5', '1,000'])}{rng.choice([' ', ''])}{rng.choice(units)}", str(rng.randint(1, 9))]) for _ in range(rng.randint(3, 26)))
+    items = [(k, item()) for k in range(25)] + [(90, None), (91, ""), (92, "12 34"), (93, "word"), (None, "no id at all here to be found")]
+    docs = [(1000, None), (1001, ""), (1002, "12 34"), (1003, "Word")]
+    swap = lambda t: t.replace("12", rng.choice(["12", "77"])).replace("Ann", rng.choice(["Ann", "Zoe", "Bob"])).replace("Paris", rng.choice(["Rome", "Paris"])).replace("3", rng.choice(["3", "8"]))
+    for k in range(160):
+        parts = [item() if rng.random() < 0.4 else swap(rng.choice(items[:25])[1]) for _ in range(rng.randint(1, 5))]
+        text = rng.choice([" ", ". ", "\n", ", "]).join(parts)
+        docs.append((k, rng.choice([text, text, text.upper(), text.lower(), text.replace(" the", "")])))
+    return docs, items
+
+
+def test_decontamination_equals_the_plain_version(spark):
+    docs, items = awkward_questions()
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([*docs, docs[7], (None, items[0][1])], "doc_id long, text string").repartition(3)
+    for share in (0.8, 0.5):
+        want = brute.decontaminate(docs, items, decontaminate.UNITS, share)
+        got = collected(decontaminate.decontaminate(d, b, share=share), "doc_id", "item_id", "n_found", "reparameterised")
+        assert got == want and len(want) > 80 and len({x[3] for x in want}) == 2
+
+
+def test_language_features_and_decoding_equal_the_plain_version():
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "Ab", "Der Fluß, 12!", "日本 é", "x" * 700, None, "aé" * 900]
+    got = language_id.features(pa.array(texts), 256)
+    for text, row in zip(texts, got, strict=True):
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode()]
+        want = np.zeros(256)
+        for n in (1, 2, 3):
+            for i in range(len(b) - n + 1):
+                g = {1: b[i] + (1 << 24), 2: (b[i] << 8) + b[min(i + 1, len(b) - 1)] + (1 << 25), 3: (b[i] << 16) + (b[min(i + 1, len(b) - 1)] << 8) + b[min(i + 2, len(b) - 1)]}[n]
+                want[(g * spans.BYTE_BASE % (1 << 64)) >> 56] += 1
+        assert row == pytest.approx(np.sqrt(want / max(want.sum(), 1)), abs=1e-6)
+    code = language_id.codewords(4)
+    model = language_id.LanguageModel(list("abcd"), code, rng.standard_normal((256, 7)), rng.standard_normal(7), rng.uniform(0.5, 1.5, 7), 256)
+    best, score, lead = model.decode(got)
+    for k, row in enumerate(got):
+        margin = [sum(float(x) * float(w) for x, w in zip(row, model.weights[:, j], strict=True)) + model.bias[j] for j in range(7)]
+        cost = [sum(model.trust[j] * math.log(1 + math.exp(-code[c, j] * margin[j])) for j in range(7)) for c in range(4)]
+        share = [math.exp(min(cost) - c) for c in cost]
+        share = sorted((x / sum(share) for x in share), reverse=True)
+        assert best[k] == cost.index(min(cost)) and score[k] == pytest.approx(share[0]) and lead[k] == pytest.approx(share[0] - share[1])
+
+
 SECRETS = [
     (1, None), (2, ""), (3, "password=hunter22 and token: 'abc' secret=abcdef"), (4, "é😀 API_KEY = \"" + "Ab1" * 9 + "\" x"),
     (5, "AKIA" + "Q" * 16 + " AKIAQQ AKIAAKIA" + "Z9" * 10), (6, "deadbeef" * 3 + " " + "f" * 23 + " g" + "0a" * 15 + "G"),
