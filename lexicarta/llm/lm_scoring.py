@@ -40,7 +40,7 @@ MOST_COPIES = 1024
 
 @dataclass(frozen=True)
 class Shape:
-    """``side * side`` tokens, the first ``words`` of them frequent words; ``radius`` words each side."""
+    """``side * side`` tokens (below 2**15), the first ``words`` of them frequent words; ``radius`` words each side."""
 
     side: int = 32
     words: int = 768
@@ -81,39 +81,61 @@ def token_ids(hashes: np.ndarray, vocabulary: np.ndarray, shape: Shape) -> np.nd
     return np.where(vocabulary[at] == hashes, at, bucket)
 
 
+class Around:
+    """Tokens around positions; beyond a document stands the token after the last."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, shape: Shape):
+        # documents lie apart by as many such tokens as a window reaches
+        self.steps = [*range(-shape.radius, 0), *range(1, shape.radius + 1)]
+        self.place = np.arange(len(ids)) + shape.radius * np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
+        self.padded = np.full(len(ids) + shape.radius * len(bounds), shape.tokens, np.int32)
+        self.padded[self.place] = ids
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        place = self.place[at]
+        return np.stack([self.padded[place + step] for step in self.steps], 1)
+
+
 def contexts(ids: np.ndarray, bounds: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
-    """Tokens around each position; beyond the document stands the token after the last."""
-    row = np.searchsorted(bounds, at, "right") - 1
-    low, high = bounds[row], bounds[row + 1]
-    out = np.empty((len(at), 2 * shape.radius), np.int64)
-    for k, step in enumerate([*range(-shape.radius, 0), *range(1, shape.radius + 1)]):
-        j = at + step
-        inside = (j >= low) & (j < high)
-        out[:, k] = np.where(inside, ids[np.where(inside, j, 0)], shape.tokens)
-    return out
+    """Tokens around each position."""
+    return Around(ids, bounds, shape).of(at)
+
+
+def _hidden(embed: np.ndarray, place: np.ndarray, shift: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """What the network makes of both sides: embeddings weighed by place."""
+    total = (embed * place[0])[around[:, 0]]
+    for k in range(1, len(place)):
+        total += (embed * place[k])[around[:, k]]
+    total += shift
+    return np.tanh(total, out=total)
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = x - x.max(1, keepdims=True)
-    e = np.exp(x)
-    total = e.sum(1, keepdims=True)
-    return e / total, x - np.log(total)
+def _exponents(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Exponentials of logits up to a factor for each row; as they are where the weights bound them (hidden values lie within 1)."""
+    if (np.abs(weights).sum(0) + np.abs(bias)).max() > 60:
+        x -= x.max(1, keepdims=True)
+    return np.exp(x, out=x)
 
 
 def log_probabilities(flat: np.ndarray, around: np.ndarray, target: np.ndarray, shape: Shape) -> np.ndarray:
     """Conditional log-probability of each target."""
     embed, place, shift, top, top_bias, inner, inner_bias = shape.split(flat)
-    hidden = np.tanh((embed[around] * place).sum(1) + shift)
-    group, member = target // shape.side, target % shape.side
-    _, logs = _softmax(hidden @ top + top_bias)
-    out = logs[np.arange(len(target)), group].astype(np.float64)
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(shape.side + 1))
+    hidden = _hidden(embed, place, shift, around)
+    group, member = np.divmod(target, shape.side)
+    e = _exponents(hidden @ top + top_bias, top, top_bias)
+    chance = e[np.arange(len(target)), group] / e.sum(1)
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    hidden, member = hidden[order], member[order]
+    cuts = np.searchsorted(group[order], np.arange(shape.side + 1)).tolist()
+    within = np.empty(len(target), chance.dtype)
     for g in range(shape.side):
-        own = order[cuts[g] : cuts[g + 1]]
-        if len(own):
-            _, logs = _softmax(hidden[own] @ inner[g] + inner_bias[g])
-            out[own] += logs[np.arange(len(own)), member[own]]
+        a, b = cuts[g], cuts[g + 1]
+        if b > a:
+            e = _exponents(hidden[a:b] @ inner[g] + inner_bias[g], inner[g], inner_bias[g])
+            within[a:b] = e[np.arange(b - a), member[a:b]] / e.sum(1)
+    small = np.finfo(np.float32).tiny
+    out = np.log(np.maximum(chance, small).astype(np.float64))
+    out[order] += np.log(np.maximum(within, small).astype(np.float64))
     return out
 
 
@@ -122,30 +144,33 @@ def train_step(flat: np.ndarray, memory: np.ndarray, around: np.ndarray, target:
     embed, place, shift, top, top_bias, inner, inner_bias = shape.split(flat)
     slope = np.zeros_like(flat)
     g_embed, g_place, g_shift, g_top, g_top_bias, g_inner, g_inner_bias = shape.split(slope)
-    seen = embed[around]
-    hidden = np.tanh((seen * place).sum(1) + shift)
-    group, member = target // shape.side, target % shape.side
-    error, _ = _softmax(hidden @ top + top_bias)
+    group, member = np.divmod(target, shape.side)
+    order = np.argsort(group.astype(np.int16), kind="stable")  # a group's positions lie together
+    around, group, member = around[order], group[order], member[order]
+    hidden = _hidden(embed, place, shift, around)
+    error = _exponents(hidden @ top + top_bias, top, top_bias)
+    error /= error.sum(1, keepdims=True)
     error[np.arange(len(target)), group] -= 1
     g_top += hidden.T @ error
     g_top_bias += error.sum(0)
     back = error @ top.T
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(shape.side + 1))
+    cuts = np.searchsorted(group, np.arange(shape.side + 1)).tolist()
     for g in range(shape.side):
-        own = order[cuts[g] : cuts[g + 1]]
-        if len(own):
-            error, _ = _softmax(hidden[own] @ inner[g] + inner_bias[g])
-            error[np.arange(len(own)), member[own]] -= 1
-            g_inner[g] += hidden[own].T @ error
+        a, b = cuts[g], cuts[g + 1]
+        if b > a:
+            error = _exponents(hidden[a:b] @ inner[g] + inner_bias[g], inner[g], inner_bias[g])
+            error /= error.sum(1, keepdims=True)
+            error[np.arange(b - a), member[a:b]] -= 1
+            g_inner[g] += hidden[a:b].T @ error
             g_inner_bias[g] += error.sum(0)
-            back[own] += error @ inner[g].T
+            back[a:b] += error @ inner[g].T
     back *= 1 - hidden**2
     g_shift += back.sum(0)
-    g_place += (seen * back[:, None, :]).sum(0)
-    cell = np.arange(shape.width)
-    for k in range(2 * shape.radius):  # counted by single cells: much faster than adding rows
-        g_embed += np.bincount((around[:, k, None] * shape.width + cell).ravel(), (back * place[k]).ravel(), g_embed.size).reshape(g_embed.shape)
+    cell = np.arange(shape.width, dtype=np.int64)
+    for k in range(2 * shape.radius):  # sums for each token, counted by single cells: much faster than adding rows
+        sums = np.bincount((around[:, k, None] * shape.width + cell).ravel(), back.ravel(), g_embed.size).reshape(g_embed.shape)
+        g_embed += sums * place[k]
+        g_place[k] += (sums * embed).sum(0)
     slope /= len(target)
     memory += slope**2
     flat -= rate * slope / np.sqrt(memory + 1e-8)
@@ -250,10 +275,10 @@ def tokens(docs: DataFrame, words: np.ndarray, shape: Shape) -> DataFrame:
                 some = np.flatnonzero(np.diff(w.bounds))
                 if len(some):
                     keys = S.Rolling(w.hash).some(w.bounds[some], w.bounds[some + 1])
-                    ids = pa.ListArray.from_arrays(pa.array(np.append(w.bounds[some], len(w.hash)), pa.int32()), pa.array(token_ids(w.hash, words, shape), pa.int32()))
+                    ids = pa.ListArray.from_arrays(pa.array(np.append(w.bounds[some], len(w.hash)), pa.int32()), pa.array(token_ids(w.hash, words, shape).astype(np.int16)))
                     yield pa.record_batch([pa.array(keys.view(np.int64)), ids], ["key", "ids"])
 
-    return docs.select("text").where("text is not null").mapInArrow(read, "key long, ids array<int>")
+    return docs.select("text").where("text is not null").mapInArrow(read, "key long, ids array<short>")
 
 
 def _copies(coded: DataFrame) -> DataFrame:
@@ -279,7 +304,7 @@ def _pieces(batches, size: int):
 
     for b in batches:
         shards, keys, copies, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
-        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        flat, ends = lists.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         for k in range(b.num_rows):
             if held and (shards[k] != shard or n >= size):
                 yield done()
@@ -325,9 +350,10 @@ def train(docs: DataFrame, shape: Shape = Shape(), every: int = 2, rounds: int =
                     now, own, memory, done = shard, common.copy(), np.full_like(common, 1e-3), 0
                 at = masked(S.Words(bounds[:-1], bounds[1:], marks, bounds), every, turn)
                 at = at[np.argsort(S.mix(at.astype(np.uint64)))]
+                around = Around(ids, bounds, shape)
                 for k in range(0, len(at), batch):
                     part = at[k : k + batch]
-                    train_step(own, memory, contexts(ids, bounds, part, shape), ids[part], shape, rate)
+                    train_step(own, memory, around.of(part), ids[part], shape, rate)
                 done += len(at)
             if done:
                 yield told()
@@ -357,10 +383,10 @@ def score(docs: DataFrame, words: np.ndarray, flat: np.ndarray, shape: Shape = S
             for low, high, data, offsets in S.chunks(b.column(1)):
                 w = S.words(data, offsets, lower=True)
                 ids = token_ids(w.hash, words, shape)
-                logs = np.zeros(len(ids) + 1)
+                logs, around = np.zeros(len(ids) + 1), Around(ids, w.bounds, shape)
                 for k in range(0, len(ids), batch):
-                    at = np.arange(k, min(k + batch, len(ids)))
-                    logs[at] = log_probabilities(flat, contexts(ids, w.bounds, at, shape), ids[at], shape)
+                    at = slice(k, min(k + batch, len(ids)))
+                    logs[at] = log_probabilities(flat, around.of(at), ids[at], shape)
                 if rest is not None:
                     shared = np.flatnonzero(ids >= shape.words)
                     logs[shared] -= rest[ids[shared] - shape.words]

@@ -4,7 +4,9 @@ import re
 
 import brute
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -47,3 +49,26 @@ def test_stages(spark):
 def test_run(spark):
     out = P.run(spark, SMALL)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered", "ids"] and 100 < out.count() < 200
+
+
+def awkward(spark):
+    words = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, words, "en", "s", 1), (1, words, "en", "s", 1), (2, words, "en", "t", 2), (3, None, "en", "s", 3), (4, "", None, None, None), (None, words, "en", "s", 4), (None, None, None, None, None), (5, "token=abcdefgh12345 " + "other words here " * 9, "en", "s", 5), (6, "12 34", "en", "s", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumn("a.b", F.lit(1)).withColumn("row", F.lit("clash")).withColumn("component_id", F.lit("clash")).withColumn("gone", F.lit(None).cast("string"))
+
+
+@pytest.mark.parametrize("name,stage", P.STAGES)
+def test_stages_on_awkward_tables(spark, name, stage):
+    docs = awkward(spark)
+    out, none = stage(spark, docs, SMALL), stage(spark, docs.limit(0), SMALL)
+    assert none.count() == 0
+    ids = sorted((r["doc_id"] for r in out.collect()), key=str)
+    if name == "encoding":
+        assert ids == sorted((r["doc_id"] for r in docs.collect()), key=str)
+        return
+    assert out.columns == docs.columns == none.columns and out.dtypes == docs.dtypes
+    assert ids == {"language": [1, 1, 2, 5, None, None], "near_duplicates": [1, 1, 3, 4, 5, 6, None, None], "benchmark": [1, 1, 2, 3, 4, 5, 6, None, None], "secrets": [1, 1, 2, 3, 4, 5, 6, None, None]}[name]
+    if name == "secrets":
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert got[3]["text"] is None and got[5]["text"].startswith("<SECRET> other") and got[5]["n_chars"] == len(got[5]["text"]) and got[2]["n_chars"] == 2 and got[2]["row"] == "clash"
