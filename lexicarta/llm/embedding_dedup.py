@@ -34,6 +34,8 @@ from .scratch import Scratch, bounded
 END, MOST_LEVEL = 32, 10
 #: Values of one block of projections in memory.
 SHADOW = 1 << 20
+#: Vectors of a unit up to which many units are solved at once.
+SMALL = 256
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def collision_chance(cosine: float, bound: float, half: float) -> float:
 
 
 def calibrate(cosine: float, recall: float, level: int, least: int = 2, z: float = 2.5) -> Plan:
-    """The fewest ends of share ``2**-level`` with which pairs at the threshold collide ``least`` times at the recall."""
+    """``least`` is two or more.  The fewest ends of share ``2**-level`` with which pairs at the threshold collide ``least`` times at the recall."""
     low, high = 0.0, 8.0
     for _ in range(60):
         middle = (low + high) / 2
@@ -179,26 +181,78 @@ def _cuts(marks: np.ndarray) -> list[int]:
 
 
 def _solved(table: pa.RecordBatch, cuts: list[int], plan: Plan, cosine: float):
-    """Links of all units of a batch, one row for each vector with any."""
+    """Links of all units of a batch, one row for each vector with any: small units all at once, large ones one by one."""
+    if len(cuts) < 2:
+        return
     out = []
-    if len(cuts) > 1:
-        side, end, rep, copies = (table.column(k).to_numpy() for k in (1, 2, 3, 4))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b - a > 1:
-                ends, places = table.column(5).slice(a, b - a), table.column(6).slice(a, b - a)
-                member = np.repeat(np.arange(b - a), ends.value_lengths().to_numpy())
-                i, j = collided(member, ends.flatten().to_numpy(), places.flatten().to_numpy(), int(end[a]), side[a:b], plan)
-                if len(i):
-                    got = _links(rep[a:b], copies[a:b], table.column(7).slice(a, b - a), i, j, cosine)
-                    if got is not None:
-                        out.append(got)
+    side, end, rep, copies = (table.column(k).to_numpy() for k in (1, 2, 3, 4))
+    size, cuts = np.diff(cuts), np.array(cuts)
+    small = np.flatnonzero((size > 1) & (size <= SMALL))
+    if len(small):
+        rows = _ranges(cuts[small], size[small])
+        unit = np.repeat(np.arange(len(small)), size[small])
+        member, ends, places = _places(table.take(pa.array(rows)))
+        i, j = first_met(unit, end[rows], side[rows], member, ends, places, plan)
+        out.append(_links(rep[rows], copies[rows], table.column(7).take(pa.array(rows)), i, j, cosine))
+    for a, b in zip(cuts[:-1][size > SMALL].tolist(), cuts[1:][size > SMALL].tolist(), strict=True):
+        member, ends, places = _places(table.slice(a, b - a))
+        i, j = collided(member, ends, places, int(end[a]), side[a:b], plan)
+        out.append(_links(rep[a:b], copies[a:b], table.column(7).slice(a, b - a), i, j, cosine))
+    out = [x for x in out if x is not None]
     if out:
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         yield pa.record_batch([pa.array(c) for c in columns], ["rep", "links", "low"])
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one after the other."""
+    return np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _places(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, end, value) of every place of the rows."""
+    ends, places = rows.column(5), rows.column(6)
+    return np.repeat(np.arange(rows.num_rows), ends.value_lengths().to_numpy()), ends.flatten().to_numpy(), places.flatten().to_numpy()
+
+
+def first_met(unit: np.ndarray, end: np.ndarray, side: np.ndarray, member: np.ndarray, ends: np.ndarray, places: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """As ``collided`` for many units at once; ``unit, end, side`` are of the rows, the others of their places.
+
+    All rows of a unit lie at its end, so only collisions at other ends need counting:
+    a pair must have enough, none at an earlier end, and lie within the window here.
+    """
+    n, here = len(unit), np.zeros(len(unit), np.float32)
+    own = ends == end[member]
+    here[member[own]] = places[own]
+    member, ends, places = member[~own], ends[~own].astype(np.int64), places[~own]
+    key = unit[member] * (plan.ends + 1) + ends
+    order = np.lexsort((places, key))
+    member, ends, places, key = member[order], ends[order], places[order], key[order]
+    cells, firsts = [], []
+    for gap in range(1, len(key)):
+        same = np.flatnonzero(key[gap:] == key[:-gap])
+        if not len(same):
+            break
+        same = same[places[same + gap] - places[same] <= plan.half]
+        i, j = member[same], member[same + gap]
+        cells.append(np.minimum(i, j) * n + np.maximum(i, j))
+        firsts.append(ends[same])
+    if not cells:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cell, first = np.concatenate(cells), np.concatenate(firsts)
+    if not len(cell):
+        return cell, cell
+    order = np.argsort(cell, kind="stable")
+    cell, first = cell[order], first[order]
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    met, first = np.diff(np.append(starts, len(cell))) + 1, np.minimum.reduceat(first, starts)
+    i, j = np.divmod(cell[starts], n)
+    fine = (met >= plan.least) & (first > end[i]) & (np.abs(here[i] - here[j]) <= plan.half) & ((side[i] == 0) | (side[i] != side[j]))
+    return i[fine], j[fine]
+
+
 def collided(member: np.ndarray, ends: np.ndarray, places: np.ndarray, end: int, side: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members with ``plan.least`` collisions or more, of which this end's is the first.
+    """Pairs of members with ``plan.least`` (two or more) collisions, of which this end's is the first.
 
     All places of all members are sorted by end and value; each pair of places of one
     end within the window is one collision.
@@ -228,6 +282,16 @@ def collided(member: np.ndarray, ends: np.ndarray, places: np.ndarray, end: int,
 
 def _links(rep: np.ndarray, copies: np.ndarray, vectors: pa.Array, i: np.ndarray, j: np.ndarray, cosine: float) -> tuple[np.ndarray, ...] | None:
     """(id, links, smallest id reached) of the members whose exact cosine with another passes."""
+    if not len(i):
+        return None
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    rep, copies, i, j = rep[used], copies[used], at[: len(i)], at[len(i) :]
+    vectors = vectors.take(pa.array(used))
+    if len(set(vectors.value_lengths().to_pylist())) > 1:  # units of different lengths: each on its own
+        length = vectors.value_lengths().to_numpy()
+        parts = [_links(rep, copies, vectors, i[length[i] == n], j[length[i] == n], cosine) for n in np.unique(length)]
+        parts = [p for p in parts if p is not None]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else None
     x = matrix(vectors)
     norm = np.sqrt((x**2).sum(1))
     exact = np.empty(len(i))
