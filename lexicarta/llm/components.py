@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Edges of a file: small tables are not scattered over many tasks and files.
+FILE_EDGES = 200_000
+
 
 def components(edges: DataFrame, scratch: Scratch, label: str = "cc", most_rounds: int = 60) -> DataFrame:
     """Edges ``(a, b)`` of longs in either direction; returns ``(node, component)`` with the smallest node.
@@ -20,18 +23,20 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc", most_round
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     current = scratch.write(links, f"{label}-0")
+    # no round has more edges than the first
+    files = max(1, -(-current.count() // FILE_EDGES))
     seen = None
     for step in range(1, most_rounds + 1):
         both = current.union(current.select("b", "a"))
         # large-star: every larger neighbour of u points to the smallest of u's neighbourhood
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.write(large, f"{label}-{step}l")
+        large = scratch.write(large.coalesce(files), f"{label}-{step}l")
         # small-star: u and its smaller neighbours point to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e"))
         small = small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        after = scratch.write(small, f"{label}-{step}")
+        after = scratch.write(small.coalesce(files), f"{label}-{step}")
         scratch.drop(f"{label}-{step}l")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         scratch.drop(f"{label}-{step - 1}")

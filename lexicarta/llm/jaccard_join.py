@@ -174,8 +174,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
     live = known.join(alive, "doc_id", "left_semi").join(copies, "doc_id", "left")
     live = live.select("token", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "hot").distinct()
     live = scratch.write(live, "live")
+    scratch.drop("known")
     frequency = live.groupBy("token").agg(F.count("*").alias("df"), F.max("hot").alias("hot")).where("df > 1")
     live = scratch.write(live.drop("hot").join(frequency, "token"), "classed")
+    scratch.drop("live")
     single = live.where(F.col("df") <= rare).select("token", "doc_id", "n")
     pairs = single.alias("x").join(single.alias("y"), "token").where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     fit = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
@@ -204,6 +206,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
     tried = scratch.write(pairs.unionByName(stars).distinct(), "tried")
 
     held = scratch.write(live.select("doc_id").distinct(), "held")
+    scratch.drop("classed")
     if held.count() <= MOST_IDS:  # 8 MB of ids: the texts need no shuffle
         held = F.broadcast(held)
 
@@ -236,6 +239,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
     split = wide.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     wide = wide.join(split, "sig", "left_semi").where("doc_id <> hub").select("hub", "doc_id", "n", "component").distinct()
     wide = scratch.write(wide, "wide")
+    scratch.drop("combos")
+    scratch.drop("hubs")
     # shingles that no other such document has bound what a pair can share
     lone = whole.join(wide.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("own").alias("token"))
     lone = lone.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
@@ -250,6 +255,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
     cross = cross.join(tried, ["a", "b"], "left_anti")
     more = scratch.write(verified(cross), "more")
     final = components(links.unionByName(more), scratch, "cc2")
+    for name in ("tried", "held", "sets", "sure", "joined", "links", "parts", "wide", "families", "more"):
+        scratch.drop(name)
     whole_map = meta.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return whole_map.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
