@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import bpe_encode
 from .decontaminate import decontaminate
 from .embedding_dedup import embedding_dedup
+from .filter_audit import filter_audit, quality_filters
 from .jaccard_join import jaccard_join
 from .language_id import predict, train
+from .periodic_runs import longest, periodic_runs, with_planted_period
 from .pieces import encode_pieces
 from . import lm_scoring, secret_scan
 from .substring_dedup import substring_dedup
@@ -73,6 +76,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, output="digests")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return filter_audit(docs, quality_filters(docs), twin="E", labels=table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_period(table(spark, sf_dir, "documents")), least=12)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    top = found.withColumns({"top": longest(F.col("runs")), "n_runs": F.size("runs").cast("long")})
+    thousandths = F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period")).cast("long")
+    return top.select("doc_id", "n_runs", "top.start", "top.length", "top.period", thousandths.alias("exponent_milli"), digest(lines).alias("runs_sha256"), digest(F.col("kept_text")).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -84,6 +105,9 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_lm_scoring": op10_lm_scoring,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -132,5 +156,36 @@ WITH RECURSIVE v AS (
 ), deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN comp c ON c.n = v.vec_id LEFT JOIN deg d ON d.a = v.vec_id
+""",
+    "op12_filter_audit": r"""
+WITH l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l USING (doc_id)
+), m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, mask
+), letter(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT concat(a.c, b.c, c.c, d.c, e.c) AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+  SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)
+), r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+    CAST(coalesce(sum(n) FILTER (mask & (own | before) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(g) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(x) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM m, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
 """,
 }

@@ -191,3 +191,11 @@ def spans(items: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> Spans
     ends[:-1] &= new[1:] | ~valid[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(ends)
     return Spans(np.searchsorted(bounds, first, "right") - 1, first, last, best[first], rolling.some(first, last + width))
+
+
+def cover_ranges(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Mask of the ``n`` items that any of the ranges ``[start, end)`` covers."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, start, 1)
+    np.add.at(step, end, -1)
+    return np.cumsum(step)[:n] > 0
