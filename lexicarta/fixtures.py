@@ -44,6 +44,11 @@ def language_map(glossary: DataFrame) -> DataFrame:
     return codes.select(*RELEASE, name.alias("language_name"), F.col("language").alias("code"))
 
 
+def releases(spark: SparkSession) -> DataFrame:
+    """The releases that these views deal rows to."""
+    return spark.createDataFrame([(p, v) for p, versions in VERSIONS.items() for v in versions], "platform string, version int")
+
+
 def glossary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` with ``part``: large, with ties and without a unique id."""
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
@@ -93,6 +98,19 @@ def column_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prefix_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix requests of several lengths: each item asks for one of the five columns."""
+    b, i = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    first = lambda c, n: F.substring(c, F.lit(1), (n + 1).cast("int"))
+    return b.select(
+        i.alias("request_id"), _pick(i % 2, ("ios", "macos")).alias("platform"), F.lit(26).alias("version"),
+        _pick(i % 5, ("key", "localization", "language", "file", "bundle")).alias("column_alias"), F.lit("startsWith").alias("operator"),
+        F.when(i % 5 == 0, first(F.concat(F.lit("a_b."), (i % 7).cast("string")), i % 4)).when(i % 5 == 1, first(F.col("text"), i % 6)).when(i % 5 == 2, first(F.lit("en_XX"), i % 5))
+        .when(i % 5 == 3, F.concat(F.lit("file"), (i % 11).cast("string"))).otherwise(F.lit("bundle")).alias("q"),
+        F.array().cast("array<string>").alias("languages"),
+    )
+
+
 #: The same views in the oracle's dialect.
 SQL_DOCS = r"""
 g AS (

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised, trimmed
-from ..schema import COLUMNS, DEFAULT_SIZE, MOST_SIZE, OPERATORS, RELEASE, total_order
-from . import postings
+from ..schema import COLUMNS, DEFAULT_SIZE, MOST_PAGE, MOST_SIZE, OPERATORS, RELEASE, total_order
+from . import matcher, postings
 
 #: Groups whose rows are numbered together: what one task numbers does not follow the request.
 RANGE = 4096
@@ -18,18 +18,23 @@ def clean(requests: DataFrame, *columns: str) -> DataFrame:
     return requests.withColumns({c: trimmed(c) for c in columns})
 
 
-def _number(column: str, default: int) -> Column:
-    return F.coalesce(F.expr(f"try_cast(trim({column}) as int)"), F.lit(default))
+def _number(column: str, default: int, most: int) -> Column:
+    """The rule of ``search.clamp`` for a column of text."""
+    digits = F.regexp_extract(F.col(column), r"^[\s\p{Z}]*([+-]?[0-9]+)", 1)
+    small = F.length(digits) <= 18
+    value = F.when(small, digits.try_cast("bigint")).when(F.startswith(digits, F.lit("-")), F.lit(1)).otherwise(F.lit(most))
+    return F.coalesce(F.when(digits != "", F.greatest(F.lit(1), F.least(F.lit(most), value))), F.lit(default)).cast("bigint")
 
 
 def paging(requests: DataFrame) -> DataFrame:
-    """From the strings ``page`` and ``size``: ``page_number`` (1 or more), ``page_size`` (1 to 200), ``row_offset``."""
-    return requests.withColumn("page_number", F.greatest(F.lit(1), _number("page", 1))).withColumn("page_size", F.least(F.lit(MOST_SIZE), F.greatest(F.lit(1), _number("size", DEFAULT_SIZE)))).withColumn("row_offset", (F.col("page_number").cast("long") - 1) * F.col("page_size"))
+    """From the strings ``page`` and ``size``: ``page_number`` (1 or more), ``page_size`` (1 to 200), ``row_offset``; all longs."""
+    paged = requests.withColumns({"page_number": _number("page", 1, MOST_PAGE), "page_size": _number("size", DEFAULT_SIZE, MOST_SIZE)})
+    return paged.withColumn("row_offset", (F.col("page_number") - 1) * F.col("page_size"))
 
 
 def with_pages(paged: DataFrame) -> DataFrame:
     """Add ``last_page`` and ``loaded`` to rows that have a ``total``."""
-    return paged.withColumn("last_page", F.ceil(F.col("total") / F.col("page_size")).cast("long")).withColumn("loaded", F.least(F.col("page_number").cast("long") * F.col("page_size"), F.col("total")))
+    return paged.withColumn("last_page", F.ceil(F.col("total") / F.col("page_size")).cast("long")).withColumn("loaded", F.least(F.col("page_number") * F.col("page_size"), F.col("total")))
 
 
 def search_status(term: str = "q", bundle: str = "bundle") -> Column:
@@ -62,51 +67,79 @@ def resolve_versions(requests: DataFrame, releases: DataFrame) -> DataFrame:
     return with_release_status(requests, releases).where("release_status = 'ok'").drop("release_status")
 
 
+def _with_selection(requests: DataFrame) -> DataFrame:
+    """Add ``chosen``: the languages a request names as a text, the same for equal lists; ``[]`` for none."""
+    names = F.sort_array(F.array_distinct(F.coalesce("languages", F.array().cast("array<string>"))))
+    return requests.withColumn("chosen", F.to_json(names))
+
+
 def _selected(requests: DataFrame, language_map: DataFrame) -> DataFrame:
-    """``request_id, language``: mapped codes of the languages a request names, or of all when it names none."""
-    asked = requests.select("request_id", *RELEASE, F.coalesce("languages", F.array().cast("array<string>")).alias("languages"))
-    mapped = asked.join(language_map, [*RELEASE])
-    return mapped.where((F.size("languages") == 0) | F.array_contains("languages", F.col("language_name"))).select("request_id", F.col("code").alias("language")).distinct()
+    """``platform, version, chosen, language``: codes of each list of languages that occurs, and for no list all mapped codes.
+
+    Requests with equal lists share one selection; names join the map by name.
+    """
+    lists = requests.where("chosen <> '[]'").select(*RELEASE, "chosen", "languages").dropDuplicates([*RELEASE, "chosen"])
+    named = lists.select(*RELEASE, "chosen", F.explode("languages").alias("language_name")).join(language_map, [*RELEASE, "language_name"])
+    every = language_map.select(*RELEASE, F.lit("[]").alias("chosen"), F.col("code").alias("language"))
+    return named.select(*RELEASE, "chosen", F.col("code").alias("language")).unionByName(every).distinct()
 
 
 def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Group-expanding search of every request ``(request_id, platform, version, q, bundle, languages)``.
 
-    Requests for a bundle only join by release and bundle.  Terms join by release, with
-    the term as condition; with a trigram ``index`` (``postings.build``) of the glossary
-    they join by their rarest trigram instead, however many there are, and find rows
-    that have an id.  Returns ``request_id`` and the glossary's columns.
+    All terms together go over each text once (``matcher.find_terms``), so the work for a
+    row does not grow with the requests; what was found joins them by release and term.
+    Terms too many for that, or with a stored trigram ``index`` (``postings.build``) any,
+    join by their rarest trigram instead and find rows that have an id.  Requests for a
+    bundle alone join by release and bundle.  Returns ``request_id`` and the glossary's
+    columns.
     """
-    asked = requests.where(search_status() == "ok").select("request_id", *RELEASE, normalised("q").alias("q"), "bundle")
-    codes = _selected(requests, language_map)
+    key = [*RELEASE, "chosen", "language"]
+    asked = _with_selection(requests.where(search_status() == "ok").select("request_id", *RELEASE, normalised("q").alias("q"), "bundle", "languages"))
+    codes = _selected(asked, language_map)
+    asked = asked.drop("languages")
     no_term = F.coalesce("q", F.lit("")) == ""
     terms = asked.where(~no_term)
-    if index is None:
-        found = glossary.join(terms, [*RELEASE]).where(F.contains("target_norm", "q"))
+    if index is None and matcher.fits(terms):
+        near = matcher.find_terms(glossary, terms, ["group_id", "language", "bundle_name"]).distinct()
+        found = near.join(terms, [*RELEASE, "q"])
     else:
-        found = glossary.join(postings.batch_lookup(index, glossary, terms), [*RELEASE, "id"]).join(terms.select("request_id", "q", "bundle"), "request_id")
-    found = found.where((F.coalesce("bundle", F.lit("")) == "") | (F.col("bundle_name") == F.col("bundle"))).drop("q", "bundle")
-    bundles = asked.where(no_term).select("request_id", *RELEASE, F.col("bundle").alias("bundle_name"))
-    near = found.unionByName(glossary.join(bundles, [*RELEASE, "bundle_name"]))
-    groups = near.join(codes, ["request_id", "language"], "left_semi").select("request_id", *RELEASE, "group_id").distinct()
-    return glossary.join(groups, [*RELEASE, "group_id"]).join(codes, ["request_id", "language"], "left_semi")
+        grams = postings.build(glossary) if index is None else index
+        places = glossary.select(*RELEASE, "id", "group_id", "language", "bundle_name").distinct()
+        found = places.join(postings.batch_lookup(grams, glossary, terms), [*RELEASE, "id"]).join(terms.drop(*RELEASE), "request_id")
+    found = found.where((F.coalesce("bundle", F.lit("")) == "") | (F.col("bundle_name") == F.col("bundle")))
+    bundles = asked.where(no_term).drop("q").withColumnRenamed("bundle", "bundle_name")
+    columns = ["request_id", *RELEASE, "chosen", "group_id", "language"]
+    near = found.select(*columns).unionByName(glossary.join(bundles, [*RELEASE, "bundle_name"]).select(*columns))
+    groups = near.join(codes, key, "left_semi").drop("language").distinct()
+    return glossary.join(groups, [*RELEASE, "group_id"]).join(codes, key, "left_semi").drop("chosen")
 
 
 def search_columns(glossary: DataFrame, language_map: DataFrame, requests: DataFrame) -> DataFrame:
     """Column search of every valid request ``(request_id, platform, version, column_alias, operator, q, languages)``.
 
-    Equal comparisons join by release and the column itself, one join for each column;
-    the other two compare within the release, in one pass.
+    Equal comparisons join by release and the column itself.  For prefixes each value is
+    joined by its own prefixes, of just those lengths that occur among the requests for the
+    column, so nothing is compared beyond the matches.  Requests for unequal values return
+    nearly their whole release, which is what they meet.
     """
-    asked = requests.where(column_status() == "ok").select("request_id", *RELEASE, "column_alias", "operator", "q")
-    codes = _selected(requests, language_map)
+    asked = _with_selection(requests.where(column_status() == "ok").select("request_id", *RELEASE, "column_alias", "operator", "q", "languages"))
+    codes = _selected(asked, language_map)
+    asked = asked.drop("languages")
     value = F.coalesce(*(F.when(F.col("column_alias") == a, F.col(c)) for a, c in COLUMNS.items()))
-    found = glossary.join(asked.where("operator <> 'equal'"), [*RELEASE])
-    found = found.where(F.when(F.col("operator") == "startsWith", F.startswith(value, F.col("q"))).otherwise(value != F.col("q"))).drop("column_alias", "operator", "q")
+    found = glossary.join(asked.where("operator = 'notEqual'"), [*RELEASE]).where(value != F.col("q")).drop("column_alias", "operator", "q")
+    lengths: dict[str, list[int]] = {}
+    for alias, n in asked.where("operator = 'startsWith'").select("column_alias", F.length("q")).distinct().collect():
+        lengths.setdefault(alias, []).append(n)
     for a, c in COLUMNS.items():
-        equal = asked.where((F.col("operator") == "equal") & (F.col("column_alias") == a)).select("request_id", *RELEASE, F.col("q").alias(c))
-        found = found.unionByName(glossary.join(equal, [*RELEASE, c]))
-    return found.join(codes, ["request_id", "language"], "left_semi")
+        own = lambda operator, name, a=a: asked.where((F.col("operator") == operator) & (F.col("column_alias") == a)).select("request_id", *RELEASE, "chosen", F.col("q").alias(name))
+        found = found.unionByName(glossary.join(own("equal", c), [*RELEASE, c]))
+        if a in lengths:
+            sizes = F.explode(F.array(*map(F.lit, sorted(lengths[a]))))
+            prefixes = glossary.withColumn("prefix_length", sizes).where(F.col("prefix_length") <= F.length(c))
+            prefixes = prefixes.withColumn("prefix", F.substring(F.col(c), F.lit(1), F.col("prefix_length")))
+            found = found.unionByName(prefixes.join(own("startsWith", "prefix"), [*RELEASE, "prefix"]).drop("prefix", "prefix_length"))
+    return found.join(codes, [*RELEASE, "chosen", "language"], "left_semi").drop("chosen")
 
 
 def numbered(rows: DataFrame) -> DataFrame:

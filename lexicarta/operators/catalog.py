@@ -44,14 +44,15 @@ def group_headers(glossary: DataFrame) -> DataFrame:
     return glossary.groupBy(*RELEASE, "group_id").agg(first.alias("header"), F.count("*").alias("items"))
 
 
-def random_bundle(glossary: DataFrame, seed: int) -> DataFrame:
-    """One bundle per release, drawn by a seeded hash so that it can be repeated."""
-    bundles = glossary.where("bundle_name is not null").select(*RELEASE, "bundle_name").distinct()
-    return bundles.groupBy(*RELEASE).agg(F.min_by("bundle_name", F.struct(F.md5(F.concat("bundle_name", F.lit(f":{seed}"))), "bundle_name")).alias("bundle_name"))
+def random_bundle(bundles: DataFrame, seed: int) -> DataFrame:
+    """One bundle per release, drawn by a seeded hash so that it can be repeated; from a glossary or its catalogue of bundles."""
+    names = bundles.where("bundle_name is not null").select(*RELEASE, "bundle_name").distinct()
+    return names.groupBy(*RELEASE).agg(F.min_by("bundle_name", F.struct(F.md5(F.concat("bundle_name", F.lit(f":{seed}"))), "bundle_name")).alias("bundle_name"))
 
 
-def browse_random_bundle(glossary: DataFrame, seed: int) -> DataFrame:
-    """All rows of the groups that touch the drawn bundle."""
+def browse_random_bundle(glossary: DataFrame, seed: int, bundles: DataFrame | None = None) -> DataFrame:
+    """All rows of the groups that touch the drawn bundle, which comes from the catalogue ``bundles`` if there is one."""
     key = [*RELEASE, "group_id"]
-    matched = glossary.join(random_bundle(glossary, seed), [*RELEASE, "bundle_name"], "left_semi").select(*key).distinct()
+    drawn = random_bundle(glossary if bundles is None else bundles, seed)
+    matched = glossary.join(drawn, [*RELEASE, "bundle_name"], "left_semi").select(*key).distinct()
     return glossary.join(matched, key, "left_semi")

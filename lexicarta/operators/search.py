@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,16 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_term, contains_word
-from ..schema import COLUMNS, DEFAULT_SIZE, MOST_SIZE, OPERATORS, RESULT_COLUMNS, of_release, total_order
+from ..schema import COLUMNS, DEFAULT_SIZE, MOST_PAGE, MOST_SIZE, OPERATORS, RELEASE, RESULT_COLUMNS, of_release, total_order
 
 
-def clamp(value: object, default: int, most: int | None = None) -> int:
-    """A positive integer from a request field; empty or non-numeric text means the default."""
-    try:
-        number = int(str(value).strip())
-    except ValueError:
-        return default
-    return max(1, number if most is None else min(most, number))
+_NUMBER = re.compile(r"\s*([+-]?[0-9]+)")
+
+
+def clamp(value: object, default: int, most: int = MOST_PAGE) -> int:
+    """A number from 1 to ``most`` from a request field: the decimal digits it begins with, after blanks and a sign.
+
+    What follows the digits is ignored; a field without them means the default.  ``batch.paging``
+    reads columns by the same rule.
+    """
+    found = _NUMBER.match(str(value))
+    return max(1, min(most, int(found[1]))) if found else default
 
 
 @dataclass(frozen=True)
@@ -59,6 +64,19 @@ def of_bundle(rows: DataFrame, bundle: str | None) -> DataFrame:
     return rows.where(F.col("bundle_name") == bundle) if bundle else rows
 
 
+def require_release(rows: DataFrame, releases: DataFrame, platform: str, version: int) -> DataFrame:
+    """``rows``, whose plan also looks the release up among ``releases`` and fails with the known ones if it is not there.
+
+    The look-up is a branch of its own that adds no row, for a filter would go with rows
+    that turn out to be empty.  It reads ``releases`` (a manifest's, say) and nothing else.
+    """
+    names = F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", *RELEASE))), ", ")
+    known = F.coalesce(F.max(of_release(platform, version)), F.lit(False))
+    failure = F.raise_error(F.concat(F.lit(f"no release {platform} {version}; known: "), names))
+    checked = releases.select(*RELEASE).agg(F.when(known, F.lit(True)).otherwise(failure).alias("known")).where("not known")
+    return rows.unionByName(checked.select(*(F.lit(None).cast(c.dataType).alias(c.name) for c in rows.schema)))
+
+
 def language_codes(language_map: DataFrame, platform: str, version: int, names: Sequence[str] | None) -> DataFrame:
     """Codes mapped for the release: of the names given, or of all languages when none is.
 
@@ -85,14 +103,17 @@ def matched_groups(rows: DataFrame, term: str | None, bundle: str | None, mode:
     return rows.select("group_id").distinct()
 
 
-def search(glossary: DataFrame, language_map: DataFrame, platform: str, version: int, term: str | None = None, bundle: str | None = None, languages: Sequence[str] | None = None, page: object = 1, size: object = DEFAULT_SIZE, mode: str = "contains") -> SearchResult:
+def search(glossary: DataFrame, language_map: DataFrame, platform: str, version: int, term: str | None = None, bundle: str | None = None, languages: Sequence[str] | None = None, page: object = 1, size: object = DEFAULT_SIZE, mode: str = "contains", releases: DataFrame | None = None) -> SearchResult:
     """All rows, in the languages selected, of every group with a matching row.
 
-    The term and the bundle choose groups; the rows returned need not match either.
+    The term and the bundle choose groups; the rows returned need not match either.  The
+    result raises for a release that is not among ``releases``, by default those with a
+    language map.
     """
     rows = in_languages(glossary, language_map, platform, version, languages)
     matched = matched_groups(rows, term, bundle, mode)
-    return SearchResult(rows.join(matched, "group_id", "left_semi"), clamp(page, 1), clamp(size, DEFAULT_SIZE, MOST_SIZE))
+    found = require_release(rows.join(matched, "group_id", "left_semi"), language_map if releases is None else releases, platform, version)
+    return SearchResult(found, clamp(page, 1), clamp(size, DEFAULT_SIZE, MOST_SIZE))
 
 
 def predicate(alias: str, operator: str, value: str) -> Column:
@@ -111,8 +132,9 @@ def predicate(alias: str, operator: str, value: str) -> Column:
     return F.startswith(column, F.lit(value))
 
 
-def search_column(glossary: DataFrame, language_map: DataFrame, platform: str, version: int, alias: str, operator: str, value: str, languages: Sequence[str] | None = None, page: object = 1, size: object = DEFAULT_SIZE) -> SearchResult:
-    """Rows whose column meets the predicate; groups are not expanded."""
+def search_column(glossary: DataFrame, language_map: DataFrame, platform: str, version: int, alias: str, operator: str, value: str, languages: Sequence[str] | None = None, page: object = 1, size: object = DEFAULT_SIZE, releases: DataFrame | None = None) -> SearchResult:
+    """Rows whose column meets the predicate; groups are not expanded. Unknown releases raise as in ``search``."""
     wanted = predicate(alias, operator, value)
     rows = in_languages(glossary, language_map, platform, version, languages).where(wanted)
-    return SearchResult(rows, clamp(page, 1), clamp(size, DEFAULT_SIZE, MOST_SIZE))
+    found = require_release(rows, language_map if releases is None else releases, platform, version)
+    return SearchResult(found, clamp(page, 1), clamp(size, DEFAULT_SIZE, MOST_SIZE))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import locales
-from .operators import batch, catalog, postings, search
+from .functions.text import normalised
+from .operators import batch, catalog, matcher, postings, search
 from .schema import COLUMNS, GLOSSARY_SCHEMA, RELEASE, RESULT_COLUMNS, of_release
 from .sources import glossary as source
 from .sources.stage import staged
+from .sources.store import GlossaryStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +54,7 @@ SELECT {select} FROM res"""
 
 def _searched(**request) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search.search(*_views(spark, sf_dir), "ios", 26, **request).rows.select(*RESULT_COLUMNS)
+        return search.search(*_views(spark, sf_dir), "ios", 26, releases=X.releases(spark), **request).rows.select(*RESULT_COLUMNS)
 
     return run
 
@@ -119,7 +121,7 @@ def partitioned_search(spark, sf_dir):
     path = staged(spark, "glossary")
     source.write_glossary(source.with_normalised_target(unify_releases(spark, sf_dir)), path)
     stored = spark.read.schema(GLOSSARY_SCHEMA).parquet(path)
-    return search.search(stored, m, "ios", 26, term=TERM).rows.select(*RESULT_COLUMNS)
+    return search.search(stored, m, "ios", 26, term=TERM, releases=X.releases(spark)).rows.select(*RESULT_COLUMNS)
 
 
 @query("language_map_rows", f"WITH {X.SQL_MAP} SELECT * FROM lm")
@@ -199,7 +201,7 @@ def search_contains(spark, sf_dir):
 
 @query("search_total", _expanded(HAS_TERM, select="count(id) AS total, CAST(ceil(count(id) / 200.0) AS BIGINT) AS last_page"))
 def search_total(spark, sf_dir):
-    return search.search(*_views(spark, sf_dir), "ios", 26, term=TERM).total()
+    return search.search(*_views(spark, sf_dir), "ios", 26, releases=X.releases(spark), term=TERM).total()
 
 
 @query("matched_groups", f"WITH {X.SQL_MAP} SELECT DISTINCT group_id FROM g WHERE {IOS} AND language IN (SELECT code FROM lm WHERE {IOS}) AND {HAS_TERM}")
@@ -214,17 +216,17 @@ def _paged(size: int, page: int) -> str:
 
 @query("search_page_2", _paged(7, 2))
 def search_page_2(spark, sf_dir):
-    return search.search(*_views(spark, sf_dir), "ios", 26, term=TERM, page="2", size="7").page()
+    return search.search(*_views(spark, sf_dir), "ios", 26, releases=X.releases(spark), term=TERM, page="2", size="7").page()
 
 
 @query("page_past_end", _paged(200, 10000))
 def page_past_end(spark, sf_dir):
-    return search.search(*_views(spark, sf_dir), "ios", 26, term=TERM, page=10000).page()
+    return search.search(*_views(spark, sf_dir), "ios", 26, releases=X.releases(spark), term=TERM, page=10000).page()
 
 
 @query("result_row_number", f"WITH r AS ({_paged(7, 2)}) SELECT *, row_number() OVER (ORDER BY {ORDER}) + 7 AS row_number FROM r")
 def result_row_number(spark, sf_dir):
-    return search.search(*_views(spark, sf_dir), "ios", 26, term=TERM, page=2, size=7).numbered_page().withColumn("row_number", F.col("row_number").cast("long"))
+    return search.search(*_views(spark, sf_dir), "ios", 26, releases=X.releases(spark), term=TERM, page=2, size=7).numbered_page().withColumn("row_number", F.col("row_number").cast("long"))
 
 
 #: For each column a value that occurs at every scale, and a prefix of it with pattern characters where there are any.
@@ -239,7 +241,7 @@ def _column_queries() -> None:
         for operator, (word, test) in tests.items():
 
             def run(spark, sf_dir, alias=alias, operator=operator, word=word):
-                return search.search_column(*_views(spark, sf_dir), "ios", 26, alias, operator, word).rows.select(*RESULT_COLUMNS)
+                return search.search_column(*_views(spark, sf_dir), "ios", 26, alias, operator, word, releases=X.releases(spark)).rows.select(*RESULT_COLUMNS)
 
             query(f"adv_{shown[operator]}_{alias}", f"WITH {X.SQL_MAP} SELECT {SEVEN} FROM g WHERE {IOS} AND language IN (SELECT code FROM lm WHERE {IOS}) AND {test}")(run)
 
@@ -255,7 +257,7 @@ def adv_equal_localization_present(spark, sf_dir):
     """Equality on the first text of the release, so that there is a row to find."""
     g, m = _views(spark, sf_dir)
     first = search.in_languages(g, m, "ios", 26).where("target <> ''").agg(F.min("target")).first()[0]
-    return search.search_column(g, m, "ios", 26, "localization", "equal", first).rows.select(*RESULT_COLUMNS)
+    return search.search_column(g, m, "ios", 26, "localization", "equal", first, releases=X.releases(spark)).rows.select(*RESULT_COLUMNS)
 
 
 PREFIXED = f"FROM g WHERE {IOS} AND language IN (SELECT code FROM lm WHERE {IOS}) AND starts_with(source, 'a')"
@@ -263,12 +265,12 @@ PREFIXED = f"FROM g WHERE {IOS} AND language IN (SELECT code FROM lm WHERE {IOS}
 
 @query("adv_total", f"WITH {X.SQL_MAP} SELECT count(id) AS total, CAST(ceil(count(id) / 9.0) AS BIGINT) AS last_page {PREFIXED}")
 def adv_total(spark, sf_dir):
-    return search.search_column(*_views(spark, sf_dir), "ios", 26, "key", "startsWith", "a", size=9).total()
+    return search.search_column(*_views(spark, sf_dir), "ios", 26, "key", "startsWith", "a", releases=X.releases(spark), size=9).total()
 
 
 @query("adv_page_2", f"WITH {X.SQL_MAP} SELECT {SEVEN} {PREFIXED} ORDER BY {ORDER} LIMIT 5 OFFSET 5")
 def adv_page_2(spark, sf_dir):
-    return search.search_column(*_views(spark, sf_dir), "ios", 26, "key", "startsWith", "a", page=2, size=5).page()
+    return search.search_column(*_views(spark, sf_dir), "ios", 26, "key", "startsWith", "a", releases=X.releases(spark), page=2, size=5).page()
 
 
 @query("strip_locale_suffix", f"WITH {X.SQL_DOCS} SELECT id, {STRIPPED} AS code FROM g")
@@ -337,7 +339,7 @@ def batch_page(spark, sf_dir):
     g, m, asked = _batch(spark, sf_dir)
     paged = batch.paging(asked)
     rows = batch.requested_pages(batch.search_all(g, m, asked), paged)
-    return rows.join(paged.select("request_id", "page_number"), "request_id").select("request_id", "id", F.col("row_number").cast("long").alias("row_number"), "page_number")
+    return rows.join(paged.select("request_id", "page_number"), "request_id").select("request_id", "id", F.col("row_number").cast("long").alias("row_number"), F.col("page_number").cast("int").alias("page_number"))
 
 
 @query("all_pages", f"WITH {X.SQL_REQUESTS} SELECT request_id, id, row_number, (row_number - 1) // 50 + 1 AS page FROM num")
@@ -363,7 +365,8 @@ def paging_math(spark, sf_dir):
     g, m, asked = _batch(spark, sf_dir)
     total = batch.totals(batch.search_all(g, m, asked))
     paged = batch.paging(asked).join(total, "request_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    return batch.with_pages(paged).select("request_id", "page_number", "page_size", "row_offset", "total", "last_page", "loaded")
+    small = [F.col(c).cast("int").alias(c) for c in ("page_number", "page_size")]
+    return batch.with_pages(paged).select("request_id", *small, "row_offset", "total", "last_page", "loaded")
 
 
 @query("response_documents")
@@ -460,3 +463,91 @@ def lines_search(spark, sf_dir):
 @query("talk_headers", "WITH g AS (SELECT conv_id AS group_id, concat('conv.', turn) AS source, role AS language, conv_id * 1000 + turn AS id FROM conversations) SELECT 'ios' AS platform, 26 AS version, group_id, arg_min(source, (language, id)) AS header, count(*) AS items FROM g GROUP BY group_id")
 def talk_headers(spark, sf_dir):
     return catalog.group_headers(X.glossary_talk(spark, sf_dir))
+
+
+#: What is left after the releases are published and one of them, changed and smaller by its untitled rows, once more.
+SQL_PUBLISHED = (
+    X.SQL_DOCS
+    + """,
+p AS (
+  SELECT * FROM g WHERE NOT (platform = 'ios' AND version = 18)
+  UNION ALL SELECT * REPLACE (concat(source, '!') AS source, concat('new ', bundle_name) AS bundle_name) FROM g WHERE platform = 'ios' AND version = 18 AND language <> 'en')"""
+)
+
+
+def _published(spark: SparkSession, sf_dir: str) -> GlossaryStore:
+    """A store with the newest releases published first, the others beside them, and then ios 18 in a new form."""
+    g, store = X.glossary_docs(spark, sf_dir), GlossaryStore(spark, staged(spark, "store"))
+    store.publish(g.where("version = 26"))
+    store.publish(g.where("version <> 26"))
+    changed = g.where(of_release("ios", 18) & (F.col("language") != "en"))
+    store.publish(changed.withColumns({"source": F.concat("source", F.lit("!")), "bundle_name": F.concat(F.lit("new "), "bundle_name")}))
+    store.vacuum()
+    return store
+
+
+@query("published_glossary", f"WITH {SQL_PUBLISHED} SELECT {SEVEN}, platform, version FROM p")
+def published_glossary(spark, sf_dir):
+    """Releases published one after the other, one of them replaced: the others stay as they were."""
+    return _published(spark, sf_dir).glossary().select(*RESULT_COLUMNS, *RELEASE)
+
+
+@query("published_search", f"WITH {SQL_PUBLISHED}, rows AS (SELECT * FROM p WHERE platform = 'ios' AND version = 18 AND language IN (SELECT language FROM g WHERE platform = 'ios' AND version = 18)) SELECT {SEVEN} FROM rows WHERE group_id IN (SELECT group_id FROM rows WHERE {HAS_TERM})")
+def published_search(spark, sf_dir):
+    """A search of the replaced release, whose name is looked up in the manifest."""
+    store = _published(spark, sf_dir)
+    return search.search(store.glossary(), _views(spark, sf_dir)[1], "ios", 18, term=TERM, releases=store.releases()).rows.select(*RESULT_COLUMNS)
+
+
+@query("catalogue_releases", f"WITH {SQL_PUBLISHED}, n AS (SELECT platform, version, count(*) AS row_count FROM p GROUP BY ALL) SELECT platform, version, row_count, version = max(version) OVER (PARTITION BY platform) AS latest FROM n")
+def catalogue_releases(spark, sf_dir):
+    """Counts of the releases and the newest of each platform, from the manifest alone."""
+    releases = _published(spark, sf_dir).releases().select(*RELEASE, "row_count")
+    newest = catalog.latest_releases(releases).withColumn("latest", F.lit(True))
+    return releases.join(newest, [*RELEASE], "left").withColumn("latest", F.coalesce("latest", F.lit(False)))
+
+
+@query("catalogue_bundles", f"WITH {SQL_PUBLISHED} SELECT platform, version, bundle_name, count(*) AS row_count FROM p GROUP BY ALL")
+def catalogue_bundles(spark, sf_dir):
+    """Bundles of the releases with their rows, from the catalogue alone."""
+    return _published(spark, sf_dir).bundles()
+
+
+@query(
+    "catalogue_browse",
+    f"""WITH {SQL_PUBLISHED}, drawn AS (SELECT platform, version, arg_min(bundle_name, md5(concat(bundle_name, ':7'))) AS bundle_name FROM (SELECT DISTINCT platform, version, bundle_name FROM p) GROUP BY ALL),
+hit AS (SELECT DISTINCT platform, version, group_id FROM p SEMI JOIN drawn USING (platform, version, bundle_name))
+SELECT platform, version, {SEVEN} FROM p SEMI JOIN hit USING (platform, version, group_id)""",
+)
+def catalogue_browse(spark, sf_dir):
+    """A bundle of each release drawn from the catalogue, and the groups that touch it."""
+    store = _published(spark, sf_dir)
+    return catalog.browse_random_bundle(store.glossary(), 7, store.bundles()).select(*RELEASE, *RESULT_COLUMNS)
+
+
+@query("batch_terms", f"WITH {X.SQL_REQUESTS} SELECT DISTINCT platform, version, id, q FROM g JOIN asked USING (platform, version) WHERE length(q) > 0 AND contains(target_norm, q)")
+def batch_terms(spark, sf_dir):
+    """Which of its release's terms each text contains: all terms in one pass."""
+    g, _, asked = _batch(spark, sf_dir)
+    terms = asked.where(batch.search_status() == "ok").select(*RELEASE, normalised("q").alias("q"))
+    return matcher.find_terms(g, terms, ["id"])
+
+
+SQL_PREFIX_REQUESTS = (
+    X.SQL_MAP
+    + """,
+req AS (SELECT item_id AS request_id, CASE item_id % 2 WHEN 0 THEN 'ios' ELSE 'macos' END AS platform, 26 AS version,
+  ['key', 'localization', 'language', 'file', 'bundle'][item_id % 5 + 1] AS column_alias,
+  CASE item_id % 5 WHEN 0 THEN left(concat('a_b.', item_id % 7), 1 + CAST(item_id % 4 AS INTEGER)) WHEN 1 THEN left(text, 1 + CAST(item_id % 6 AS INTEGER)) WHEN 2 THEN left('en_XX', 1 + CAST(item_id % 5 AS INTEGER)) WHEN 3 THEN concat('file', item_id % 11) ELSE 'bundle' END AS q FROM benchmark)"""
+)
+
+
+@query(
+    "batch_prefixes",
+    f"""WITH {SQL_PREFIX_REQUESTS} SELECT request_id, g.platform, g.version, {SEVEN} FROM g JOIN req USING (platform, version)
+WHERE starts_with(CASE column_alias WHEN 'key' THEN source WHEN 'localization' THEN target WHEN 'language' THEN language WHEN 'file' THEN file_name ELSE bundle_name END, q)
+  AND EXISTS (FROM lm WHERE lm.platform = g.platform AND lm.version = g.version AND lm.code = g.language)""",
+)
+def batch_prefixes(spark, sf_dir):
+    """Prefixes of many lengths on all five columns."""
+    return batch.search_columns(*_views(spark, sf_dir), X.prefix_requests(spark, sf_dir)).select("request_id", *RELEASE, *RESULT_COLUMNS)

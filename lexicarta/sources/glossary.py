@@ -44,15 +44,23 @@ def with_normalised_target(glossary: DataFrame) -> DataFrame:
     return glossary.withColumn("target_norm", normalised("target"))
 
 
-def write_glossary(glossary: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Partitioned by release; files hold ranges of groups in result order, so group look-ups prune row groups.
+def in_result_order(glossary: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Dealt into ranges of release and group and sorted within them, so that group look-ups prune row groups.
 
-    A range of a release goes to one file; ranges are drawn from the data, so a large
-    release gets more of them.
+    Ranges are drawn from the data, so a large release gets more of them.
     """
     key = ("platform", "version", "group_id")
     dealt = glossary.repartitionByRange(*([partitions] if partitions else []), *key)
-    dealt.sortWithinPartitions(*key, "language").write.mode("overwrite").partitionBy("platform", "version").parquet(path)
+    return dealt.sortWithinPartitions(*key, "language")
+
+
+def write_glossary(glossary: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Partitioned by release, in result order. Releases written before are replaced if they come again, and stay otherwise.
+
+    A reader meanwhile may find a replaced release in part; ``store.GlossaryStore`` swaps at once.
+    """
+    writer = in_result_order(glossary, partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("platform", "version").parquet(path)
 
 
 def read_language_map(spark: SparkSession, path: str) -> DataFrame:

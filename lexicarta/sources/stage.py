@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,5 +24,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def staged(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; it is the caller's to delete."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, removed with ``remove`` or at the end of the process."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged path if it is still there and the session, too."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit; what is staged is scratch
+        pass

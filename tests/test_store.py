@@ -1,0 +1,157 @@
+"""Publication of releases, the catalogue kept beside them, and look-ups of releases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexicarta.operators import catalog, search
+from lexicarta.schema import GLOSSARY_SCHEMA, RELEASE
+from lexicarta.sources import glossary as source
+from lexicarta.sources import store as S
+
+COLUMNS = [c.split()[0] for c in GLOSSARY_SCHEMA.split(", ")]
+
+
+def rows(platform, version, texts, bundle="b1"):
+    return [(i, i // 2, f"k{i}", t, "en", "f", bundle if i % 3 else None, platform, version, t.lower()) for i, t in enumerate(texts)]
+
+
+@pytest.fixture
+def make(spark, tmp_path):
+    """A new store and a function that makes glossaries."""
+    return S.GlossaryStore(spark, f"file://{tmp_path}/store"), lambda *r: spark.createDataFrame(sum(r, []), GLOSSARY_SCHEMA)
+
+
+def content(df):
+    return sorted(map(str, df.select(*COLUMNS).collect()))
+
+
+def test_a_second_release_leaves_the_first(make):
+    store, table = make
+    a, b = rows("ios", 26, ["One", "Two", "Three"]), rows("mac os=x", 15, ["Eins"])  # a name that folders must escape
+    assert store.glossary().count() == 0 and store.releases().count() == 0 and store.bundles().count() == 0
+    assert store.publish(table(a)) == 1
+    assert store.publish(table(b)) == 2
+    assert content(store.glossary()) == content(table(a, b))
+    assert {(r.platform, r.version, r.row_count) for r in store.releases().collect()} == {("ios", 26, 3), ("mac os=x", 15, 1)}
+    assert content(store.glossary(at=1)) == content(table(a))
+
+
+def test_a_replaced_release_and_the_manifests_before(make):
+    store, table = make
+    old, other, new = rows("ios", 26, ["One", "Two"]), rows("ios", 18, ["x", "y", "z"]), rows("ios", 26, ["Uno"], "b2")
+    store.publish(table(old, other))
+    store.publish(table(new))
+    assert content(store.glossary()) == content(table(new, other))
+    assert content(store.glossary(at=1)) == content(table(old, other))
+    store.retract("ios", 18)
+    assert content(store.glossary()) == content(table(new))
+    store.vacuum()
+    assert content(store.glossary()) == content(table(new)) and store.numbers() == [3]
+    assert store.retract("ios", 26) == 4 and store.glossary().count() == 0
+
+
+def test_an_interrupted_publication_changes_nothing(make, monkeypatch):
+    store, table = make
+    old = rows("ios", 26, ["One", "Two"])
+    store.publish(table(old))
+    bad = table(rows("ios", 26, ["Uno"])).withColumn("source", F.when(F.col("id") == 0, F.raise_error(F.lit("lost"))).otherwise(F.col("source")))
+    with pytest.raises(Exception, match="lost"):  # while rows are written
+        store.publish(bad)
+    monkeypatch.setattr(S.GlossaryStore, "_swap", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError, match="killed"):  # after the rows, before the manifest
+        store.publish(table(rows("ios", 26, ["Uno"]), rows("ios", 18, ["a"])))
+    assert content(store.glossary()) == content(table(old)) and store.numbers() == [1]
+    assert [tuple(r) for r in store.releases().select(*RELEASE, "row_count").collect()] == [("ios", 26, 2)]
+    monkeypatch.undo()
+    store.vacuum()
+    path, fs = store._path("data")
+    assert len(fs.listStatus(path)) == 1  # what was interrupted is gone
+
+
+def test_two_publishers_lose_nothing(make):
+    """The one whose number is taken starts again from the newest manifest."""
+    store, table = make
+    a, b = rows("ios", 26, ["One"]), rows("ios", 18, ["Two"])
+    first = store.manifest
+    taken = []
+
+    def stale(at=None):
+        found = first(at)
+        if not taken:  # another publication gets in between reading and writing
+            taken.append(1)
+            S.GlossaryStore(store.spark, store.root).publish(table(b))
+        return found
+
+    store.publish(table(rows("macos", 26, ["Null"])))
+    store.manifest = stale
+    assert store.publish(table(a)) == 3
+    assert content(S.GlossaryStore(store.spark, store.root).glossary()) == content(table(a, b, rows("macos", 26, ["Null"])))
+
+
+def test_awkward_publications(make):
+    store, table = make
+    store.publish(table(rows("ios", 26, ["One"])))
+    assert store.publish(table(rows("ios", 26, ["x"])).limit(0)) == 2  # no rows: the same releases again
+    assert store.releases().count() == 1
+    with pytest.raises(Exception, match="no release"):
+        store.publish(table(rows(None, 26, ["One"])))
+    with pytest.raises(Exception, match="no release"):
+        store.publish(table(rows("ios", None, ["One"])))
+    store.publish(table(rows("ios", 26, ["One", "One"])).withColumns({"run": F.lit("clash"), "files": F.lit(1)}))
+    assert store.glossary().count() == 2 and store.glossary().columns == [c.split()[0] for c in S.STORED.split(", ")]
+    with pytest.raises(ValueError):
+        store.vacuum(keep=0)
+
+
+def test_the_catalogue_equals_a_full_scan(make):
+    store, table = make
+    store.publish(table(rows("ios", 26, ["a"] * 7), rows("ios", 18, ["b"] * 4, "b9")))
+    for change in (rows("macos", 12, ["c"] * 5, "b3"), rows("ios", 18, ["d"] * 2, "b4")):
+        store.publish(table(change))
+        g = store.glossary()
+        plain = lambda df: sorted(map(str, df.collect()))
+        assert plain(store.releases().select(*RELEASE, "row_count")) == plain(catalog.release_counts(g))
+        assert plain(catalog.bundle_list(store.bundles())) == plain(catalog.bundle_list(g))
+        assert plain(catalog.random_bundle(store.bundles(), 3)) == plain(catalog.random_bundle(g, 3))
+        assert plain(catalog.browse_random_bundle(g, 3, store.bundles()).select(*COLUMNS)) == plain(catalog.browse_random_bundle(g, 3).select(*COLUMNS))
+        assert all("/bundles/" in f for f in catalog.bundle_list(store.bundles()).inputFiles())
+        assert store.releases().inputFiles() == []
+
+
+def test_unknown_releases_raise_with_the_known_ones(make, spark):
+    store, table = make
+    store.publish(table(rows("ios", 26, ["One"]), rows("macos", 15, ["Two"])))
+    codes = spark.createDataFrame([("ios", 26, "English", "en")], "platform string, version int, language_name string, code string")
+    ask = lambda p, v, **kw: search.search(store.glossary(), codes, p, v, term="o", **kw)
+    assert ask("ios", 26, releases=store.releases()).rows.count() == 1
+    assert ask("macos", 15, releases=store.releases()).rows.count() == 0  # known, but without a language map
+    for releases, known in ((store.releases(), "known: ios 26, macos 15"), (None, "known: ios 26")):
+        with pytest.raises(Exception, match=known):
+            ask("ios", 99, releases=releases).rows.count()
+        with pytest.raises(Exception, match=known):
+            ask("watch", 26, releases=releases).page().collect()
+    with pytest.raises(Exception, match="no release ios 99"):
+        search.search_column(store.glossary(), codes, "ios", 99, "key", "equal", "k", releases=store.releases()).total().collect()
+    with pytest.raises(Exception, match="no release ios 26; known: "):
+        ask("ios", 26, releases=store.releases().limit(0)).rows.collect()
+
+
+def test_a_release_is_looked_up_without_reading_the_glossary(make, spark):
+    """The look-up fails before any file of the glossary is opened."""
+    store, table = make
+    store.publish(table(rows("ios", 26, ["One"])))
+    g, known = store.glossary(), store.releases()
+    codes = spark.createDataFrame([("ios", 26, "English", "en")], "platform string, version int, language_name string, code string")
+    path, fs = store._path("data")
+    fs.delete(path, True)
+    with pytest.raises(Exception, match="no release ios 99; known: ios 26"):
+        search.search(g, codes, "ios", 99, term="o", releases=known).rows.collect()
+
+
+def test_releases_written_one_after_the_other_into_one_folder(make, spark, tmp_path):
+    _, table = make
+    a, b = rows("ios", 26, ["One"]), rows("ios", 18, ["Two", "Three"])
+    source.write_glossary(table(a), f"{tmp_path}/g")
+    source.write_glossary(table(b), f"{tmp_path}/g")
+    source.write_glossary(table(rows("ios", 26, ["Uno"])), f"{tmp_path}/g")
+    assert content(spark.read.schema(GLOSSARY_SCHEMA).parquet(f"{tmp_path}/g")) == content(table(rows("ios", 26, ["Uno"]), b))
