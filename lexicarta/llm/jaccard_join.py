@@ -80,21 +80,23 @@ def size_class(n: int) -> int:
     return c
 
 
-def shingle_sets(texts: pa.Array, k: int):
+def shingle_sets(texts: pa.Array, k: int, key: S.Key):
     """(row, sorted distinct shingle hashes) of each text with a word; A-Z in lower case.
 
     A text of fewer than ``k`` words is one shingle, the whole sequence.
     """
     for low, high, data, offsets in S.chunks(texts):
-        w = S.words(data, offsets, lower=True)
-        rolling = S.Rolling(w.hash)
-        grams = rolling.all(k)
+        w = S.words(data, offsets, lower=True, key=key)
+        rolling = S.Windows(w.hash, key)
+        grams, size = rolling.all(k), np.diff(w.bounds)
+        short = np.flatnonzero((size > 0) & (size < k))
+        whole = dict(zip(short.tolist(), rolling.some(w.bounds[short], w.bounds[short + 1]), strict=True))
         for r in range(high - low):
             a, b = int(w.bounds[r]), int(w.bounds[r + 1])
             if b - a >= k:
                 yield low + r, np.unique(grams[a : b - k + 1])
             elif b > a:
-                yield low + r, rolling.some(np.array([a]), np.array([b]))
+                yield low + r, np.array([whole[r]])
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rare: int = 8) -> DataFrame:
@@ -109,7 +111,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
     Equal sets form one class and are compared once.  An empty table gives an empty result.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch, key = Scratch(docs.sparkSession, "jaccard"), S.Key.draw()
     t = Threshold(num, den)
 
     def measure(batches):
@@ -118,7 +120,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             first, second = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
-            for row, own in shingle_sets(batch.column(1), k):
+            for row, own in shingle_sets(batch.column(1), k, key):
                 n[row] = len(own)
                 first[row] = S.mix(own).sum(dtype=np.uint64)
                 second[row] = S.mix(own ^ np.uint64(S.ITEM_BASE)).sum(dtype=np.uint64)
@@ -142,7 +144,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
         shift, done = np.uint64(64 - SLOT_BITS), set()
         for batch in batches:
             ids, out = batch.column(0), []
-            for row, own in shingle_sets(batch.column(1), k):
+            for row, own in shingle_sets(batch.column(1), k, key):
                 n = len(own)
                 if t.alone(n):
                     continue
@@ -212,7 +214,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rar
 
     def gather(batches):
         for batch in batches:
-            out = [(row, own) for row, own in shingle_sets(batch.column(1), k)]
+            out = [(row, own) for row, own in shingle_sets(batch.column(1), k, key)]
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.record_batch([batch.column(0).take(rows), pa.array([x[1].view(np.int64) for x in out], pa.list_(pa.int64()))], ["doc_id", "own"])
 

@@ -15,6 +15,8 @@ can only stand in spans with equal anchors.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,9 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 ITEM_BASE = 0xD6E8FEB86659FD93
 CHUNK_BYTES = 1 << 18
 
+#: Words of more blocks of eight bytes are digested one by one.
+MOST_BLOCKS = 4
+
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -67,6 +72,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@dataclass(frozen=True)
+class Key:
+    """Secret parameters of the keyed hashes of one run: a start, odd multipliers and a key of digests.
+
+    No two different words, or runs of items, can be prepared that collide under a key
+    drawn later; the polynomials above, linear modulo 2**64, have such (Thue-Morse) words
+    whatever their base.
+    """
+
+    start: int
+    factors: tuple[int, ...]
+    digest: bytes
+
+    @staticmethod
+    def draw() -> Key:
+        odd = tuple(secrets.randbits(64) | 1 for _ in range(MOST_BLOCKS + 2))
+        return Key(secrets.randbits(64), odd, secrets.token_bytes(32))
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, byte offsets from 0) for runs of rows; nulls are empty texts."""
     texts = texts.cast(pa.large_string())
@@ -96,8 +120,8 @@ class Words:
     bounds: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each document; ``lower`` folds A-Z only."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, key: Key | None = None) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each document; ``lower`` folds A-Z only. With a ``key`` hashes are keyed."""
     solid = ~_SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -108,7 +132,24 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    return Words(start, end, _ranges(data, start, end), np.searchsorted(start, offsets))
+    return Words(start, end, _ranges(data, start, end) if key is None else _keyed(data, start, end, key), np.searchsorted(start, offsets))
+
+
+def _keyed(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: Key) -> np.ndarray:
+    """Keyed hashes of the byte ranges: blocks of eight bytes mixed one after the other; long ranges by a keyed digest."""
+    size = end - start
+    blocks = -(-size // 8)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    out = mix(size.astype(np.uint64) * np.uint64(BYTE_BASE) ^ np.uint64(key.start))
+    for j in range(min(MOST_BLOCKS, int(blocks.max(initial=0)))):
+        at = np.flatnonzero(blocks > j)
+        block = windows[start[at] + 8 * j].view("<u8").ravel()
+        left = np.minimum(size[at] - 8 * j, 8).astype(np.uint64)
+        block &= np.uint64(_MASK) >> (np.uint64(64) - np.uint64(8) * left)
+        out[at] = mix((out[at] ^ block) * np.uint64(key.factors[j]))
+    for i in np.flatnonzero(blocks > MOST_BLOCKS).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key.digest).digest(), "little")
+    return out
 
 
 def _ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -145,6 +186,67 @@ class Rolling:
         return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64))
 
 
+class Windows:
+    """Keyed hashes of runs of items, by doubling.
+
+    The hash of a run of ``2**k`` items is a keyed mix of those of its halves, that of any
+    other run a mix of the two longest such runs at its ends: no sum in it is linear over
+    more than two parts.  One level is held at a time.
+    """
+
+    def __init__(self, items: np.ndarray, key: Key):
+        self.n, self._first = len(items), 0
+        self._a, self._b = (np.uint64(f) for f in key.factors[MOST_BLOCKS:])
+        self._base = self._level = mix(items ^ np.uint64(key.start))
+        self._k = 0
+
+    @staticmethod
+    def of_bytes(data: np.ndarray, key: Key, least: int) -> Windows:
+        """Runs of bytes; where none is shorter than eight (``least``), eight bytes are read at once."""
+        if least < 8 or len(data) < 8:
+            return Windows(data.astype(np.uint64), key)
+        eights = np.lib.stride_tricks.sliding_window_view(data, 8)
+        out = Windows(np.ascontiguousarray(eights).view("<u8").ravel(), key)
+        out.n, out._first, out._k = len(data), 3, 3
+        return out
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        x = left * self._a
+        x += right
+        x ^= x >> np.uint64(32)
+        x *= self._b
+        x ^= x >> np.uint64(29)
+        return x
+
+    def _to(self, k: int) -> np.ndarray:
+        """Hashes of all runs of ``2**k`` items."""
+        if k < self._k:
+            self._k, self._level = self._first, self._base
+        while self._k < k:
+            half = 1 << self._k
+            m = max(0, len(self._level) - half)
+            self._level = self._join(self._level[:m], self._level[half : half + m])
+            self._k += 1
+        return self._level
+
+    def all(self, width: int) -> np.ndarray:
+        """Of every run of ``width`` items (runs may cross documents)."""
+        m = max(0, self.n - width + 1)
+        k = width.bit_length() - 1
+        level, rest = self._to(k), width - (1 << k)
+        return mix(self._join(level[:m], level[rest : rest + m]) + np.uint64(width))
+
+    def some(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the runs ``[start, end)``; equal to ``all`` where the width is that."""
+        out, size = np.zeros(len(start), np.uint64), end - start
+        for k in range(int(size.max(initial=1)).bit_length()):
+            at = np.flatnonzero((size >= 1 << k) & (size < 2 << k))
+            if len(at):
+                level = self._to(k)
+                out[at] = mix(self._join(level[start[at]], level[end[at] - (1 << k)]) + size[at].astype(np.uint64))
+        return out
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values: block-wise prefix and suffix minima."""
     n = len(x)
@@ -170,9 +272,9 @@ class Spans:
     hash: np.ndarray
 
 
-def spans(items: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> Spans:
-    """Spans of all windows of all documents of a chunk."""
-    rolling = Rolling(items)
+def spans(items: np.ndarray | Windows, bounds: np.ndarray, width: int, gram: int) -> Spans:
+    """Spans of all windows of all documents of a chunk: over items, or over their keyed windows."""
+    rolling = items if isinstance(items, Windows) else Rolling(items)
     grams = rolling.all(gram)
     best = sliding_min(grams, width - gram + 1)
     counts = np.diff(bounds) - width + 1

@@ -13,7 +13,8 @@ One fingerprint stands for a whole *span* of windows (see ``spans``), about one
 row for sixteen windows, and the decisions stay exact: an equal span means equal
 windows throughout; windows can be equal across different spans only when the
 anchors are equal, and exactly those are verified.  Equality is that of two 64-bit
-hashes throughout, of the anchor's words and of the span's or window's.
+hashes throughout, of the anchor's words and of the span's or window's, under a key that
+each index draws anew (``spans.Key``).
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class FingerprintIndex:
         if not 1 <= gram <= width:
             raise ValueError("gram must lie between 1 and width")
         self.spark, self.width, self.gram, self.most_runs, self.ratio = spark, width, gram, most_runs, ratio
+        self.key = S.Key.draw()
         self.scratch = Scratch(spark, "fingerprints")
         self.runs: list[tuple[str, int]] = []
         self.highest: int | None = None
@@ -53,14 +55,14 @@ class FingerprintIndex:
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
         """Distinct ``(doc_id, anchor, span)`` of each document. Null ids or texts give none."""
-        width, gram = self.width, self.gram
+        width, gram, key = self.width, self.gram, self.key
 
         def extract(batches):
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for low, _, data, offsets in S.chunks(batch.column(1)):
-                    w = S.words(data, offsets)
-                    s = S.spans(w.hash, w.bounds, width, gram)
+                    w = S.words(data, offsets, key=key)
+                    s = S.spans(S.Windows(w.hash, key), w.bounds, width, gram)
                     yield _distinct(ids[low + s.row], s.anchor, s.hash)
 
         return bounded(docs).select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(extract, FINGERPRINTS)
@@ -133,16 +135,16 @@ class FingerprintIndex:
 
     def verify(self, corpus: DataFrame, unsure: DataFrame) -> DataFrame:
         """``(doc_id, window)``: windows inside open spans that also start in a smaller document."""
-        width, gram = self.width, self.gram
+        width, gram, key = self.width, self.gram, self.key
 
         def emit(batches):
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 marks = batch.column(2)
                 for low, high, data, offsets in S.chunks(batch.column(1)):
-                    w = S.words(data, offsets)
-                    s = S.spans(w.hash, w.bounds, width, gram)
-                    hashes = S.Rolling(w.hash).all(width)
+                    w = S.words(data, offsets, key=key)
+                    s = S.spans(S.Windows(w.hash, key), w.bounds, width, gram)
+                    hashes = S.Windows(w.hash, key).all(width)
                     edges = np.searchsorted(s.row, np.arange(high - low + 1))
                     for k in range(high - low):
                         part = slice(edges[k], edges[k + 1])
@@ -161,7 +163,7 @@ class FingerprintIndex:
 
     def apply(self, docs: DataFrame, seen: DataFrame, windows: DataFrame) -> DataFrame:
         """Remove the covered words: ``doc_id, n_words, n_removed, kept_text, kept_sha256``."""
-        width, gram = self.width, self.gram
+        width, gram, key = self.width, self.gram, self.key
 
         def strip(batches):
             for batch in batches:
@@ -171,9 +173,9 @@ class FingerprintIndex:
                     busy = [k for k in range(high - low) if spans_of[low + k].is_valid or windows_of[low + k].is_valid]
                     gone: dict[int, np.ndarray] = {}
                     if busy:
-                        w = S.words(data, offsets)
-                        s = S.spans(w.hash, w.bounds, width, gram)
-                        hashes = S.Rolling(w.hash).all(width)
+                        w = S.words(data, offsets, key=key)
+                        s = S.spans(S.Windows(w.hash, key), w.bounds, width, gram)
+                        hashes = S.Windows(w.hash, key).all(width)
                         edges = np.searchsorted(s.row, np.arange(high - low + 1))
                         for k in busy:
                             part, a, b = slice(edges[k], edges[k + 1]), w.bounds[k], w.bounds[k + 1]

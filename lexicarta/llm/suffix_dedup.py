@@ -136,12 +136,11 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
     if not 1 <= gram <= length:
         raise ValueError("gram must lie between 1 and length")
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scratch = Scratch(docs.sparkSession, "suffixes")
+    scratch, key = Scratch(docs.sparkSession, "suffixes"), S.Key.draw()
 
     def find(batch_texts):
         for low, high, data, offsets in S.chunks(batch_texts):
-            # +7 keeps a zero byte from vanishing in the polynomial
-            yield low, high, data, offsets, S.spans(S.mix(data.astype(np.uint64) + np.uint64(7)), offsets, length, gram)
+            yield low, high, data, offsets, S.spans(S.Windows.of_bytes(data, key, gram), offsets, length, gram)
 
     def extract(batches):
         for batch in batches:
@@ -184,7 +183,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
     pieces = docs.join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(emit, "doc_id long, anchor long, span long, wide boolean, single boolean, bytes binary")
     # one text for each span: repeated rows of one id emit it again
     pieces = scratch.write(pieces.dropDuplicates(["doc_id", "anchor", "span"]), "pieces")
-    found = _by_blocks(pieces.where("not wide"), length, block_bytes).unionByName(_by_keys(pieces.where("wide"), length))
+    found = _by_blocks(pieces.where("not wide"), length, block_bytes).unionByName(_by_keys(pieces.where("wide"), length, key))
     found = scratch.write(found, "found")
 
     def strip(batches):
@@ -195,7 +194,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
                 busy = [k for k in range(high - low) if whole_of[low + k].is_valid or part_of[low + k].is_valid]
                 gone = {}
                 if busy:
-                    s = S.spans(S.mix(data.astype(np.uint64) + np.uint64(7)), offsets, length, gram)
+                    s = S.spans(S.Windows.of_bytes(data, key, gram), offsets, length, gram)
                     edges = np.searchsorted(s.row, np.arange(high - low + 1))
                     for k in busy:
                         part, a, b = slice(edges[k], edges[k + 1]), offsets[k], offsets[k + 1]
@@ -258,16 +257,15 @@ def _by_blocks(pieces: DataFrame, length: int, block_bytes: int) -> DataFrame:
     return dealt.mapInArrow(blocks, "doc_id long, span long, at array<int>")
 
 
-def _by_keys(pieces: DataFrame, length: int) -> DataFrame:
+def _by_keys(pieces: DataFrame, length: int, key: S.Key) -> DataFrame:
     """The same for anchors with very many spans: windows hashed to 128 bits and counted by key."""
 
     def emit(batches):
         for batch in batches:
             for doc, anchor, span, single, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                items = S.mix(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(7))
-                key = S.Rolling(items).all(length)
-                n = len(key)
-                yield pa.record_batch([pa.array(np.full(n, doc)), pa.array(np.full(n, anchor)), pa.array(np.full(n, span)), pa.array(np.full(n, single)), pa.array(np.arange(n, dtype=np.int32)), pa.array(key.view(np.int64))], ["doc_id", "anchor", "span", "single", "at", "window"])
+                windows = S.Windows.of_bytes(np.frombuffer(text, np.uint8), key, length).all(length)
+                n = len(windows)
+                yield pa.record_batch([pa.array(np.full(n, doc)), pa.array(np.full(n, anchor)), pa.array(np.full(n, span)), pa.array(np.full(n, single)), pa.array(np.arange(n, dtype=np.int32)), pa.array(windows.view(np.int64))], ["doc_id", "anchor", "span", "single", "at", "window"])
 
     windows = pieces.select("doc_id", "anchor", "span", "single", "bytes").mapInArrow(emit, "doc_id long, anchor long, span long, single boolean, at int, window long")
     twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("k")).where("k > 1").select("anchor", "window")
