@@ -84,14 +84,15 @@ def _selected(requests: DataFrame, language_map: DataFrame) -> DataFrame:
     return named.select(*RELEASE, "chosen", F.col("code").alias("language")).unionByName(every).distinct()
 
 
-def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame, index: DataFrame | None = None, mode: str = "contains") -> DataFrame:
     """Group-expanding search of every request ``(request_id, platform, version, q, bundle, languages)``.
 
     All terms together go over each text once (``matcher.find_terms``), so the work for a
     row does not grow with the requests; what was found joins them by release and term.
     Terms too many for that, or with a stored trigram ``index`` (``postings.build``) any,
-    join by their rarest trigram instead and find rows that have an id.  Requests for a
-    bundle alone join by release and bundle.  Returns ``request_id`` and the glossary's
+    join by their rarest trigram instead and find rows that have an id.  With ``mode="word"``
+    terms are whole words or phrases, as in ``search``, and go over the texts, in more
+    passes if they are very many.  Requests for a bundle alone join by release and bundle.  Returns ``request_id`` and the glossary's
     columns.
     """
     key = [*RELEASE, "chosen", "language"]
@@ -100,8 +101,8 @@ def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame
     asked = asked.drop("languages")
     no_term = F.coalesce("q", F.lit("")) == ""
     terms = asked.where(~no_term)
-    if index is None and matcher.fits(terms):
-        near = matcher.find_terms(glossary, terms, ["group_id", "language", "bundle_name"]).distinct()
+    if mode == "word" or (index is None and matcher.fits(terms)):
+        near = matcher.find_terms(glossary, terms, ["group_id", "language", "bundle_name"], mode=mode).distinct()
         found = near.join(terms, [*RELEASE, "q"])
     else:
         grams = postings.build(glossary) if index is None else index

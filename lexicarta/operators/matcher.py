@@ -8,11 +8,14 @@ its own release was asked for, leave the task.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RELEASE
+from ..sources.stage import bounded
 
 #: Characters of the terms of one automaton (some 50 bytes each in a task); more terms take another pass.
 SHARD_CHARS = 1 << 20
@@ -38,27 +41,44 @@ def _shards(terms: DataFrame, limit: int) -> list[dict[str, list[tuple]]]:
     return [s for s in out if s]
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str], limit: int = SHARD_CHARS) -> DataFrame:
+def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str], limit: int = SHARD_CHARS, mode: str = "contains") -> DataFrame:
     """``platform, version, *keep, q`` for each row of ``texts`` and each of its release's terms that its text contains.
 
+    With ``mode="word"`` a term counts where no letter, digit or underscore touches it on
+    either side (``text.word_pattern``).
     ``texts`` has ``platform, version, target_norm`` and the columns ``keep``; ``terms`` has
     ``platform, version, q``, normalised.  A row comes once for each different term.  Empty
     and null terms and null texts meet nothing.  The terms pass through the driver: check
     them with ``fits`` first.
     """
-    rows = texts.where("target_norm is not null").select(*RELEASE, *keep, "target_norm")
+    if mode not in ("contains", "word"):
+        raise ValueError(f"no such mode: {mode}")
+    rows = bounded(texts.where("target_norm is not null")).select(*RELEASE, *keep, "target_norm")
     kept = rows.drop("target_norm")
     schema = kept.withColumn("found", F.array().cast("array<string>")).schema
     found = None
     for shard in _shards(terms, limit):
-        one = rows.mapInArrow(_scanner(shard, len(keep) + len(RELEASE)), schema)
+        one = rows.mapInArrow(_scanner(shard, len(keep) + len(RELEASE), mode == "word"), schema)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return kept.withColumn("q", F.lit(None).cast("string")).where(F.lit(False))
     return found.select(*RELEASE, *keep, F.explode("found").alias("q"))
 
 
-def _scanner(shard: dict[str, list[tuple]], width: int):
+def _touches(text: str, at: int) -> bool:
+    """Whether a letter, digit or underscore stands at the place."""
+    return 0 <= at < len(text) and (text[at] == "_" or unicodedata.category(text[at])[0] in "LN")
+
+
+def _whole_words(automaton, names: list[str], text: str) -> set[int]:
+    met = set()
+    for end, i in automaton.iter(text):
+        if i not in met and not _touches(text, end + 1) and not _touches(text, end - len(names[i])):
+            met.add(i)
+    return met
+
+
+def _scanner(shard: dict[str, list[tuple]], width: int, whole: bool):
     """Function over batches: columns before ``width`` are kept (the first two the release), the next one is the text."""
 
     def scan(batches):
@@ -80,7 +100,8 @@ def _scanner(shard: dict[str, list[tuple]], width: int):
                 own = of_release.get(release)
                 if own is None:
                     continue
-                met = {i for _, i in automaton.iter(texts[k].as_py())}
+                text = texts[k].as_py()
+                met = _whole_words(automaton, names, text) if whole else {i for _, i in automaton.iter(text)}
                 if not everywhere[release]:
                     met &= own
                 if met:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import locales
 from .functions.text import normalised
-from .operators import batch, catalog, matcher, postings, search
+from .operators import batch, catalog, matcher, positions, postings, search
 from .schema import COLUMNS, GLOSSARY_SCHEMA, RELEASE, RESULT_COLUMNS, of_release
 from .sources import glossary as source
 from .sources.stage import staged
@@ -551,3 +551,27 @@ WHERE starts_with(CASE column_alias WHEN 'key' THEN source WHEN 'localization' T
 def batch_prefixes(spark, sf_dir):
     """Prefixes of many lengths on all five columns."""
     return batch.search_columns(*_views(spark, sf_dir), X.prefix_requests(spark, sf_dir)).select("request_id", *RELEASE, *RESULT_COLUMNS)
+
+
+WORD_HIT = r"regexp_matches(target_norm, concat('(^|[^\p{L}\p{N}_])', regexp_replace(q, '([^\p{L}\p{N}_])', '\\\1', 'g'), '($|[^\p{L}\p{N}_])'))"
+
+
+@query("batch_search_word", f"WITH {X.SQL_REQUESTS.replace('contains(target_norm, q)', WORD_HIT)} SELECT request_id, platform, version, {SEVEN} FROM res")
+def batch_search_word(spark, sf_dir):
+    """Whole words and phrases of a table of requests, all in one pass."""
+    return batch.search_all(*_batch(spark, sf_dir), mode="word").select("request_id", *RELEASE, *RESULT_COLUMNS)
+
+
+@query("positions_lookup", f"WITH {X.SQL_DOCS} SELECT platform, version, id, CAST((length(target_norm) - length(replace(target_norm, 'haus', ''))) // 4 AS INTEGER) AS hits FROM g WHERE contains(target_norm, 'haus')")
+def positions_lookup(spark, sf_dir):
+    """Rows and places of one term from a stored positional index, which is all that is read."""
+    index = positions.write(X.glossary_docs(spark, sf_dir), staged(spark, "positions"))
+    return positions.lookup_ids(index, "Haus")
+
+
+@query("positions_batch", f"WITH {X.SQL_REQUESTS} SELECT DISTINCT request_id, platform, version, id FROM g JOIN req USING (platform, version) WHERE length(q) > 0 AND contains(target_norm, q)")
+def positions_batch(spark, sf_dir):
+    """All terms of the requests, of any length, from a stored positional index."""
+    g, _, asked = _batch(spark, sf_dir)
+    index = positions.write(g, staged(spark, "positions"))
+    return positions.batch_lookup(index, asked).drop("hits")

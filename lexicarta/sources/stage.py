@@ -6,9 +6,19 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+#: Bytes of one Arrow batch that goes to Python.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands batches of bounded bytes to Python from now on, unless it has a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
 
 
 def shared_root(spark: SparkSession) -> str:
