@@ -44,14 +44,13 @@ def with_normalised_target(glossary: DataFrame) -> DataFrame:
     return glossary.withColumn("target_norm", normalised("target"))
 
 
-def in_result_order(glossary: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Dealt into ranges of release and group and sorted within them, so that group look-ups prune row groups.
+#: What files are dealt and sorted by, so that group look-ups prune row groups.
+FILE_ORDER = ("platform", "version", "group_id", "language")
 
-    Ranges are drawn from the data, so a large release gets more of them.
-    """
-    key = ("platform", "version", "group_id")
-    dealt = glossary.repartitionByRange(*([partitions] if partitions else []), *key)
-    return dealt.sortWithinPartitions(*key, "language")
+
+def by_ranges(glossary: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Dealt into ranges of release and group, drawn from the data, so that a large release gets more of them."""
+    return glossary.repartitionByRange(*([partitions] if partitions else []), *FILE_ORDER[:3])
 
 
 def write_glossary(glossary: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -59,7 +58,7 @@ def write_glossary(glossary: DataFrame, path: str, partitions: int | None = None
 
     A reader meanwhile may find a replaced release in part; ``store.GlossaryStore`` swaps at once.
     """
-    writer = in_result_order(glossary, partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = by_ranges(glossary, partitions).sortWithinPartitions(*FILE_ORDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("platform", "version").parquet(path)
 
 

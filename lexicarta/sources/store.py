@@ -20,8 +20,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import GLOSSARY_SCHEMA, RELEASE
-from .glossary import in_result_order
+from ..schema import GLOSSARY_SCHEMA, RELEASE, RESULT_COLUMNS
+from .glossary import FILE_ORDER, by_ranges, with_normalised_target
 
 STORED = GLOSSARY_SCHEMA.replace(", platform string, version int", "") + ", platform string, version int"
 BUNDLES = "bundle_name string, row_count long, platform string, version int"
@@ -98,15 +98,16 @@ class GlossaryStore:
     def publish(self, glossary: DataFrame, partitions: int | None = None) -> int:
         """Add the releases of ``glossary``, or replace those that are there; the number of the new manifest.
 
-        ``glossary`` has the columns of ``GLOSSARY_SCHEMA`` (others are left out).  All its
+        ``glossary`` has the result columns, ``platform`` and ``version`` (others are left out);
+        the normalised text is made here, once the rows are where they are written.  All its
         releases appear at once.  Rows without a platform or version are refused; a glossary
         without rows changes nothing.
         """
         run = uuid.uuid4().hex
-        columns = [f"{c.name}" for c in self.spark.createDataFrame([], STORED).schema]
         key = F.col("platform").isNull() | F.col("version").isNull()
-        rows = glossary.select(*columns).withColumn("platform", F.when(key, F.raise_error(F.lit("a row has no release"))).otherwise(F.col("platform")))
-        in_result_order(rows, partitions).write.partitionBy(*RELEASE).parquet(f"{self.root}/data/run={run}")
+        rows = glossary.select(*RESULT_COLUMNS, *RELEASE).withColumn("platform", F.when(key, F.raise_error(F.lit("a row has no release"))).otherwise(F.col("platform")))
+        dealt = with_normalised_target(by_ranges(rows, partitions))
+        dealt.sortWithinPartitions(*FILE_ORDER).write.partitionBy(*RELEASE).parquet(f"{self.root}/data/run={run}")
         written = self._read("data", [run], STORED)
         counts = written.groupBy("bundle_name", *RELEASE).agg(F.count("*").alias("row_count"))
         counts.select("bundle_name", "row_count", *RELEASE).coalesce(1).write.partitionBy(*RELEASE).parquet(f"{self.root}/bundles/run={run}")
