@@ -172,6 +172,7 @@ def _wanted(term: str) -> list[tuple[int, int, int]]:
 def lookup_ids(index: DataFrame, term: str) -> DataFrame:
     """``platform, version, id, hits``: rows that contain the term and how often, from the index alone.
 
+    To search one release, filter the index by it: the other releases' files are not read.
     Overlapping places count.  The term is normalised here; an empty one raises.  A row
     that repeats an id is returned for each of its texts that contain the term.
     """
@@ -179,11 +180,18 @@ def lookup_ids(index: DataFrame, term: str) -> DataFrame:
     if not term:
         raise ValueError("an empty term stands everywhere")
     wanted = _wanted(term)
-    asked = None
-    for offset, low, high in wanted:  # constant ranges: they reach the scan
-        one = index.where(F.col("gram").between(low, high)).withColumns({"term": F.lit(0).cast("long"), "parts": F.lit(len(wanted)), "offset": F.lit(offset)})
-        asked = one if asked is None else asked.unionByName(one)
-    return _rows(asked, index).drop("term")
+    low, high = wanted[0][1:]
+    gram = F.col("gram")
+    # constants, in one filter: they reach the scan, which is read once for the blocks and the directory
+    if low == high:
+        offsets = {k: [o for o, x, _ in wanted if x == k] for _, k, _ in wanted}
+        blocks = index.where(gram.isin(DIRECTORY, *offsets))
+        of_gram = F.coalesce(*(F.when(gram == k, F.array(*map(F.lit, o))) for k, o in offsets.items()), F.array(F.lit(-1)))
+        blocks = blocks.withColumn("offset", F.explode(of_gram))
+    else:
+        blocks = index.where((gram == DIRECTORY) | gram.between(low, high)).withColumn("offset", F.lit(0))
+    blocks = blocks.withColumns({"term": F.when(gram != DIRECTORY, F.lit(0).cast("long")), "parts": F.lit(len(wanted))})
+    return _segments(blocks).drop("term")
 
 
 def lookup(index: DataFrame, glossary: DataFrame, term: str) -> DataFrame:
@@ -221,16 +229,20 @@ def _shifted(a: Column, b: Column, c: Column) -> Column:
 
 
 def _rows(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """``platform, version, term, id, hits`` from blocks with their ``term, parts, offset``: one shuffle, by segment.
+    """``platform, version, term, id, hits`` from blocks with their ``term, parts, offset``."""
+    directory = index.where(F.col("gram") == DIRECTORY).withColumns({"term": F.lit(None).cast("long"), "parts": F.lit(0), "offset": F.lit(-1)})
+    columns = [*RELEASE, "segment", "term", "parts", "offset", "places", "ids"]
+    return _segments(directory.select(*columns).unionByName(asked.select(*columns)))
 
-    Within a segment the directory comes first, then the blocks term by term, and they are
-    read as a stream; one term's blocks of one segment are held at a time.
+
+def _segments(blocks: DataFrame) -> DataFrame:
+    """Intersect each term's blocks of each segment; one shuffle, by segment.
+
+    Within a segment the directory (no term) comes first, then the blocks term by term, and
+    they are read as a stream; one term's blocks of one segment are held at a time.
     """
-    none = F.lit(None)
-    directory = index.where(F.col("gram") == DIRECTORY).withColumns({"term": none.cast("long"), "parts": F.lit(0), "offset": F.lit(-1)})
-    columns = ["platform", "version", "segment", "term", "parts", "offset", "places", "ids"]
     key = [*RELEASE, "segment"]
-    both = directory.select(*columns).unionByName(asked.select(*columns)).repartition(*key)
+    both = blocks.select(*key, "term", "parts", "offset", "places", "ids").repartition(*key)
     both = both.sortWithinPartitions(*key, F.col("term").asc_nulls_first(), "offset")
     return bounded(both).mapInArrow(_intersect, "platform string, version int, term long, id long, hits int")
 
