@@ -27,6 +27,42 @@ def clamp(value: object, default: int, most: int = MOST_PAGE) -> int:
     return max(1, min(most, int(found[1]))) if found else default
 
 
+#: Rows before a page from which it is found by rank; and groups whose rows are counted together for that.
+DEEP, RANK_GROUPS = 10_000, 1024
+
+
+def page_by_rank(rows: DataFrame, start: int, size: int, groups: int = RANK_GROUPS) -> DataFrame:
+    """Rows ``start + 1`` to ``start + size`` in the total order, with ``row_number``, however far down they are.
+
+    Rows are counted by ranges of ``groups`` groups, then, within the ranges that hold the
+    page, by group; only the groups that hold it are sorted.  What is sorted follows the
+    largest group, not the page's number.  The counts are one row for each range.
+    """
+    span = F.coalesce(F.floor(F.col("group_id") / groups), F.lit(-(1 << 62)))
+    inside = _holding(rows.withColumn("span", span), "span", F.lit(0).cast("long"), start, size)
+    near = inside.rows.withColumn("place", F.coalesce("group_id", F.lit(-(1 << 62))))
+    own = _holding(near, "place", inside.before, start, size)
+    number = F.row_number().over(Window.orderBy(*total_order())).cast("long") + own.before
+    return own.rows.drop("span", "place").withColumn("row_number", number).where(F.col("row_number").between(start + 1, start + size))
+
+
+@dataclass(frozen=True)
+class _Part:
+    """Rows that hold a page, and how many rows of the result stand before them."""
+
+    rows: DataFrame
+    before: Column
+
+
+def _holding(rows: DataFrame, key: str, before: Column, start: int, size: int) -> _Part:
+    ahead = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("first", before + F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    held = counts.where((F.col("first") < start + size) & (F.col("first") + F.col("n") > start))
+    low, high, first = (held.agg(f.alias("v")).scalar() for f in (F.min(key), F.max(key), F.min("first")))
+    return _Part(rows.where(F.col(key).between(low, high)), first)
+
+
 @dataclass(frozen=True)
 class SearchResult:
     """Lazy rows of a whole result, with its total and one page as DataFrames."""
@@ -41,13 +77,17 @@ class SearchResult:
         return count.withColumn("last_page", F.ceil(F.col("total") / self.size).cast("long"))
 
     def page(self) -> DataFrame:
-        """One top-N over the total order: no full sort, no overlap between pages."""
+        """One top-N over the total order: no full sort, no overlap between pages. Deep pages are found by rank."""
         start = (self.page_number - 1) * self.size
+        if start > DEEP:
+            return page_by_rank(self.rows.select(*RESULT_COLUMNS), start, self.size).drop("row_number").orderBy(*total_order())
         return self.rows.select(*RESULT_COLUMNS).orderBy(*total_order()).offset(start).limit(self.size)
 
     def numbered_page(self) -> DataFrame:
         """The page with ``row_number`` in the whole result; the window sees one page only."""
         start = (self.page_number - 1) * self.size
+        if start > DEEP:
+            return page_by_rank(self.rows.select(*RESULT_COLUMNS), start, self.size)
         return self.page().withColumn("row_number", F.row_number().over(Window.orderBy(*total_order())) + start)
 
     def pages(self, total: int) -> int:

@@ -575,3 +575,24 @@ def positions_batch(spark, sf_dir):
     g, _, asked = _batch(spark, sf_dir)
     index = positions.write(g, staged(spark, "positions"))
     return positions.batch_lookup(index, asked).drop("hits")
+
+
+@query("bucketed_search", _expanded(HAS_TERM))
+def bucketed_search(spark, sf_dir):
+    """The search over a stored glossary whose groups lie in buckets: it expands them where they lie."""
+    g, m = _views(spark, sf_dir)
+    name = f"glossary_{uuid.uuid4().hex}"
+    stored = source.write_bucketed(g, name, staged(spark, name), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return search.search(stored, m, "ios", 26, term=TERM, releases=X.releases(spark)).rows.select(*RESULT_COLUMNS)
+
+
+@query(
+    "deep_page",
+    f"""WITH g AS ({LINES}), rows AS (SELECT * FROM g WHERE contains(lower(target), 'e')), n AS (SELECT count(*) // 2 AS half FROM rows),
+num AS (SELECT CAST(id AS BIGINT) AS id, {SEVEN[4:]}, row_number() OVER (ORDER BY {ORDER}) AS row_number FROM rows)
+SELECT num.* FROM num, n WHERE row_number > half AND row_number <= half + 200""",
+)
+def deep_page(spark, sf_dir):
+    """The two hundred rows in the middle of a large result, found by rank."""
+    rows = X.glossary_lines(spark, sf_dir).where(search.contains_term("e")).select(*RESULT_COLUMNS)
+    return search.page_by_rank(rows, rows.count() // 2, 200)

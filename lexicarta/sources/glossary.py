@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised
-from ..schema import RESULT_COLUMNS, of_release
+from ..schema import RELEASE, RESULT_COLUMNS, of_release
 
 
 def scan_release(glossary: DataFrame, platform: str, version: int) -> DataFrame:
@@ -62,6 +62,20 @@ def write_glossary(glossary: DataFrame, path: str, partitions: int | None = None
     writer.partitionBy("platform", "version").parquet(path)
 
 
+def write_bucketed(glossary: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A table under ``path``, partitioned by release and bucketed and sorted by group, one file for each bucket and release.
+
+    The groups of a search lie in the bucket of the rows they expand to, so both steps of
+    the expansion, distinct groups and the join back, run bucket by bucket without an
+    exchange of the glossary.  A bucket should hold some hundred megabytes of the largest
+    release; the same number serves all releases.
+    """
+    columns = [*RESULT_COLUMNS, "target_norm", *RELEASE]
+    dealt = glossary.select(*columns).repartition(buckets, "group_id")
+    dealt.write.mode("overwrite").partitionBy(*RELEASE).bucketBy(buckets, "group_id").sortBy("group_id").option("path", path).saveAsTable(table)
+    return glossary.sparkSession.table(table)
+
+
 def read_language_map(spark: SparkSession, path: str) -> DataFrame:
     """Language maps from files, one JSON object of language names to lists of codes for each release.
 
