@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalised, trimmed
 from ..schema import COLUMNS, DEFAULT_SIZE, MOST_PAGE, MOST_SIZE, OPERATORS, RELEASE, total_order
-from . import matcher, postings
+from . import matcher, positions, postings
 
 #: Groups whose rows are numbered together: what one task numbers does not follow the request.
 RANGE = 4096
@@ -89,9 +89,11 @@ def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame
 
     All terms together go over each text once (``matcher.find_terms``), so the work for a
     row does not grow with the requests; what was found joins them by release and term.
-    Terms too many for that, or with a stored trigram ``index`` (``postings.build``) any,
-    join by their rarest trigram instead and find rows that have an id.  With ``mode="word"``
-    terms are whole words or phrases, as in ``search``, and go over the texts, in more
+    With a stored ``index`` they are looked up instead and find rows that have an id: in
+    positional postings (``positions.write``) without reading a text, in trigram postings
+    (``postings.build``) by their rarest trigram and then in the texts.  Terms too many for
+    one pass and without an index take the latter.  With ``mode="word"``
+    terms are whole words or phrases, as in ``search``, and always go over the texts, in more
     passes if they are very many.  Requests for a bundle alone join by release and bundle.  Returns ``request_id`` and the glossary's
     columns.
     """
@@ -105,9 +107,12 @@ def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame
         near = matcher.find_terms(glossary, terms, ["group_id", "language", "bundle_name"], mode=mode).distinct()
         found = near.join(terms, [*RELEASE, "q"])
     else:
-        grams = postings.build(glossary) if index is None else index
         places = glossary.select(*RELEASE, "id", "group_id", "language", "bundle_name").distinct()
-        found = places.join(postings.batch_lookup(grams, glossary, terms), [*RELEASE, "id"]).join(terms.drop(*RELEASE), "request_id")
+        if index is not None and "places" in index.columns:
+            ids = positions.batch_lookup(index, terms).drop("hits")
+        else:
+            ids = postings.batch_lookup(postings.build(glossary) if index is None else index, glossary, terms)
+        found = places.join(ids, [*RELEASE, "id"]).join(terms.drop(*RELEASE), "request_id")
     found = found.where((F.coalesce("bundle", F.lit("")) == "") | (F.col("bundle_name") == F.col("bundle")))
     bundles = asked.where(no_term).drop("q").withColumnRenamed("bundle", "bundle_name")
     columns = ["request_id", *RELEASE, "chosen", "group_id", "language"]

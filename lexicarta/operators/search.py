@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_term, contains_word
 from ..schema import COLUMNS, DEFAULT_SIZE, MOST_PAGE, MOST_SIZE, OPERATORS, RELEASE, RESULT_COLUMNS, of_release, total_order
+from . import positions
 
 
 _NUMBER = re.compile(r"\s*([+-]?[0-9]+)")
@@ -143,15 +144,20 @@ def matched_groups(rows: DataFrame, term: str | None, bundle: str | None, mode:
     return rows.select("group_id").distinct()
 
 
-def search(glossary: DataFrame, language_map: DataFrame, platform: str, version: int, term: str | None = None, bundle: str | None = None, languages: Sequence[str] | None = None, page: object = 1, size: object = DEFAULT_SIZE, mode: str = "contains", releases: DataFrame | None = None) -> SearchResult:
+def search(glossary: DataFrame, language_map: DataFrame, platform: str, version: int, term: str | None = None, bundle: str | None = None, languages: Sequence[str] | None = None, page: object = 1, size: object = DEFAULT_SIZE, mode: str = "contains", releases: DataFrame | None = None, index: DataFrame | None = None) -> SearchResult:
     """All rows, in the languages selected, of every group with a matching row.
 
     The term and the bundle choose groups; the rows returned need not match either.  The
     result raises for a release that is not among ``releases``, by default those with a
-    language map.
+    language map.  With positional postings as ``index`` (``positions.write``) matching rows are
+    found there, those that have an id, and only the rows of their groups read their texts.
     """
     rows = in_languages(glossary, language_map, platform, version, languages)
-    matched = matched_groups(rows, term, bundle, mode)
+    if index is not None and term and mode == "contains":
+        ids = positions.lookup_ids(index.where(of_release(platform, version)), term).select("id")
+        matched = of_bundle(rows, bundle).join(ids, "id", "left_semi").select("group_id").distinct()
+    else:
+        matched = matched_groups(rows, term, bundle, mode)
     found = require_release(rows.join(matched, "group_id", "left_semi"), language_map if releases is None else releases, platform, version)
     return SearchResult(found, clamp(page, 1), clamp(size, DEFAULT_SIZE, MOST_SIZE))
 

@@ -596,3 +596,18 @@ def deep_page(spark, sf_dir):
     """The two hundred rows in the middle of a large result, found by rank."""
     rows = X.glossary_lines(spark, sf_dir).where(search.contains_term("e")).select(*RESULT_COLUMNS)
     return search.page_by_rank(rows, rows.count() // 2, 200)
+
+
+@query("search_positions", _expanded(f"{HAS_TERM} AND bundle_name = 'bundle1'", "'German'"))
+def search_positions(spark, sf_dir):
+    """Term, bundle and language of a single search, the term from stored positional postings."""
+    g, m = _views(spark, sf_dir)
+    index = positions.write(g, staged(spark, "positions"))
+    return search.search(g, m, "ios", 26, term=TERM, bundle="bundle1", languages=["German"], releases=X.releases(spark), index=index).rows.select(*RESULT_COLUMNS)
+
+
+@query("batch_search_positions", f"WITH {X.SQL_REQUESTS} SELECT request_id, platform, version, {SEVEN} FROM res")
+def batch_search_positions(spark, sf_dir):
+    """The requests' terms from stored positional postings: no text is read to match them."""
+    g, m, asked = _batch(spark, sf_dir)
+    return batch.search_all(g, m, asked, positions.write(g, staged(spark, "positions"))).select("request_id", *RELEASE, *RESULT_COLUMNS)

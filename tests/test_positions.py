@@ -86,6 +86,22 @@ def test_rows_of_the_glossary(spark, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, g.where(search.contains_term("hein")).collect()))
 
 
+def test_searches_through_the_index_equal_those_over_the_texts(spark, tmp_path):
+    """Groups, bundles, languages and releases alike; matching reads no text."""
+    g = fixtures.glossary_docs(spark, SMALL)
+    m = fixtures.language_map(g)
+    index = positions.write(g, f"{tmp_path}/i")
+    known = fixtures.releases(spark)
+    for request in ({"term": "Hein"}, {"term": "e", "bundle": "bundle1"}, {"term": "nothing at all"}, {"bundle": "bundle2"}):
+        one = search.search(g, m, "ios", 26, releases=known, index=index, **request)
+        want = search.search(g, m, "ios", 26, releases=known, **request)
+        assert sorted(map(str, one.rows.select("id", "language").collect())) == sorted(map(str, want.rows.select("id", "language").collect())), request
+    asked = batch.resolve_versions(batch.clean(fixtures.requests(spark, SMALL), "q", "bundle"), g)
+    found = batch.search_all(g, m, asked, index).select("request_id", "id")
+    assert sorted(map(str, found.collect())) == sorted(map(str, batch.search_all(g, m, asked).select("request_id", "id").collect()))
+    assert "target_norm" not in "".join(s for s in inspect.scan_filters(found)["ReadSchema"])
+
+
 WORDS = ["world", "hello world", "wor", "-class", "world-class", "a_b", "b", "x.y", "é", "日", "c++", "", None]
 
 
