@@ -103,8 +103,9 @@ def search_all(glossary: DataFrame, language_map: DataFrame, requests: DataFrame
     asked = asked.drop("languages")
     no_term = F.coalesce("q", F.lit("")) == ""
     terms = asked.where(~no_term)
-    if mode == "word" or (index is None and matcher.fits(terms)):
-        near = matcher.find_terms(glossary, terms, ["group_id", "language", "bundle_name"], mode=mode).distinct()
+    shards = matcher.collect(terms, None) if mode == "word" else matcher.collect(terms) if index is None else None
+    if shards is not None:
+        near = matcher.find_terms(glossary, shards, ["group_id", "language", "bundle_name"], mode)
         found = near.join(terms, [*RELEASE, "q"])
     else:
         places = glossary.select(*RELEASE, "id", "group_id", "language", "bundle_name").distinct()

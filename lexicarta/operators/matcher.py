@@ -23,33 +23,34 @@ SHARD_CHARS = 1 << 20
 MOST_CHARS = 1 << 25
 
 
-def fits(terms: DataFrame, most: int = MOST_CHARS) -> bool:
-    """Whether the terms ``(q)`` are few enough for ``find_terms``."""
-    return (terms.agg(F.sum(F.length("q").cast("long") + 16)).first()[0] or 0) <= most
+def collect(terms: DataFrame, most: int | None = MOST_CHARS, limit: int = SHARD_CHARS) -> list[dict[str, list[tuple]]] | None:
+    """Terms ``(platform, version, q)`` with the releases that ask for them, in shards of about ``limit`` characters.
 
-
-def _shards(terms: DataFrame, limit: int) -> list[dict[str, list[tuple]]]:
-    """Terms with the releases that ask for them, in shards of about ``limit`` characters."""
+    None if they have more than ``most`` characters in all; reading stops there.
+    """
     asked = terms.where("length(q) > 0").groupBy("q").agg(F.collect_set(F.struct(*RELEASE)).alias("releases"))
-    out, size = [{}], 0
-    for row in asked.orderBy("q").toLocalIterator():
-        if size and size + len(row["q"]) > limit:
+    out, size, total = [{}], 0, 0
+    for row in asked.toLocalIterator():
+        n = len(row["q"])
+        total += n + 16
+        if most is not None and total > most:
+            return None
+        if size and size + n > limit:
             out.append({})
             size = 0
         out[-1][row["q"]] = [tuple(r) for r in row["releases"]]
-        size += len(row["q"])
+        size += n
     return [s for s in out if s]
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str], limit: int = SHARD_CHARS, mode: str = "contains") -> DataFrame:
+def find_terms(texts: DataFrame, shards: list[dict[str, list[tuple]]], keep: list[str], mode: str = "contains") -> DataFrame:
     """``platform, version, *keep, q`` for each row of ``texts`` and each of its release's terms that its text contains.
 
     With ``mode="word"`` a term counts where no letter, digit or underscore touches it on
     either side (``text.word_pattern``).
-    ``texts`` has ``platform, version, target_norm`` and the columns ``keep``; ``terms`` has
-    ``platform, version, q``, normalised.  A row comes once for each different term.  Empty
-    and null terms and null texts meet nothing.  The terms pass through the driver: check
-    them with ``fits`` first.
+    ``texts`` has ``platform, version, target_norm`` and the columns ``keep``; ``shards`` are the
+    normalised terms as ``collect`` returns them, one pass each.  A row comes once for each
+    different term.  Empty and null terms and null texts meet nothing.
     """
     if mode not in ("contains", "word"):
         raise ValueError(f"no such mode: {mode}")
@@ -57,7 +58,7 @@ def find_terms(texts: DataFrame, terms: DataFrame, keep: list[str], limit: int =
     kept = rows.drop("target_norm")
     schema = kept.withColumn("found", F.array().cast("array<string>")).schema
     found = None
-    for shard in _shards(terms, limit):
+    for shard in shards:
         one = rows.mapInArrow(_scanner(shard, len(keep) + len(RELEASE), mode == "word"), schema)
         found = one if found is None else found.unionByName(one)
     if found is None:

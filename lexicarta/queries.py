@@ -316,7 +316,8 @@ def release_status(spark, sf_dir):
 
 def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     g, m = _views(spark, sf_dir)
-    asked = batch.resolve_versions(batch.clean(X.requests(spark, sf_dir), "q", "bundle"), g)
+    known = spark.createDataFrame(g.select(*RELEASE).distinct().collect(), "platform string, version int")  # a row a release
+    asked = batch.resolve_versions(batch.clean(X.requests(spark, sf_dir), "q", "bundle"), known)
     return g, m, asked
 
 
@@ -530,7 +531,7 @@ def batch_terms(spark, sf_dir):
     """Which of its release's terms each text contains: all terms in one pass."""
     g, _, asked = _batch(spark, sf_dir)
     terms = asked.where(batch.search_status() == "ok").select(*RELEASE, normalised("q").alias("q"))
-    return matcher.find_terms(g, terms, ["id"])
+    return matcher.find_terms(g, matcher.collect(terms, None), ["id"])
 
 
 SQL_PREFIX_REQUESTS = (

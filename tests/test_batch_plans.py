@@ -28,7 +28,7 @@ def test_terms_found_equal_the_plain_version(spark, limit):
     releases = [("ios", 26), ("ios", 18), ("macos", 26)]
     texts = [(k, *rng.choice(releases), rng.choice([None, "", word(40)])) for k in range(120)] + [(None, "ios", 26, "abab"), (7, "ios", 26, "abab"), (7, "ios", 26, "abab"), (8, "watch", 1, "abab")]
     terms = [(*rng.choice(releases), word(3)) for _ in range(60)] + [("ios", 26, "abab"), ("ios", 26, "ab"), ("ios", 26, "ab"), ("ios", 26, None), ("ios", 26, "nothing here")]
-    got = matcher.find_terms(spark.createDataFrame(texts, TEXTS), spark.createDataFrame(terms, TERMS), ["id"], limit)
+    got = matcher.find_terms(spark.createDataFrame(texts, TEXTS), matcher.collect(spark.createDataFrame(terms, TERMS), limit=limit), ["id"])
     want = sorted(str((p, v, i, q)) for i, p, v, t in texts for q in {q for a, b, q in terms if (a, b) == (p, v) and q} if t and q in t)
     assert got.columns == ["platform", "version", "id", "q"]
     assert sorted(str(tuple(r)) for r in got.collect()) == want
@@ -36,9 +36,9 @@ def test_terms_found_equal_the_plain_version(spark, limit):
 
 def test_no_terms_and_no_texts(spark):
     texts, none = spark.createDataFrame([(1, "ios", 26, "a")], TEXTS), spark.createDataFrame([], TERMS)
-    assert matcher.find_terms(texts, none, ["id"]).count() == 0
-    assert matcher.find_terms(texts.limit(0), spark.createDataFrame([("ios", 26, "a")], TERMS), ["id"]).count() == 0
-    assert matcher.fits(none) and not matcher.fits(spark.createDataFrame([("ios", 26, "abc")], TERMS), 10)
+    assert matcher.find_terms(texts, matcher.collect(none), ["id"]).count() == 0
+    assert matcher.find_terms(texts.limit(0), matcher.collect(spark.createDataFrame([("ios", 26, "a")], TERMS)), ["id"]).count() == 0
+    assert matcher.collect(spark.createDataFrame([("ios", 26, "abc")], TERMS), most=10) is None
 
 
 def asked(spark, n):
@@ -66,7 +66,7 @@ def test_terms_beyond_the_bound_take_the_index(spark, monkeypatch):
     m = fixtures.language_map(g)
     requests = asked(spark, 40)
     want = sorted(map(str, batch.search_all(g, m, requests).collect()))
-    monkeypatch.setattr(matcher, "fits", lambda terms: False)
+    monkeypatch.setattr(matcher, "collect", lambda terms: None)
     rows = batch.search_all(g, m, requests)
     assert not inspect.python_nodes(rows.select("id")) or "MapInArrow" not in str(inspect.python_nodes(rows))
     assert sorted(map(str, rows.select(*batch.search_all(g, m, requests).columns).collect())) == want
