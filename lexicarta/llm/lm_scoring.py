@@ -411,7 +411,13 @@ def score(docs: DataFrame, words: np.ndarray, flat: np.ndarray, shape: Shape = S
 
 
 def train_and_score(docs: DataFrame) -> DataFrame:
-    """Scores of all documents under a model of them, of the shape for their size."""
+    """Scores of all documents under a model of them, of the shape for their size.
+
+    Returns ``doc_id, n_tokens, pll, mean_pll`` for every row as ``score`` does: a null or
+    wordless text has 0 tokens, ``pll`` 0 and a null mean, null ids and repeated rows stay,
+    rows with one text have one score but for rounding, other columns are ignored.  Words counted alike enter
+    the vocabulary in the order of their hashes.  An empty table gives an empty result.
+    """
     counted = Scratch(docs.sparkSession, "lm-words").write(word_counts(docs), "counted")
     shape = shape_for(counted.agg(F.sum("n")).first()[0] or 0)
     words, flat = train(docs, shape, counted=counted)
