@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two aggregations and joins over the edge table; no component,
-however large, meets in one task, and nothing but two counters reaches the
+Each round is two aggregations and joins over the edge table; no component
+is gathered as a whole, though the edges of one node meet in one task of a join
+where adaptive execution does not split it, and nothing but two counters reaches the
 driver.  Edges are staged in the shared folder after each round.
 """
 
