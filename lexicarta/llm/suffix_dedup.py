@@ -8,14 +8,19 @@ breadth-first backward extension of intervals fixes the common prefixes of
 neighbouring suffixes by increasing value; it stops at the threshold, and the
 neighbours still open share at least that many bytes.
 
-Anchors with more spans than a block may hold are not cut down: their windows
-are hashed and counted by key with partial aggregation, which gives the same
-answer however many there are.
+The spans of an anchor with more of them than a block may hold are split by content.
+The place of the anchor inside a window follows from the window alone, and all
+windows whose anchor lies in one range of places share the bytes around it, the
+more of them the narrower the range.  So ranges are halved: a span falls into its
+windows of either half, which meet only spans with the same bytes around the anchor,
+and the rules above decide again, halving on where a group is still too large.
+At a single place the shared bytes are the whole window, so that no group is left.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +188,9 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 200, block_byte
     pieces = docs.join(wanted, "doc_id").select("doc_id", "text", "marks").mapInArrow(emit, "doc_id long, anchor long, span long, wide boolean, single boolean, bytes binary")
     # one text for each span: repeated rows of one id emit it again
     pieces = scratch.write(pieces.dropDuplicates(["doc_id", "anchor", "span"]), "pieces")
-    found = _by_blocks(pieces.where("not wide"), length, block_bytes).unionByName(_by_keys(pieces.where("wide"), length, key))
-    found = scratch.write(found, "found")
+    few = _by_blocks(pieces.where("not wide").withColumn("base", F.lit(0)), length, block_bytes)
+    many = _by_halves(pieces.where("wide"), length, gram, block_bytes, group_spans, key, scratch)
+    found = scratch.write(reduce(DataFrame.unionByName, many, few), "found")
 
     def strip(batches):
         for batch in batches:
@@ -233,41 +239,91 @@ def _by_blocks(pieces: DataFrame, length: int, block_bytes: int) -> DataFrame:
     def solve(group):
         symbols = np.concatenate([np.append(np.frombuffer(p[3], np.uint8).astype(np.int16) + 1, 0) for p in group]).astype(np.int16)
         mask, at, out = repeated_starts(symbols, length), 0, []
-        for doc, span, single, text in group:
+        for doc, span, single, text, base in group:
             hits = np.flatnonzero(mask[at : at + len(text)])
             if single and len(hits):
-                out.append((doc, span, hits.astype(np.int32)))
+                out.append((doc, span, (hits + base).astype(np.int32)))
             at += len(text) + 1
         return pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["doc_id", "span", "at"])
 
     def blocks(batches):
         block, size, last = [], 0, None
         for batch in batches:
-            for anchor, doc, span, single, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for anchor, *piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if anchor != last and size >= block_bytes:
                     yield solve(block)
                     block, size = [], 0
-                block.append((doc, span, single, text))
-                size += len(text) + 1
+                block.append(piece)
+                size += len(piece[3]) + 1
                 last = anchor
         if block:
             yield solve(block)
 
-    dealt = pieces.select("anchor", "doc_id", "span", "single", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = pieces.select("anchor", "doc_id", "span", "single", "bytes", "base").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(blocks, "doc_id long, span long, at array<int>")
 
 
-def _by_keys(pieces: DataFrame, length: int, key: S.Key) -> DataFrame:
-    """The same for anchors with very many spans: windows hashed to 128 bits and counted by key."""
-
-    def emit(batches):
+#: A span's windows whose anchor lies ``low`` to ``high`` bytes after their start, from window ``base`` on.
+HALVES = "part long, sub long, doc_id long, anchor long, span long, single boolean, low int, high int, base int, windows int, bytes binary"
+
+
+def _halved(pieces: DataFrame, length: int, gram: int, key: S.Key) -> DataFrame:
+    """Each piece's windows of either half of its range, with the hashes of the bytes they share (``part``) and of all (``sub``)."""
+
+    def halve(rows):
+        texts = [np.frombuffer(r[-1], np.uint8) for r in rows]
+        data, size = np.concatenate(texts), np.array([len(t) for t in texts])
+        start = np.cumsum(size) - size
+        anchor, low, high, base = (np.array([r[k] for r in rows]) for k in (1, 4, 5, 6))
+        hashes = S.Windows.of_bytes(data, key, gram)
+        grams = hashes.all(gram)
+        at = np.flatnonzero(grams == np.repeat(anchor.astype(np.int64).view(np.uint64), size)[: len(grams)])
+        place = at[np.searchsorted(at, start)]  # of the anchor: its first in the piece lies in every window of it
+        middle = (low + high) // 2
+        for a, b in ((low, middle), (middle + 1, high)):
+            first, last = np.maximum(start, place - b), np.minimum(start + size - length, place - a)
+            some = np.flatnonzero(first <= last)
+            if not len(some):
+                continue
+            a, b, first, last, own = a[some], b[some], first[some], last[some], place[some]
+            ends = last + length
+            part = S.mix(hashes.some(own - a, own + length - b) ^ S.mix((a * length + b).astype(np.uint64)))
+            columns = [part.view(np.int64), hashes.some(first, ends).view(np.int64)]
+            columns += [[rows[i][k] for i in some] for k in range(4)]
+            columns += [a, b, base[some] + first - start[some], last - first + 1, [data[i:j].tobytes() for i, j in zip(first, ends, strict=True)]]
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int32()] * 4 + [pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in HALVES.split(", ")])
+
+    def run(batches):
         for batch in batches:
-            for doc, anchor, span, single, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                windows = S.Windows.of_bytes(np.frombuffer(text, np.uint8), key, length).all(length)
-                n = len(windows)
-                yield pa.record_batch([pa.array(np.full(n, doc)), pa.array(np.full(n, anchor)), pa.array(np.full(n, span)), pa.array(np.full(n, single)), pa.array(np.arange(n, dtype=np.int32)), pa.array(windows.view(np.int64))], ["doc_id", "anchor", "span", "single", "at", "window"])
-
-    windows = pieces.select("doc_id", "anchor", "span", "single", "bytes").mapInArrow(emit, "doc_id long, anchor long, span long, single boolean, at int, window long")
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("k")).where("k > 1").select("anchor", "window")
-    hits = windows.where("single").join(twice, ["anchor", "window"], "left_semi")
-    return hits.groupBy("doc_id", "span").agg(F.collect_list("at").alias("at"))
+            rows, size = [], 0
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                rows.append(row)
+                size += len(row[-1])
+                if size >= S.CHUNK_BYTES:
+                    yield from halve(rows)
+                    rows, size = [], 0
+            if rows:
+                yield from halve(rows)
+
+    return pieces.select("doc_id", "anchor", "span", "single", "low", "high", "base", "bytes").mapInArrow(run, HALVES)
+
+
+def _by_halves(pieces: DataFrame, length: int, gram: int, block_bytes: int, group_spans: int, key: S.Key, scratch: Scratch) -> list[DataFrame]:
+    """The same for anchors of more than ``group_spans`` spans, in at most ``log2(length - gram)`` rounds, rounded up."""
+    left = pieces.withColumns({"low": F.lit(0), "high": F.lit(length - gram), "base": F.lit(0)})
+    found, turn, own = [], 0, ["part", "sub"]
+    while not left.isEmpty():
+        halves = scratch.write(_halved(left, length, gram, key), f"halves-{turn}")
+        index = scratch.write(halves.groupBy(own).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("one")), f"halves-index-{turn}")
+        # windows of pieces equal throughout are repeated; the others meet those of their group
+        twice = halves.where("single").select(*own, "doc_id", "span", "base", "windows").join(index.where("n > 1").select(own), own, "left_semi")
+        found.append(twice.select("doc_id", "span", F.sequence("base", F.col("base") + F.col("windows") - 1).alias("at")))
+        groups = index.groupBy("part").agg(F.count("*").alias("k")).where("k > 1")
+        met = index.join(groups, "part").select(*own, "one", (F.col("n") == 1).alias("alone"), (F.col("k") > group_spans).alias("wide"))
+        met = halves.join(met, own).where(F.struct("doc_id", "span") == F.col("one"))
+        met = met.select("doc_id", "anchor", "part", "span", (F.col("single") & F.col("alone")).alias("single"), "low", "high", "base", "bytes", "wide")
+        met = scratch.write(met, f"halves-met-{turn}")
+        found.append(_by_blocks(met.where("not wide").withColumn("anchor", F.col("part")), length, block_bytes))
+        left, turn = met.where("wide"), turn + 1
+    return found
