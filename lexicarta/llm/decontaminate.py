@@ -91,16 +91,38 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[S.Words, np.ndarray
     return words, kind
 
 
-def _windows(texts: pa.Array, width: int, known: np.ndarray | None):
+#: Bits of the filter for each window of the benchmark, as long as it may grow; Spark's bitmaps hold 2**15 bits each.
+FILTER_BITS, BITMAP_BYTES = 64, 1 << 12
+
+
+class Filter:
+    """Bits set where hashes of a set begin: all of the set pass, and of others the share of bits that are set."""
+
+    def __init__(self, bits: np.ndarray, log: int):
+        self.bits, self.log = bits, log
+
+    @staticmethod
+    def of(rows: DataFrame, most: int) -> Filter:
+        """Of ``rows (window)``: executors aggregate the bits, the driver gets at most ``FILTER_BITS * most`` of them."""
+        log = max(6, (FILTER_BITS * max(1, min(rows.count(), most)) - 1).bit_length())
+        at = F.shiftrightunsigned("window", 64 - log) + 1  # bitmaps count from 1
+        maps = rows.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        bits = np.zeros((max(1, (1 << log) // (8 * BITMAP_BYTES)), BITMAP_BYTES), np.uint8)
+        for k, block in maps.collect():
+            bits[k - 1] = np.frombuffer(block, np.uint8)
+        return Filter(bits.ravel(), log)
+
+    def near(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.log)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _windows(texts: pa.Array, width: int, known: Filter | None):
     """(row, position, hash, slots) of the template windows of each text; a shorter text is one window.
 
-    With ``known`` (sorted hashes) only windows among them.  Windows with fewer
+    With ``known`` only windows that pass it.  Windows with fewer
     than two literal words (one, if they have one word) say nothing and are left out.
     """
-    table = None
-    if known is not None:
-        table = np.zeros(1 << 20, bool)
-        table[(known >> np.uint64(44)).astype(np.int64)] = True
     for low, _, data, offsets in S.chunks(texts):
         words, kind = template(data, offsets)
         n = len(kind)
@@ -124,18 +146,14 @@ def _windows(texts: pa.Array, width: int, known: np.ndarray | None):
             at, to = at[told], to[told]
             hashes = S.Rolling(np.select([held == 1, held == 2, held == 3], [NUMBER, NAME, UNIT], words.hash)).some(at, to)
             if known is not None:
-                near = table[(hashes >> np.uint64(44)).astype(np.int64)]
+                near = known.near(hashes)
                 at, to, hashes = at[near], to[near], hashes[near]
-                if len(known):
-                    where = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    near = known[where] == hashes
-                    at, to, hashes = at[near], to[near], hashes[near]
             for i, j, h in zip(at.tolist(), to.tolist(), hashes.view(np.int64).tolist(), strict=True):
                 slots = [data[words.start[k] : words.end[k]].tobytes().decode("utf-8", "replace").lower() for k in range(i, j) if held[k]]
                 yield low + int(row_of[i]), int(place[i]), h, slots
 
 
-def _window_rows(df: DataFrame, key: str, width: int, known: np.ndarray | None) -> DataFrame:
+def _window_rows(df: DataFrame, key: str, width: int, known: Filter | None) -> DataFrame:
     """``key, place, window, slots`` for each text."""
 
     def run(batches):
@@ -191,18 +209,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, share:
     reparameterised`` of its best copy (an exact one if equal).
     Null ids or texts, empty texts and items without a word match nothing; a text
     shorter than a window is one window, so an item of fewer words is found only as a
-    whole text (inside others such a phrase proves nothing); repeated rows count once.  Up to
-    ``most_known`` benchmark windows (16 MB) go to the tasks as a filter; a larger
-    benchmark joins without it, with the same result.
+    whole text (inside others such a phrase proves nothing); repeated rows count once.  A filter of
+    64 bits for each benchmark window, sized for at most ``most_known`` of them (16 MB), keeps
+    most other windows from the join; for a larger benchmark it lets more of them through.
     """
-    items = _window_rows(benchmark, "item_id", width, None).dropDuplicates(["item_id", "place", "window"])
+    scratch = Scratch(docs.sparkSession, "leaks")
+    items = scratch.write(_window_rows(benchmark, "item_id", width, None).dropDuplicates(["item_id", "place", "window"]), "items")
     size = items.groupBy("item_id").agg(F.count_distinct("place").alias("n_windows"))
-    hashes = [r[0] for r in items.select("window").distinct().limit(most_known + 1).collect()]
-    known = np.sort(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= most_known else None
-    found = _window_rows(docs, "doc_id", width, known)
+    found = _window_rows(docs, "doc_id", width, Filter.of(items.select("window"), most_known))
     pairs = found.select("doc_id", "window", F.col("place").alias("at"), F.col("slots").alias("doc_slots")).join(items, "window")
     pairs = pairs.select("doc_id", "item_id", "place", (F.col("at") - F.col("place")).alias("apart"), F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"))
-    pairs = _by_copy(Scratch(docs.sparkSession, "leaks").write(pairs, "pairs"))
+    pairs = _by_copy(scratch.write(pairs, "pairs"))
     # without slots a window is consistent as it is; else each of its values must map as most do
     key = ["doc_id", "item_id", "copy"]
     votes = pairs.where(F.size("slots") > 0).select(*key, F.explode("slots").alias("s")).groupBy(*key, F.col("s.a").alias("a"), F.col("s.b").alias("b")).agg(F.count("*").alias("n"))

@@ -1,0 +1,33 @@
+"""The filter of benchmark windows: nothing of the set is held back, at any size."""
+
+import numpy as np
+import pytest
+
+from lexicarta.llm import decontaminate
+
+
+@pytest.mark.parametrize("n,most", [(0, 2_000_000), (1, 1), (50, 1), (5000, 100), (5000, 2_000_000)])
+def test_filter_holds_the_set(spark, n, most):
+    hashes = np.random.default_rng(n).integers(-(1 << 63), 1 << 63, n, np.int64, endpoint=False)
+    rows = spark.createDataFrame([(int(h),) for h in [*hashes, *hashes[:3]]], "window long")
+    known = decontaminate.Filter.of(rows, most)
+    assert known.near(hashes.view(np.uint64)).all()
+    assert len(known.bits) <= max(decontaminate.BITMAP_BYTES, decontaminate.FILTER_BITS * most)
+    others = np.random.default_rng(99).integers(0, 1 << 64, 20000, np.uint64)
+    passed = known.near(others).mean()
+    assert passed == 0 if n == 0 else passed < 0.03 if most > n else passed <= 1
+
+
+def test_ends_of_the_range(spark):
+    ends = np.array([0, -1, 1 << 62, -(1 << 63), (1 << 63) - 1], np.int64)
+    known = decontaminate.Filter.of(spark.createDataFrame([(int(h),) for h in ends], "window long"), 1000)
+    assert known.near(ends.view(np.uint64)).all()
+
+
+def test_same_pairs_however_small_the_filter(spark):
+    item = "Count the {} red apples and the {} green pears that lie on the table before the bell rings at noon"
+    items = [(k, item.format(k + 2, k + 3)) for k in range(40)]
+    docs = [(k, f"Before. {item.format(k, k + 1)}. After it all ends") for k in range(60)] + [(100, "nothing of the sort")]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = [set(map(tuple, decontaminate.decontaminate(d, b, most_known=most).collect())) for most in (1, 100, 2_000_000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 60 * 40
