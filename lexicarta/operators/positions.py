@@ -7,8 +7,9 @@ variable length.  A term's places are those where its threes stand at their offs
 a match needs no text: the blocks of a few threes are intersected, segment by segment.
 A segment's directory, where each row begins and its id, turns places into rows.
 
-Blocks are stored sorted by their three characters within a release, so a look-up reads
-a few pages; terms of one or two characters read the range of threes that begin so.
+Each task stores its blocks where it cut them, as one run a release sorted by the three
+characters: nothing is shuffled or staged.  A look-up reads a few pages of every run;
+terms of one or two characters read the range of threes that begin so.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise, normalised
 from ..schema import RELEASE
-from ..sources.stage import bounded, remove, staged
+from ..sources.stage import bounded, sent
 
 #: Characters of a segment; one longer text is a segment of its own.
 SEGMENT_CHARS = 1 << 20
 #: Bits of a code point, the mark after a text, and the directory's name among the threes.
 BITS, END, DIRECTORY = 21, 0x110000, -1
 SCHEMA = "platform string, version int, gram long, segment long, n int, places binary, ids binary"
-#: Small row groups, so that a look-up skips most of a file.
-ROW_GROUP_BYTES = 4 << 20
+#: Small row groups and pages, so that a look-up skips most of a file.
+ROW_GROUP_BYTES, PAGE_BYTES = 4 << 20, 64 << 10
+#: Texts that a task may hold open over all releases, in segments.
+MOST_OPEN = 16
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +105,8 @@ def _blocks(ids: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
     return key[first], n, block_ends, data, lengths, names
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of batches ``platform, version, id, target_norm``; nothing is grouped across tasks."""
-    count = TaskContext.get().partitionId() << 24
+def _indexer(segment_chars: int):
+    """Function from batches ``platform, version, id, target_norm`` to blocks; nothing is grouped across tasks."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def emit(release, ids, texts, segment):
@@ -117,38 +119,46 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(key):
             yield pa.record_batch([*constant(len(key)), pa.array(key, pa.int64()), pa.array(np.full(len(key), segment), pa.int64()), pa.array(n.astype(np.int32)), places, pa.nulls(len(key), pa.binary())], names)
 
-    for batch in batches:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TaskContext.get().partitionId() << 24
         open_: dict[tuple, tuple[list, list, list]] = {}
-        for platform, version, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids, texts, size = open_.setdefault((platform, version), ([], [], [0]))
-            ids.append(id_)
-            texts.append(text)
-            size[0] += len(text)
-            if size[0] >= SEGMENT_CHARS:
-                yield from emit((platform, version), ids, texts, count)
+        held = 0
+        for batch in batches:
+            for platform, version, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                release = (platform, version)
+                ids, texts, size = open_.setdefault(release, ([], [], [0]))
+                ids.append(id_)
+                texts.append(text)
+                size[0] += len(text)
+                held += len(text)
+                if held >= MOST_OPEN * segment_chars:  # many releases lie side by side
+                    release = max(open_, key=lambda r: open_[r][2][0])
+                elif size[0] < segment_chars:
+                    continue
+                ids, texts, size = open_.pop(release)
+                held -= size[0]
+                yield from emit(release, ids, texts, count)
                 count += 1
-                del open_[platform, version]
         for release, (ids, texts, _) in open_.items():
             yield from emit(release, ids, texts, count)
             count += 1
 
+    return index
+
 
-def write(glossary: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+def write(glossary: DataFrame, path: str, partitions: int | None = None, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """Index the normalised texts of a glossary under ``path``, once for many look-ups, and read the index back.
 
-    Rows without an id or a text are not in it.  Blocks are staged before they are dealt
-    into ranges of threes, so that a segment is cut once however often a task runs.
+    Rows without an id or a text are not in it.  Every task writes one sorted run for each
+    release it has rows of; ``partitions`` deals the texts into that many tasks first.
     """
-    spark = glossary.sparkSession
     rows = glossary.where("id is not null and target_norm is not null").select("platform", "version", "id", "target_norm")
-    loose = staged(spark, "blocks")
-    bounded(rows).mapInArrow(_index, SCHEMA).write.parquet(loose)
-    key = (*RELEASE, "gram", "segment")
-    blocks = spark.read.schema(SCHEMA).parquet(loose)
-    dealt = blocks.repartitionByRange(*([partitions] if partitions else []), *key).sortWithinPartitions(*key)
-    dealt.write.mode("overwrite").partitionBy(*RELEASE).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    remove(spark, loose)
-    return read(spark, path)
+    if partitions:
+        rows = rows.repartition(partitions)
+    blocks = bounded(rows).mapInArrow(_indexer(segment_chars), SCHEMA).sortWithinPartitions(*RELEASE, "gram", "segment")
+    writer = blocks.write.mode("overwrite").partitionBy(*RELEASE).option("compression", "zstd")
+    writer.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).parquet(path)
+    return read(glossary.sparkSession, path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -205,21 +215,20 @@ def batch_lookup(index: DataFrame, requests: DataFrame) -> DataFrame:
     Each different term of a release looks its threes up by an equi-join, shorter terms
     theirs by what a three begins with.
     """
-    asked = requests.select("request_id", *RELEASE, normalised("q").alias("q")).where("length(q) > 0")
-    terms = asked.select(*RELEASE, "q").distinct().withColumn("term", F.xxhash64("q"))
+    asked = sent(requests.select("request_id", *RELEASE, normalised("q").alias("q")).where("length(q) > 0"), "asked")
+    terms = sent(asked.select(*RELEASE, "q").distinct().withColumn("term", F.xxhash64("q")), "terms")
     n = F.length("q")
     code = lambda o: F.ascii(F.substring("q", o + F.lit(1), F.lit(1))).cast("long")
-    long_ = terms.where(n >= 3).withColumn("all", F.array_distinct(F.concat(F.sequence(F.lit(0), n - 3, F.lit(3)), F.array(n - 3))))
-    long_ = long_.withColumn("parts", F.size("all")).withColumn("offset", F.explode("all"))
+    all_ = F.when(n >= 3, F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)), F.lit(3)), F.array(n - 3)))).otherwise(F.array(F.lit(0)))
     o = F.col("offset")
-    long_ = long_.select(*RELEASE, "term", "parts", "offset", _shifted(code(o), code(o + 1), code(o + 2)).alias("gram"))
+    begins = F.when(n == 1, code(o)).when(n == 2, F.shiftleft(code(o), BITS).bitwiseOR(code(o + 1))).otherwise(_shifted(code(o), code(o + 1), code(o + 2)))
+    wanted = terms.withColumn("all", all_).withColumn("parts", F.size("all")).withColumn("offset", F.explode("all"))
+    wanted = sent(wanted.select(*RELEASE, "term", "parts", "offset", F.least(n, F.lit(3)).alias("size"), begins.alias("begins")), "threes")
+    # one pass over the blocks, each by its whole three and by what it begins with if terms so short occur
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())
     blocks = index.where(F.col("gram") != DIRECTORY)
-    found = blocks.join(long_, [*RELEASE, "gram"])
-    for size in (1, 2):
-        begins = F.shiftright("gram", BITS * (3 - size))
-        start = code(F.lit(0)) if size == 1 else F.shiftleft(code(F.lit(0)), BITS).bitwiseOR(code(F.lit(1)))
-        short = terms.where(n == size).select(*RELEASE, "term", F.lit(1).alias("parts"), F.lit(0).alias("offset"), start.alias("begins"))
-        found = found.unionByName(blocks.withColumn("begins", begins).join(short, [*RELEASE, "begins"]).drop("begins"))
+    ways = F.array(*(F.struct(F.lit(k).alias("size"), F.shiftright("gram", BITS * (3 - k)).alias("begins")) for k in sizes or [3]))
+    found = blocks.withColumn("way", F.explode(ways)).select(*blocks.columns, "way.*").join(wanted, [*RELEASE, "size", "begins"])
     hits = _rows(found, index).join(terms, [*RELEASE, "term"])
     return asked.join(hits, [*RELEASE, "q"]).select("request_id", *RELEASE, "id", "hits")
 
