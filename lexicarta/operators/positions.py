@@ -79,6 +79,34 @@ def _key(a, b, c):
     return (a << (2 * BITS)) | (b << BITS) | c
 
 
+def sorted_threes(line: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different threes at the places ``at``, where each begins among the numbers, and the numbers of all places, sorted by both.
+
+    Characters are numbered in their order, so that a three and its number mostly fit one
+    integer, which sorts several times faster; a text of very many different ones takes
+    the plain way.
+    """
+    seen = np.zeros(END + 1, bool)
+    seen[line] = True
+    letters = np.flatnonzero(seen)
+    b, low = len(letters).bit_length(), int(number.max(initial=0)).bit_length()
+    if 3 * b + low > 62:
+        key = _key(line[at], line[at + 1], line[at + 2])
+        order = np.lexsort((number, key))
+        key, number = key[order], number[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[first], first, number
+    code = np.zeros(END + 1, np.int64)
+    code[letters] = np.arange(len(letters))
+    own = code[line]
+    both = (((own[at] << (2 * b)) | (own[at + 1] << b) | own[at + 2]) << low) | number
+    both.sort()
+    key = both >> low
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, mask = key[first], (1 << b) - 1
+    return _key(letters[key >> (2 * b)], letters[(key >> b) & mask], letters[key & mask]), first, both & ((1 << low) - 1)
+
+
 def _blocks(ids: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, bytes]:
     """A segment's threes, their counts, ends of their bytes, those bytes; and the directory's two columns."""
     parts, sizes, marks = [], [], np.full(2, END, np.uint32)
@@ -87,22 +115,16 @@ def _blocks(ids: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
         parts += [own, marks]
         sizes.append(len(own) + 2)
     line = np.concatenate(parts).astype(np.int64)
-    key = _key(line[:-2], line[1:-1], line[2:])
-    place = np.flatnonzero(line[:-2] != END)
-    key = key[place]
-    order = np.argsort(key, kind="stable")
-    key, place = key[order], place[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
+    keep = np.flatnonzero(line[:-2] != END)
+    key, first, place = sorted_threes(line, keep, keep)
     step = np.diff(place, prepend=0)
     step[first] = place[first]
     data, ends = pack(step)
-    n = np.diff(np.append(first, len(key)))
-    block_ends = ends[np.append(first[1:], len(key)) - 1] if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(place)))
+    block_ends = ends[np.append(first[1:], len(place)) - 1] if len(place) else np.zeros(0, np.int64)
     lengths, _ = pack(np.array(sizes, np.int64))
     names, _ = pack(_zigzag(np.diff(np.array(ids, np.int64), prepend=0)))
-    return key[first], n, block_ends, data, lengths, names
+    return key, n, block_ends, data, lengths, names
 
 
 def _indexer(segment_chars: int):
@@ -121,31 +143,36 @@ def _indexer(segment_chars: int):
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = TaskContext.get().partitionId() << 24
-        open_: dict[tuple, tuple[list, list, list]] = {}
-        held = 0
-        for batch in batches:
-            for platform, version, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                release = (platform, version)
-                ids, texts, size = open_.setdefault(release, ([], [], [0]))
-                ids.append(id_)
-                texts.append(text)
-                size[0] += len(text)
-                held += len(text)
-                if held >= MOST_OPEN * segment_chars:  # many releases lie side by side
-                    release = max(open_, key=lambda r: open_[r][2][0])
-                elif size[0] < segment_chars:
-                    continue
-                ids, texts, size = open_.pop(release)
-                held -= size[0]
-                yield from emit(release, ids, texts, count)
-                count += 1
-        for release, (ids, texts, _) in open_.items():
+        for release, ids, texts in segments(batches, segment_chars):
             yield from emit(release, ids, texts, count)
             count += 1
 
     return index
 
 
+def segments(batches: Iterator[pa.RecordBatch], segment_chars: int) -> Iterator[tuple[tuple, list[int], list[str]]]:
+    """``(platform, version), ids, texts`` of about ``segment_chars`` characters from batches ``platform, version, id, target_norm``."""
+    open_: dict[tuple, tuple[list, list, list]] = {}
+    held = 0
+    for batch in batches:
+        for platform, version, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            release = (platform, version)
+            ids, texts, size = open_.setdefault(release, ([], [], [0]))
+            ids.append(id_)
+            texts.append(text)
+            size[0] += len(text)
+            held += len(text)
+            if held >= MOST_OPEN * segment_chars:  # many releases lie side by side
+                release = max(open_, key=lambda r: open_[r][2][0])
+            elif size[0] < segment_chars:
+                continue
+            ids, texts, size = open_.pop(release)
+            held -= size[0]
+            yield release, ids, texts
+    for release, (ids, texts, _) in open_.items():
+        yield release, ids, texts
+
+
 def write(glossary: DataFrame, path: str, partitions: int | None = None, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """Index the normalised texts of a glossary under ``path``, once for many look-ups, and read the index back.
 
