@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -16,13 +16,18 @@ def normalise(text: str) -> str:
     return unicodedata.normalize("NFKC", text).lower()
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFKC")
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    """The texts that NFKC changes; null for all others, which stay in the JVM."""
+
+    def changed(text: str | None) -> str | None:
+        return None if text is None or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+    return pa.array((changed(t.as_py()) for t in texts), pa.string())
 
 
 def normalised(column: str) -> Column:
-    """The same for a column, at ingest. Python sees only texts beyond ASCII; the others pass as null."""
+    """The same for a column, at ingest. Python sees only texts beyond ASCII and returns those it changes; the others pass as null."""
     wide = F.when(F.col(column).rlike("[^\\x00-\\x7F]"), F.col(column))
     return F.lower(F.coalesce(_nfkc(wide), F.col(column)))
 

@@ -1,0 +1,25 @@
+"""Normalisation of a column: equal to that of a literal, in batches of bounded bytes."""
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from lexicarta.functions import text
+from lexicarta.sources import glossary, stage
+
+
+def test_column_equals_the_function(spark):
+    made = ["", None, "Plain ÄÖÜ – „x“", "é", "ﬁ", "ＡＢＣ", "ÄÖ̀", "日本", "각", "가", "x²", "İI", "a b", "😀É", "…"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(made)], "id int, target string")
+    got = {r.id: r.target_norm for r in glossary.with_normalised_target(df).collect()}
+    assert got == {k: t if t is None else text.normalise(t) for k, t in enumerate(made)}
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, monkeypatch):
+    spark.conf.unset(stage.BATCH_SETTING)
+    monkeypatch.setattr(stage, "BATCH_BYTES", 1 << 20)
+    sizes = lambda s: pd.Series([sum(x is not None and len(x) for x in s)] * len(s))
+    seen = F.pandas_udf(sizes, "long")
+    wide = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("…"), F.repeat(F.lit("x"), 5000)).alias("target"))
+    most = glossary.with_normalised_target(wide).select(seen("target").alias("n")).agg(F.max("n")).first()[0]
+    spark.conf.unset(stage.BATCH_SETTING)
+    assert most < 2 << 20
